@@ -154,7 +154,7 @@ def rate(files: Column, dirs: Column, secs: Column) -> Column:
 
 #: The URL form (server, port, path; scheme optional) and the older ``server:/export[/sub]``.
 URL = r"^(?:nfs://)?([^:/]+)(?::([0-9]+))?(/\S*)$"
-OLD = r"^(?:nfs://)?(.+?):(/.*)$"
+OLD = r"^(?:nfs://)?((?!nfs:/).+?):(/.*)$"
 
 
 def source_url_parts(url: Column, export: Column | None = None) -> Column:

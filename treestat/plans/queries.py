@@ -186,7 +186,7 @@ _add("scan_history", lambda spark, d: X.scans(spark, d).select("scan_id", C.form
   ELSE concat(elapsed_secs // 3600, 'h ', elapsed_secs % 3600 // 60, 'm') END AS elapsed,
   CASE WHEN elapsed_secs > 0 THEN CAST(files + dirs AS DOUBLE) / CAST(elapsed_secs AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS rate FROM scans""")
 _add("source_url_parts", lambda spark, d: X.scans(spark, d).select("scan_id", C.source_url_parts(F.col("source_url")).alias("u")).select("scan_id", "u.*"),
-     r"""WITH p AS (SELECT scan_id, regexp_extract(regexp_replace(source_url, '^(?:nfs://)?([^:/]+):/', '\1/'), '^(?:nfs://)?([^:/]+)(?::([0-9]+))?(/\S*)$', ['server', 'port', 'path']) AS u FROM scans),
+     r"""WITH p AS (SELECT scan_id, regexp_extract(CASE WHEN source_url LIKE 'nfs://%' THEN source_url ELSE regexp_replace(source_url, '^([^:/]+):/', '\1/') END, '^(?:nfs://)?([^:/]+)(?::([0-9]+))?(/\S*)$', ['server', 'port', 'path']) AS u FROM scans),
   q AS (SELECT scan_id, u.path <> '' AS valid, nullif(u.server, '') AS server, CAST(nullif(u.port, '') AS INT) AS port, rtrim(u.path, '/') AS path FROM p),
   r AS (SELECT *, CASE WHEN path = '' THEN '/' ELSE regexp_extract(path, '^(/[^/]+)', 1) END AS share FROM q),
   s AS (SELECT *, CASE WHEN share = '/' THEN '' ELSE substr(path, length(share) + 1) END AS sub FROM r)
