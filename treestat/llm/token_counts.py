@@ -80,6 +80,7 @@ class PrefixCounter(dict):
                 self.own.setdefault(p[:k], False)
         for p in self.score:
             self.own[p] = SPACE * 2 not in p and self.pieces(p) == [p]
+        self.runs: list[int] = []
         self._tables()
         #: (last token, next token) -> whether they stay apart when encoded together.
         self.apart: dict[tuple[str, str], bool] = {}
@@ -244,8 +245,14 @@ class PrefixCounter(dict):
             at = end
 
     def _run(self, k: int) -> int:
-        """Tokens of a run of k spaces."""
-        return len(self.merged(SPACE * k))
+        """Tokens of a run of k spaces. Merging goes from the left, so the first token of a long run is settled early."""
+        if not self.runs:
+            self.runs = [len(self.merged(SPACE * i)) for i in range(129)]
+        step = max(map(len, self.score))
+        if k > 128 and all(self.runs[i] == self.runs[i - step] + 1 for i in range(64, 129)):
+            blocks = (k - 113) // step
+            return self.runs[k - blocks * step] + blocks
+        return self.runs[k] if k <= 128 else len(self.merged(SPACE * k))
 
     def counts(self, word: str) -> list[int]:
         body = word.lstrip(SPACE)
