@@ -94,7 +94,8 @@ def _transitions(words: DataFrame) -> DataFrame:
 def train(scanned: DataFrame, docs: DataFrame, text: str = "text") -> list[float]:
     """Log-likelihood ratio of each transition, row by row of the alphabet; the table has a fixed size."""
     random = scanned.select(F.explode("base").alias("s")).select(F.col("s.value").alias("value"))
-    sample = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("t")).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("t")).limit(ORDINARY_DOCS)
+    ids = docs.select("doc_id").filter("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(ORDINARY_DOCS)
+    sample = docs.select("doc_id", F.col(text).alias("t")).join(F.broadcast(ids), "doc_id", "left_semi")  # at most ORDINARY_DOCS ids
     words = sample.select(F.explode(F.regexp_extract_all("t", F.lit(ORDINARY), F.lit(0))).alias("value"))
     words = words.filter(~F.col("value").rlike(HEX) & ~F.col("value").rlike(ACCESS) & (F.length("value") < 40))
     n = len(ALPHABET)
