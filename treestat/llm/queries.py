@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from treestat.llm import byte_bpe, quality, secrets, token_counts, toxicity
+from treestat.llm import byte_bpe, html_text, quality, secrets, token_counts, toxicity
 from treestat.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,8 +33,12 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digests(table(spark, sf_dir, "documents"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES |= {f.__name__: f for f in (op2_toxicity, op4_token_counts, op6_byte_bpe, op7_secrets, op9_quality)}
+QUERIES |= {f.__name__: f for f in (op2_toxicity, op4_token_counts, op6_byte_bpe, op7_secrets, op8_html_text, op9_quality)}
