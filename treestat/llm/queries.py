@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from treestat.llm import byte_bpe, html_text, quality, secrets, token_counts, toxicity
+from treestat.llm import byte_bpe, decontaminate, html_text, quality, secrets, token_counts, toxicity
 from treestat.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -17,6 +17,10 @@ BYTE_BPE = "byte_bpe_50k.tiktoken"
 PIECES = "piece_bpe_32k.model"
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.severity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -41,4 +45,4 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES |= {f.__name__: f for f in (op2_toxicity, op4_token_counts, op6_byte_bpe, op7_secrets, op8_html_text, op9_quality)}
+QUERIES |= {f.__name__: f for f in (op1_decontamination, op2_toxicity, op4_token_counts, op6_byte_bpe, op7_secrets, op8_html_text, op9_quality)}
