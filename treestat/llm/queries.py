@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from treestat.llm import byte_bpe, decontaminate, html_text, quality, secrets, token_counts, toxicity
+from treestat.llm import byte_bpe, decontaminate, html_text, minhash, quality, secrets, token_counts, toxicity
 from treestat.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.groups(table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN)
 
@@ -45,4 +49,4 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES |= {f.__name__: f for f in (op1_decontamination, op2_toxicity, op4_token_counts, op6_byte_bpe, op7_secrets, op8_html_text, op9_quality)}
+QUERIES |= {f.__name__: f for f in (op1_decontamination, op2_toxicity, op4_token_counts, op5_minhash, op6_byte_bpe, op7_secrets, op8_html_text, op9_quality)}
