@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from treestat.llm import byte_bpe, decontaminate, html_text, minhash, quality, secrets, token_counts, toxicity
+from treestat.llm import byte_bpe, decontaminate, html_text, minhash, neighbours, quality, secrets, token_counts, toxicity
 from treestat.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.severity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.links(table(spark, sf_dir, "embeddings"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
@@ -49,4 +53,4 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES |= {f.__name__: f for f in (op1_decontamination, op2_toxicity, op4_token_counts, op5_minhash, op6_byte_bpe, op7_secrets, op8_html_text, op9_quality)}
+QUERIES |= {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_neighbours, op4_token_counts, op5_minhash, op6_byte_bpe, op7_secrets, op8_html_text, op9_quality)}
