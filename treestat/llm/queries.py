@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from treestat.llm import byte_bpe, decontaminate, html_text, minhash, neighbours, quality, secrets, token_counts, toxicity
+from treestat.llm import byte_bpe, decontaminate, html_text, minhash, neighbours, quality, secrets, suffix_dedup, token_counts, toxicity
 from treestat.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,4 +53,8 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES |= {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_neighbours, op4_token_counts, op5_minhash, op6_byte_bpe, op7_secrets, op8_html_text, op9_quality)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removal_digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_neighbours, op4_token_counts, op5_minhash, op6_byte_bpe, op7_secrets, op8_html_text, op9_quality, op10_suffix_dedup)}
