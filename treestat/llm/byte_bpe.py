@@ -18,10 +18,11 @@ import hashlib
 from collections.abc import Iterator
 from itertools import chain
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from treestat.llm.tables import add_columns
+
 #: Words kept by a worker; about 300 bytes each.
 MEMO_WORDS = 400_000
 #: Characters of text in a slice, and new words in one recursive query.
@@ -179,42 +180,28 @@ def codec(path: str, pattern: str) -> Codec:
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """``docs`` with ``token_ids`` array<int> of the whole text. Replaces a column of that name."""
-    schema = docs.drop("token_ids").schema.add("token_ids", "array<int>")
+    rows = docs.drop("token_ids")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(texts: list[str]) -> list[list]:
         import numpy as np
 
-        c = codec(path, pattern)
-        for pdf in frames:
-            texts = pdf[text].fillna("").tolist()
-            yield pdf.drop(columns="token_ids", errors="ignore").assign(token_ids=[np.frombuffer(i, "<u4").astype("i4") for i, _ in c.round_trip(texts)])
+        return [[np.frombuffer(i, "<u4").astype("i4") for i, _ in codec(path, pattern).round_trip([t or "" for t in texts])]]
 
-    return docs.mapInPandas(run, schema)
+    return add_columns(rows, rows.columns, [text], run, {"token_ids": "array<int>"})
 
 
 def decode(rows: DataFrame, path: str, pattern: str, ids: str = "token_ids") -> DataFrame:
     """``rows`` with ``decoded`` binary of the id lists; NULL lists give no bytes."""
-    schema = rows.drop("decoded").schema.add("decoded", "binary")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = codec(path, pattern)
-        for pdf in frames:
-            lists = [[] if x is None else [int(i) for i in x] for x in pdf[ids]]
-            yield pdf.drop(columns="decoded", errors="ignore").assign(decoded=c.decode_ids(lists))
-
-    return rows.mapInPandas(run, schema)
+    rows = rows.drop("decoded")
+    return add_columns(rows, rows.columns, [ids], lambda lists: [codec(path, pattern).decode_ids([x or [] for x in lists])], {"decoded": "binary"})
 
 
 def digests(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """doc_id, n_tokens, and SHA-256 of the ids (little-endian 32-bit) and of the decoded bytes."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = codec(path, pattern)
-        for pdf in frames:
-            texts = pdf["t"].tolist()
-            made = [(len(i) // 4, hashlib.sha256(i).hexdigest(), hashlib.sha256(b).hexdigest()) for i, b in c.round_trip(texts)]
-            n, a, b = zip(*made) if made else ((), (), ())
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": list(n), "ids_sha256": list(a), "decoded_sha256": list(b)})
+    def run(texts: list[str]) -> list[list]:
+        made = [(len(i) // 4, hashlib.sha256(i).hexdigest(), hashlib.sha256(b).hexdigest()) for i, b in codec(path, pattern).round_trip(texts)]
+        return [list(x) for x in zip(*made)] if made else [[], [], []]
 
     rows = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("t"))
-    return rows.mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return add_columns(rows, ["doc_id"], ["t"], run, {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"})

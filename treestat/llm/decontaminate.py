@@ -20,11 +20,11 @@ from functools import reduce
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treestat.llm.shingles import WORDS, shingles, slices, words
+from treestat.llm.tables import add_columns, keep_rows
 
 SIMILARITY = 0.8
 RADIUS = 18
@@ -164,7 +164,7 @@ def _groups(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     groups = max(1, -(-n // (GROUP_ITEMS // 2)), -(-chars // (GROUP_CHARS // 2))) if n > GROUP_ITEMS or chars > GROUP_CHARS else 1
     for k in range(groups):
         part = b.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == k)
-        yield sorted((r["item_id"], r["text"]) for r in part.collect())
+        yield sorted(((r["item_id"], r["text"]) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", least: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
@@ -172,13 +172,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", least: floa
     rows = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("t"))
 
     def one(items: list[tuple[int, str]]) -> DataFrame:
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(texts: list[str]) -> list[list]:
             index = _index(items, radius)
-            for pdf in frames:
-                out = [(d, index.ids[i], s, p, int(index.lens[i])) for d, found in zip(pdf["doc_id"], index.documents(pdf["t"].tolist(), least)) for i, (s, p) in sorted(found.items())]
-                yield pd.DataFrame(out, columns=["doc_id", "item_id", "similarity", "first_word", "n_words"])
+            return [[[(index.ids[i], s, p, int(index.lens[i])) for i, (s, p) in sorted(found.items())] for found in index.documents(texts, least)]]
 
-        return rows.mapInPandas(run, "doc_id long, item_id long, similarity double, first_word long, n_words long")
+        made = add_columns(rows, ["doc_id"], ["t"], run, {"leak": "array<struct<item_id:bigint,similarity:double,first_word:bigint,n_words:bigint>>"})
+        return made.select("doc_id", F.explode("leak").alias("leak")).select("doc_id", "leak.*")
 
     return reduce(DataFrame.unionByName, map(one, _groups(benchmark)))
 
@@ -186,12 +185,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", least: floa
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", least: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """``docs`` without the documents that leak an item."""
     for items in _groups(benchmark):
-
-        def run(frames: Iterator[pd.DataFrame], items=items) -> Iterator[pd.DataFrame]:
-            index = _index(items, radius)
-            for pdf in frames:
-                texts = [t if isinstance(t, str) else "" for t in pdf[text]]
-                yield pdf[[not found for found in index.documents(texts, least)]]
-
-        docs = docs.mapInPandas(run, docs.schema)
+        docs = keep_rows(docs, text, lambda texts, items=items: [not found for found in _index(items, radius).documents(texts, least)])
     return docs

@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from treestat.llm.tables import add_columns
+
 TRAIN_PAGES = 1500
 #: Log-odds of the deepest telling ancestor, and weights of the smoothness edges.
 TELLING, NEXT, SIBLING, COUSIN = 4.0, 0.4, 0.8, 0.2
@@ -242,9 +244,8 @@ def main_text(pages: DataFrame, html: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     weights = train(pages, html)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            texts = [content(h, weights) if isinstance(h, str) else "" for h in pdf["h"]]
-            yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+    def run(found: list[str | None]) -> list[list]:
+        texts = [content(h or "", weights) for h in found]
+        return [texts, [len(t) for t in texts]]
 
-    return pages.select("page_id", "url", F.col(html).alias("h")).mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    return add_columns(pages.select("page_id", "url", F.col(html).alias("h")), ["page_id", "url"], ["h"], run, {"text": "string", "n_chars": "long"})

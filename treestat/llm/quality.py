@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from treestat.llm.tables import add_columns
+
 TRAIN_DOCS = 6000
 PASSAGE_WORDS = 64
 CUT = 0.3
@@ -189,10 +191,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, text: str = "text", cut:
     """doc_id, held_out, score (0 to 1, higher: label 1 likelier), predicted."""
     model = train(docs, labels, text)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            p = score(model, [bytes(t) for t in pdf["t"]])
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "score": p, "predicted": [int(x >= cut) for x in p]})
+    def run(texts: list[bytes]) -> list[list]:
+        p = score(model, texts)
+        return [p, [int(x >= cut) for x in p]]
 
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
-    return rows.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
+    return add_columns(rows, ["doc_id", "held_out"], ["t"], run, {"score": "double", "predicted": "int"})

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from treestat.llm.induced import repeated
 from treestat.llm.shingles import mix
+from treestat.llm.tables import add_columns
 from treestat.session import written
 
 SIZE = 400
@@ -61,9 +62,9 @@ def segments(text: bytes, size: int = SIZE, gram: int = GRAM) -> tuple[np.ndarra
 
 
 def _keyed(docs: DataFrame, text: str) -> DataFrame:
-    """doc_id, rid (a hash of doc_id and text), t."""
+    """doc_id, t, and rid, rid2: 128 bits of hash of doc_id and text. Equal rows have equal keys."""
     rows = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("t"))
-    return rows.select("doc_id", F.xxhash64("doc_id", "t").alias("rid"), "t")
+    return rows.select("doc_id", F.xxhash64("doc_id", "t").alias("rid"), F.xxhash64(F.lit("second"), "t", "doc_id").alias("rid2"), "t")
 
 
 def _segments(rows: DataFrame, size: int) -> DataFrame:
@@ -80,20 +81,19 @@ def _segments(rows: DataFrame, size: int) -> DataFrame:
             if out:
                 k = np.concatenate(doc)
                 cols = [np.concatenate(c) for c in zip(*out)]
-                yield pdf[["doc_id", "rid"]].iloc[k].assign(first=cols[0], n=cols[1], key=cols[2], digest=cols[3], twice=cols[4])
+                yield pdf[["rid", "rid2"]].iloc[k].assign(first=cols[0], n=cols[1], key=cols[2], digest=cols[3], twice=cols[4])
 
-    return rows.mapInPandas(run, "doc_id long, rid long, first long, n long, key long, digest long, twice boolean")
+    return rows.select("rid", "rid2", "t").mapInPandas(run, "rid long, rid2 long, first long, n long, key long, digest long, twice boolean")
 
 
 def _with_texts(rows: DataFrame, lists: DataFrame, how: str) -> DataFrame:
     """Rows with their own lists; equal rows share them."""
-    r = lists.withColumnRenamed("doc_id", "_doc_id").withColumnRenamed("rid", "_rid")
-    return rows.join(r, (rows["rid"] == r["_rid"]) & rows["doc_id"].eqNullSafe(r["_doc_id"]), how).drop("_doc_id", "_rid")
+    return rows.join(lists, ["rid", "rid2"], how)
 
 
 def _cut_out(rows: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
     """key, digest, n and the bytes of the chosen segments."""
-    lists = chosen.groupBy("doc_id", "rid").agg(F.collect_set(F.struct("first", "n", "key", "digest")).alias("cuts"))  # a text's own
+    lists = chosen.groupBy("rid", "rid2").agg(F.collect_set(F.struct("first", "n", "key", "digest")).alias("cuts"))  # a text's own
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -145,29 +145,29 @@ def _sorted(cut: DataFrame, size: int, shard_bytes: int) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, text: str = "text", size: int = SIZE, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """doc_id, rid, start, end: runs of windows of each text that also start elsewhere."""
+    """rid, rid2, start, end: runs of windows of each text that also start elsewhere."""
     rows = _keyed(docs, text)
     found = written(_segments(rows, size), "segments")
     keys = found.groupBy("key").agg(F.count("*").alias("times"), F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.max("twice").alias("twice"))
     keys = keys.filter("times > 1 OR twice").withColumn("equal", (F.col("times") > 1) & (F.col("lo") == F.col("hi")))
     some = written(found.drop("twice").join(keys.select("key", "equal"), "key"), "repeated")
-    whole = some.filter("equal").select("doc_id", "rid", F.col("first").alias("start"), (F.col("first") + F.col("n")).alias("end"))
+    whole = some.filter("equal").select("rid", "rid2", F.col("first").alias("start"), (F.col("first") + F.col("n")).alias("end"))
     mixed = some.filter("NOT equal")
-    one = mixed.groupBy("key", "digest").agg(F.count("*").alias("copies"), F.min(F.struct("rid", "first", "n", "doc_id")).alias("s"))
-    chosen = one.select("key", "digest", "s.doc_id", "s.rid", "s.first", "s.n")
+    one = mixed.groupBy("key", "digest").agg(F.count("*").alias("copies"), F.min(F.struct("rid", "rid2", "first", "n")).alias("s"))
+    chosen = one.select("key", "digest", "s.rid", "s.rid2", "s.first", "s.n")
     spans = _sorted(_cut_out(rows, chosen, size), size, shard_bytes)
     spans = spans.groupBy("key", "digest").agg(F.first("spans").alias("spans"))  # repeated rows cut theirs twice
     known = written(one.select("key", "digest", "copies").join(spans, ["key", "digest"]), "spans")
     part = mixed.join(known, ["key", "digest"])
     everything = F.array(F.array(F.lit(0).cast("bigint"), F.col("n")))
     part = part.withColumn("span", F.explode(F.when(F.col("copies") > 1, everything).otherwise(F.col("spans"))))
-    part = part.select("doc_id", "rid", (F.col("first") + F.col("span")[0]).alias("start"), (F.col("first") + F.col("span")[1]).alias("end"))
+    part = part.select("rid", "rid2", (F.col("first") + F.col("span")[0]).alias("start"), (F.col("first") + F.col("span")[1]).alias("end"))
     return whole.unionByName(part)
 
 
-def _removed(docs: DataFrame, text: str, size: int, shard_bytes: int, run, schema: str) -> DataFrame:
-    lists = repeated_windows(docs, text, size, shard_bytes).groupBy("doc_id", "rid").agg(F.collect_set(F.struct("start", "end")).alias("runs"))
-    return _with_texts(_keyed(docs, text), lists, "left").select("doc_id", "t", "runs").mapInPandas(run, schema)
+def _removed(docs: DataFrame, text: str, size: int, shard_bytes: int, f, new: dict[str, str]) -> DataFrame:
+    lists = repeated_windows(docs, text, size, shard_bytes).groupBy("rid", "rid2").agg(F.collect_set(F.struct("start", "end")).alias("runs"))
+    return add_columns(_with_texts(_keyed(docs, text), lists, "left"), ["doc_id"], ["t", "runs"], f, new)
 
 
 def _cover(raw: bytes, runs, size: int) -> tuple[bytes, int]:
@@ -187,24 +187,18 @@ def _cover(raw: bytes, runs, size: int) -> tuple[bytes, int]:
 def removal_digests(docs: DataFrame, text: str = "text", size: int = SIZE, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            out = []
-            for t, runs in zip(pdf["t"], pdf["runs"]):
-                raw = t.encode()
-                kept, n = _cover(raw, runs, size)
-                out.append((len(raw), len(raw) - len(kept), n, hashlib.sha256(kept).hexdigest()))
-            n_bytes, n_removed, n_spans, digest = zip(*out) if out else ((),) * 4
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_bytes": list(n_bytes), "n_removed": list(n_removed), "n_spans": list(n_spans), "kept_sha256": list(digest)})
+    def run(texts: list[str], lists: list) -> list[list]:
+        out = []
+        for t, runs in zip(texts, lists):
+            raw = t.encode()
+            kept, n = _cover(raw, runs, size)
+            out.append((len(raw), len(raw) - len(kept), n, hashlib.sha256(kept).hexdigest()))
+        return [list(x) for x in zip(*out)] if out else [[]] * 4
 
-    return _removed(docs, text, size, shard_bytes, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _removed(docs, text, size, shard_bytes, run, {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string"})
 
 
 def kept_bytes(docs: DataFrame, text: str = "text", size: int = SIZE, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """doc_id and the bytes that stay (a cut may fall inside a character)."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "kept": [_cover(t.encode(), r, size)[0] for t, r in zip(pdf["t"], pdf["runs"])]})
-
-    return _removed(docs, text, size, shard_bytes, run, "doc_id long, kept binary")
+    run = lambda texts, lists: [[_cover(t.encode(), r, size)[0] for t, r in zip(texts, lists)]]
+    return _removed(docs, text, size, shard_bytes, run, {"kept": "binary"})

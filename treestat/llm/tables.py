@@ -1,9 +1,42 @@
-"""Reading the tables that the operators take."""
+"""Reading the tables that the operators take, and applying a function of texts batch by batch."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def add_columns(df: DataFrame, keep: list[str], take: list[str], f: Callable[..., list[list]], new: dict[str, str]) -> DataFrame:
+    """The ``keep`` columns as they are and ``new`` columns (name: type), computed from the ``take`` columns.
+
+    ``f`` gets a list of values for each taken column and returns a list for each new one. Values that are only
+    carried never leave Arrow, so NULLs and large numbers stay exact.
+    """
+    added = T.StructType.fromDDL(", ".join(f"{c} {kind}" for c, kind in new.items()))
+    schema = T.StructType([*(df.schema[c] for c in keep), *added])
+    kinds = [to_arrow_type(f.dataType) for f in added]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = f(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in take))
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in keep), *(pa.array(x, k) for x, k in zip(made, kinds))], [*keep, *new])
+
+    return df.mapInArrow(run, schema)
+
+
+def keep_rows(df: DataFrame, text: str, f: Callable[[list[str]], list[bool]]) -> DataFrame:
+    """The rows for whose texts (NULL: empty) ``f`` says so, all columns as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [t or "" for t in b.column(b.schema.get_field_index(text)).to_pylist()]
+            yield b.filter(pa.array(f(texts), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

@@ -20,10 +20,11 @@ from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from treestat.llm.tables import add_columns
+
 MEMO_WORDS = 600_000
 SLICE_CHARS = 2_000_000
 #: Longer words are counted but not kept.
@@ -317,29 +318,20 @@ def counter(path: str) -> PrefixCounter:
 def token_counts(docs: DataFrame, path: str, limit: int = 4096, text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit, and fit_chars: characters of the longest prefix within ``limit`` tokens."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(texts: list[str]) -> list[list]:
         c = counter(path)
-        for pdf in frames:
-            n = list(c.totals(pdf["t"].tolist()))
-            fit = [len(t) if k <= limit else c.longest_prefix(t, limit) for t, k in zip(pdf["t"], n)]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_bytes": pdf["n_bytes"], "n_tokens": n, "over_limit": [k > limit for k in n], "fit_chars": fit})
+        n = list(c.totals(texts))
+        return [n, [k > limit for k in n], [len(t) if k <= limit else c.longest_prefix(t, limit) for t, k in zip(texts, n)]]
 
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select("doc_id", t.alias("t"), F.octet_length(t).cast("long").alias("n_bytes"))
-    return rows.mapInPandas(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
+    return add_columns(rows, ["doc_id", "n_bytes"], ["t"], run, {"n_tokens": "long", "over_limit": "boolean", "fit_chars": "long"})
 
 
 def prefix_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """``docs`` with ``prefix_tokens`` array<int>: the exact count at every prefix, 0 first. Replaces such a column."""
-    schema = docs.drop("prefix_tokens").schema.add("prefix_tokens", "array<int>")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = counter(path)
-        for pdf in frames:
-            made = [c.prefixes(t if isinstance(t, str) else "") for t in pdf[text]]
-            yield pdf.drop(columns="prefix_tokens", errors="ignore").assign(prefix_tokens=made)
-
-    return docs.mapInPandas(run, schema)
+    rows = docs.drop("prefix_tokens")
+    return add_columns(rows, rows.columns, [text], lambda texts: [[counter(path).prefixes(t or "") for t in texts]], {"prefix_tokens": "array<int>"})
 
 
 def tokens_at(prefix_tokens: Column, chars: Column | int) -> Column:

@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from treestat.llm.tables import add_columns, keep_rows
+
 TRAIN_DOCS = 15_000
 BITS = 20
 Z = 3.0
@@ -140,29 +142,20 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", train_docs: in
     return fit([np.frombuffer(r["f"], "<i4") for r in got], np.array([int(r["toxic"] > 0) for r in got]))
 
 
-def _scored(docs: DataFrame, model: Model, text: str, schema, row) -> DataFrame:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            above = [model.above(t) if isinstance(t, str) else model.above("") for t in pdf[text]]
-            yield row(pdf, above)
-
-    return docs.mapInPandas(run, schema)
-
-
 def severity(docs: DataFrame, labels: DataFrame, text: str = "text", cut: float = CUT) -> DataFrame:
     """doc_id, expected severity (0 to 3), most probable grade, p_toxic, toxic."""
     model = train(docs, labels, text)
 
-    def row(pdf: pd.DataFrame, above: list[list[float]]) -> pd.DataFrame:
-        a = np.array(above).reshape(len(pdf), GRADES)
-        shares = np.hstack([np.ones((len(pdf), 1)), a]) - np.hstack([a, np.zeros((len(pdf), 1))])
-        return pd.DataFrame({"doc_id": pdf["doc_id"], "severity": a.sum(1), "grade": shares.argmax(1), "p_toxic": a[:, 0], "toxic": a[:, 0] >= cut})
+    def score(texts: list[str]) -> list[list]:
+        a = np.array([model.above(t) for t in texts]).reshape(len(texts), GRADES)
+        shares = np.hstack([np.ones((len(a), 1)), a]) - np.hstack([a, np.zeros((len(a), 1))])
+        return [a.sum(1).tolist(), shares.argmax(1).tolist(), a[:, 0].tolist(), (a[:, 0] >= cut).tolist()]
 
-    rows = docs.select("doc_id", F.col(text).alias("t"))
-    return _scored(rows, model, "t", "doc_id long, severity double, grade int, p_toxic double, toxic boolean", row)
+    rows = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("t"))
+    return add_columns(rows, ["doc_id"], ["t"], score, {"severity": "double", "grade": "int", "p_toxic": "double", "toxic": "boolean"})
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, text: str = "text", cut: float = CUT) -> DataFrame:
     """``docs`` without the documents that are toxic."""
     model = train(docs, labels, text)
-    return _scored(docs, model, text, docs.schema, lambda pdf, above: pdf[[a[0] < cut for a in above]])
+    return keep_rows(docs, text, lambda texts: [bool(model.above(t)[0] < cut) for t in texts])
