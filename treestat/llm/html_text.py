@@ -31,6 +31,8 @@ from treestat.llm.tables import add_columns
 TRAIN_PAGES = 1500
 #: Log-odds of the deepest telling ancestor, and weights of the smoothness edges.
 TELLING, NEXT, SIBLING, COUSIN = 4.0, 0.4, 0.8, 0.2
+#: Log-odds of a block that nothing is known about: content.
+PRIOR = 0.1
 
 #: Element kinds and telling names.
 SKIPPED = ("script", "style", "noscript", "template", "title", "select", "button", "textarea", "svg", "iframe", "object", "canvas", "audio", "video", "math")
@@ -173,8 +175,10 @@ def min_cut(cost: list[float], edges: list[tuple[int, int, float]]) -> list[bool
         near[a][b] = near[a].get(b, 0.0) + w
         near[b][a] = near[b].get(a, 0.0) + w
     eps = 1e-9
-    if not any(g > eps for g in gain) or not any(x > eps for x in loss):
-        return [g > eps or x <= eps and any(gain) for g, x in zip(gain, loss)]
+    if not any(x > eps for x in loss):
+        return [True] * n
+    if not any(g > eps for g in gain):
+        return [False] * n
     while True:
         before = {i: -1 for i in range(n) if gain[i] > eps}
         queue, end = deque(before), -1
@@ -206,7 +210,7 @@ def content(page: str, weights: np.ndarray) -> str:
     found = blocks(page)
     if not found:
         return ""
-    cost = np.clip(features(found) @ weights, -3, 3) + TELLING * np.array([e.sign for _, e, _ in found])
+    cost = PRIOR + np.clip(features(found) @ weights, -3, 3) + TELLING * np.array([e.sign for _, e, _ in found])
     edges, last = [], {}
     for k, (_, e, _) in enumerate(found):
         if k:

@@ -6,9 +6,10 @@ bound that leaves some k ln k of them; each dart has one of ``k`` coordinates, a
 the signature's entry. Two texts agree in a coordinate with the probability of their weighted Jaccard similarity.
 
 Texts that agree in all rows of a band are candidates. Equal texts are one node from the start. In each bucket all
-members are first compared with the least one; then, over the components found so far, every member of another
-component in the bucket is compared. So no pair of candidates is lost, yet a group of copies costs about one
-comparison per member. Similarity ``least`` or more (sum of least over sum of greatest counts, computed from the whole
+members are first compared with the least one; members outside the bucket's main component then with those whose
+signatures agree most; at last every pair of different components in a bucket, in blocks, whose signatures agree in
+``AGREE`` or more of their 168 entries (at similarity 0.8 a pair has less with probability 0.03, at 0.85 0.0001). So a group of copies costs a few
+comparisons per member and no pair of its members is listed. Similarity ``least`` or more (sum of least over sum of greatest counts, computed from the whole
 texts) is a link, and components of links are the groups.
 
 Defined cases: NULL texts and texts without words are alone. A text with fewer than five words is one shingle. Rows of
@@ -29,11 +30,15 @@ from pyspark.sql import functions as F
 
 from treestat.llm.graph import components
 from treestat.llm.shingles import mix, shingles, slices, weighted_jaccard, words
+from treestat.llm.tables import by_group
 from treestat.session import written
 
 SIMILARITY = 0.8
 #: Texts of similarity 0.8 share a band with probability 0.996, of 0.5 with 0.17, of 0.3 with 0.005.
 BANDS, ROWS = 24, 7
+AGREE_FIRST, AGREE = 0.65, 0.74
+#: Members of a bucket compared at once, and partners that a member outside the main component tries first.
+BLOCK, TRIES = 512, 4
 _COUNT, _LOW = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xFFFFFFFF)
 
 
@@ -127,12 +132,54 @@ def _signed(docs: DataFrame, text: str) -> DataFrame:
             texts = pdf["t"].tolist()
             for a, b in slices(texts, 1_000_000):
                 sh, at = shingles(*words(texts[a:b]))
-                keys = band_keys(signatures(sh, at))
+                sig = signatures(sh, at)
+                keys = band_keys(sig)
                 some = np.diff(at) > 0
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[a:b], "cls": pdf["cls"].iloc[a:b], "bands": [x if s else None for x, s in zip(keys, some)]})
+                sketch = [np.concatenate([x.view(np.uint8), y]).tobytes() for x, y in zip(keys, sig.astype(np.uint8))]
+                cut = pdf[["doc_id", "cls"]].iloc[a:b]
+                yield cut.assign(bands=[x if s else None for x, s in zip(keys, some)], sketch=sketch)
 
     rows = docs.filter("doc_id IS NOT NULL").select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("t"))
-    return rows.select("doc_id", F.md5("t").alias("cls"), "t").mapInPandas(run, "doc_id long, cls string, bands array<long>")
+    return rows.select("doc_id", F.md5("t").alias("cls"), "t").mapInPandas(run, "doc_id long, cls string, bands array<long>, sketch binary")
+
+
+def _agreeing(mixed: DataFrame, tries: int | None) -> DataFrame:
+    """Pairs (a, b) of different components in one bucket with agreeing signatures; the ``tries`` best of each member."""
+    sizes = mixed.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    rows = mixed.join(sizes, "key").withColumn("i", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    rows = rows.select("rep", "root", "main", "band", "sketch", "i", F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("g"))
+
+    agree = AGREE if tries is None else AGREE_FIRST
+
+    def pairs(rep, root, main, band, keys, sig, left: np.ndarray, right: np.ndarray) -> Iterator[pd.DataFrame]:
+        left = left[root[left] != main[left]]
+        step = max(1, 24_000_000 // max(1, len(right) * sig.shape[1]))
+        for part in (left[k : k + step] for k in range(0, len(left), step)):
+            share = (sig[part][:, None] == sig[right]).mean(2)
+            ok = (share >= agree) & (root[part][:, None] != root[right])
+            if tries is None:  # each pair once: in the first band that it shares, and from one side
+                ok &= (keys[part][:, None] == keys[right]).argmax(2) == band[part][:, None]
+                ok &= (root[right] == main[right]) | (rep[part][:, None] < rep[right])
+            else:
+                worst = -np.sort(-np.where(ok, share, -1), axis=1)[:, : tries][:, -1:]
+                ok &= share >= worst
+            a, b = np.nonzero(ok)
+            a, b = rep[part[a]], rep[right[b]]
+            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    def run(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        g, rep, root, main, band, i = (pdf[c].to_numpy() for c in ("g", "rep", "root", "main", "band", "i"))
+        sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(pdf), -1)
+        keys, sig = np.ascontiguousarray(sketch[:, : BANDS * 8]).view(np.int64), sketch[:, BANDS * 8 :]
+        start = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+        for a, b in zip(start, np.append(start[1:], len(g))):
+            one = np.arange(a, b)[i[a:b] == i[a]]
+            two = np.arange(a, b)[i[a:b] != i[a]]
+            for left, right in ((one, two), (two, one)) if len(two) else ((one, one),):
+                yield from pairs(rep, root, main, band, keys, sig, left, right)
+
+    return by_group(rows, "g", run, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -150,34 +197,34 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
     b = texts.select(F.col("doc_id").alias("b"), F.col("t").alias("tb"))
     a = texts.select(F.col("doc_id").alias("a"), F.col("t").alias("ta"))
-    return pairs.join(b, "b").join(a, "a").select("a", "ta", "b", "tb").mapInPandas(run, "a long, b long")
+    return pairs.join(b.hint("merge"), "b").join(a.hint("merge"), "a").select("a", "ta", "b", "tb").mapInPandas(run, "a long, b long")
 
 
 def groups(docs: DataFrame, text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id (least doc_id with the same text), group_id (least doc_id of its group), kept: one row per row with doc_id."""
     signed = written(_signed(docs, text), "signed")
     with_words = signed.filter("bands IS NOT NULL")
-    classes = written(with_words.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
-    spread = classes.select("rep", F.explode("bands").alias("key"))
+    classes = with_words.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = written(classes, "classes")
+    spread = classes.select("rep", F.posexplode("bands").alias("band", "key"))
     shared = spread.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).filter("first <> last")
     buckets = written(spread.join(shared.select("key", "first"), "key"), "buckets")  # only buckets of two texts or more
     rows = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("t"))
-    texts = written(rows.join(buckets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
+    texts = written(rows.join(buckets.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"), "texts")
 
     star = buckets.filter("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
     links = written(_verified(star, texts, least), "links")
     found = components(links)
-    # what the first members did not settle: members of different components in one bucket
-    now = buckets.join(found.select(F.col("node").alias("rep"), "root"), "rep", "left").select("key", "rep", "first", F.coalesce("root", "rep").alias("root"))
-    mixed = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.mode("root", deterministic=True).alias("main")).filter("lo <> hi")
-    now = written(now.join(mixed.select("key", "main"), "key"), "mixed")
-    other = now.filter("root <> main").select("key", F.col("rep").alias("a"), F.col("root").alias("ra"), F.col("first"))
-    pairs = other.join(now.select("key", F.col("rep").alias("b"), F.col("root").alias("rb")), "key").filter("ra <> rb AND a <> first AND b <> first")
-    rest = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = written(_verified(rest, texts, least), "links")
-    found = components(links.unionByName(more)) if not more.isEmpty() else found
-
-    member = signed.join(classes.select("cls", "rep"), "cls", "left").select("doc_id", F.when(F.col("bands").isNotNull(), F.col("rep")).otherwise(F.col("doc_id")).alias("class_id"))
+    for tries in (TRIES, None):  # what the first members did not settle: members of different components in one bucket
+        now = buckets.join(found.select(F.col("node").alias("rep"), "root"), "rep", "left").select("key", "band", "rep", F.coalesce("root", "rep").alias("root"))
+        mixed = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.mode("root", deterministic=True).alias("main")).filter("lo <> hi")
+        mixed = now.join(mixed.select("key", "main"), "key").join(classes.select("rep", "sketch"), "rep")
+        more = written(_verified(_agreeing(mixed, tries), texts, least), "links")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            found = components(links)
+
+    member = signed.select("doc_id", "cls", "bands").join(classes.select("cls", "rep"), "cls", "left").select("doc_id", F.when(F.col("bands").isNotNull(), F.col("rep")).otherwise(F.col("doc_id")).alias("class_id"))
     out = member.join(found.select(F.col("node").alias("class_id"), "root"), "class_id", "left")
     return out.select("doc_id", "class_id", F.coalesce("root", "class_id").alias("group_id"), (F.coalesce("root", "class_id") == F.col("doc_id")).alias("kept"))
 

@@ -3,7 +3,7 @@
 DataFrame functions only. One pass over the texts finds the pattern spans and long runs of token characters
 (candidates) and is written to the shared folder; what the patterns matched are the samples labelled random, the words
 of a bounded sample of documents the samples labelled ordinary. From both come character transition counts with
-additive smoothing; a candidate outside the pattern spans is a ``random`` span if random strings explain it better than
+smoothing; a candidate outside the pattern spans is a ``random`` span if random strings explain it better than
 ordinary identifiers by ``MIN_RATIO`` nats.
 
 Defined cases: NULL or empty text has no spans, zero counts and the digest of the empty string. Offsets are code
@@ -33,7 +33,8 @@ CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
 ORDINARY = "[A-Za-z0-9+/_=-]{4,}"
 #: Documents whose words are the samples of ordinary identifiers.
 ORDINARY_DOCS = 2000
-SMOOTHING = 0.5
+#: Weight of a character's overall share against its counts after another one.
+SMOOTHING = 30.0
 #: Log of the odds against a candidate being random.
 MIN_RATIO = 12.0
 
@@ -96,15 +97,17 @@ def train(scanned: DataFrame, docs: DataFrame, text: str = "text") -> list[float
     random = scanned.select(F.explode("base").alias("s")).select(F.col("s.value").alias("value"))
     ids = docs.select("doc_id").filter("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(ORDINARY_DOCS)
     sample = docs.select("doc_id", F.col(text).alias("t")).join(F.broadcast(ids), "doc_id", "left_semi")  # at most ORDINARY_DOCS ids
-    words = sample.select(F.explode(F.regexp_extract_all("t", F.lit(ORDINARY), F.lit(0))).alias("value"))
-    words = words.filter(~F.col("value").rlike(HEX) & ~F.col("value").rlike(ACCESS) & (F.length("value") < 40))
+    rest = F.regexp_replace(F.regexp_replace(F.regexp_replace("t", ASSIGN, " "), ACCESS, " "), HEX, " ")
+    words = sample.select(F.explode(F.regexp_extract_all(rest, F.lit(ORDINARY), F.lit(0))).alias("value")).filter(F.length("value") < 20)
     n = len(ALPHABET)
     logs = []
     for samples in (random.filter("length(value) > 1"), words.filter("length(value) > 1")):
-        count = [[SMOOTHING] * n for _ in range(n)]
+        count = [[0] * n for _ in range(n)]
         for r in _transitions(samples).collect():
             count[r["a"] - 1][r["b"] - 1] += r["n"]
-        logs.append([[math.log(x / sum(row)) for x in row] for row in count])
+        each = [1 + sum(col) for col in zip(*count)]
+        share = [SMOOTHING * x / sum(each) for x in each]  # what a rare character is followed by: the characters at large
+        logs.append([[math.log((x + s) / (sum(row) + SMOOTHING)) for x, s in zip(row, share)] for row in count])
     return [r - o for row_r, row_o in zip(*logs) for r, o in zip(row_r, row_o)]
 
 

@@ -41,6 +41,8 @@ def segments(text: bytes, size: int = SIZE, gram: int = GRAM) -> tuple[np.ndarra
     none = np.empty(0, np.int64)
     if len(text) < size:
         return none, none, none.view(np.uint64), none.astype(bool)
+    while gram > max(1, size // 4):
+        gram //= 2
     h, k = _BYTE[np.frombuffer(text, np.uint8)], 1
     while k < gram:  # hashes of 1, 2, 4, ... bytes
         h = h[:-k] * np.uint64(pow(_STEP, k, 1 << 64)) + h[k:]

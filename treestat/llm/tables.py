@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -40,3 +42,25 @@ def keep_rows(df: DataFrame, text: str, f: Callable[[list[str]], list[bool]]) ->
             yield b.filter(pa.array(f(texts), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
+
+
+def by_group(df: DataFrame, key: str, f: Callable[[pd.DataFrame], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """Apply ``f`` to frames that hold whole groups of ``key`` only, many small groups at once.
+
+    Groups must be of bounded size. Rows come sorted by the key, so that a frame's last group waits for the next one.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for pdf in frames:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            cut = int(np.searchsorted(pdf[key].to_numpy(), pdf[key].iloc[-1], side="left"))
+            rest = pdf.iloc[cut:].reset_index(drop=True)
+            if cut:
+                yield from f(pdf.iloc[:cut])
+        if rest is not None and len(rest):
+            yield from f(rest)
+
+    return df.repartition(key).sortWithinPartitions(key).mapInPandas(run, schema)
