@@ -58,3 +58,28 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_neighbours, op4_token_counts, op5_minhash, op6_byte_bpe, op7_secrets, op8_html_text, op9_quality, op10_suffix_dedup)}
+
+#: All pairs of one label; components by reachability.
+ORACLES["op3_neighbours"] = """
+WITH RECURSIVE good AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(v, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, r.c FROM reach r JOIN links l ON l.a = r.v)
+SELECT e.vec_id, coalesce(any_value(n.n), 0) AS n_links, min(r.c) AS component_id, e.vec_id = min(r.c) AS kept
+FROM embeddings e JOIN reach r ON r.v = e.vec_id LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) n ON n.a = e.vec_id GROUP BY e.vec_id"""
+
+#: All pairs that share a shingle; components by reachability.
+ORACLES["op5_minhash"] = """
+WITH RECURSIVE w AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+sh AS (SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+c AS (SELECT doc_id, s, count(*) AS n FROM sh GROUP BY ALL),
+t AS (SELECT doc_id, sum(n) AS t FROM c GROUP BY ALL),
+m AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(least(x.n, y.n)) AS m FROM c x JOIN c y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM m JOIN t p ON p.doc_id = a JOIN t q ON q.doc_id = b WHERE m >= 0.8 * (p.t + q.t - m)),
+reach(v, c) AS (SELECT doc_id, doc_id FROM w UNION SELECT l.b, r.c FROM reach r JOIN links l ON l.a = r.v),
+g AS (SELECT v, min(c) AS group_id FROM reach GROUP BY v)
+SELECT w.doc_id, CASE WHEN len(w.w) > 0 THEN min(w.doc_id) OVER (PARTITION BY w.text) ELSE w.doc_id END AS class_id, g.group_id, w.doc_id = g.group_id AS kept FROM w JOIN g ON g.v = w.doc_id"""
