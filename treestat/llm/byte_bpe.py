@@ -18,6 +18,8 @@ import hashlib
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,15 +58,15 @@ class Codec:
 
     def __init__(self, path: str, pattern: str) -> None:
         import duckdb
-        import pyarrow as pa
         import regex
 
         self.ranks = read_ranks(path)
         self.words = regex.compile(pattern)
         self.memo: dict[str, tuple[bytes, bytes]] = {}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "preserve_insertion_order": False})
-        byte_ids = [self.ranks[bytes([b])] for b in range(256)]
-        self.byte_ids = byte_ids
+        self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
+        self.known = np.zeros(max(self.ranks.values()) + 1, bool)
+        self.known[list(self.ranks.values())] = True
         splits = [(self.ranks[w[:k]], self.ranks[w[k:]], r) for w, r in self.ranks.items() for k in range(1, len(w)) if w[:k] in self.ranks and w[k:] in self.ranks]
         a, b, made = zip(*splits) if splits else ((), (), ())
         merges = pa.table({"a": pa.array(a, pa.int32()), "b": pa.array(b, pa.int32()), "made": pa.array(made, pa.int32())})
@@ -82,37 +84,36 @@ class Codec:
             self.db.unregister(name)
         return out
 
-    def encode_words(self, words: list[bytes]) -> list[list[int]]:
-        """Token ids of each word; a word that is one token needs no contraction."""
-        import numpy as np
-        import pyarrow as pa
-
-        out: list[list[int] | None] = [[self.ranks[w]] if w in self.ranks else None for w in words]
-        todo = [k for k, x in enumerate(out) if x is None]
-        if todo:
-            raw = [words[k] for k in todo]
-            lens = np.fromiter(map(len, raw), np.int64, len(raw))
-            ends = np.cumsum(lens)
-            toks = np.asarray(self.byte_ids, np.int32)[np.frombuffer(b"".join(raw), np.uint8)]
-            pos = np.arange(len(toks)) - np.repeat(ends - lens, lens)
-            start = pa.table({"word": np.repeat(np.arange(len(raw), dtype=np.int32), lens), "pos": pos.astype(np.int32), "tok": toks})
-            got = self._run(_CONTRACT, start=start)
-            for k, ids in zip(got["word"].to_pylist(), got["ids"].to_pylist()):
-                out[todo[k]] = ids
-        return out
-
-    def decode_ids(self, ids: list[list[int]]) -> list[bytes]:
-        """Bytes of each id list, by an ordered aggregation over token rows."""
-        import numpy as np
-        import pyarrow as pa
-
-        lens = np.fromiter(map(len, ids), np.int64, len(ids))
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all words one after the other, and their numbers. A word that is one token needs no contraction."""
+        whole = np.fromiter((self.ranks.get(w, -1) for w in words), np.int32, len(words))
+        todo = np.flatnonzero(whole < 0)
+        if not len(todo):
+            return whole, np.ones(len(words), np.int64)
+        raw = [words[k] for k in todo.tolist()]
+        lens = np.fromiter(map(len, raw), np.int64, len(raw))
         ends = np.cumsum(lens)
-        flat = np.fromiter(chain.from_iterable(ids), np.int32, int(lens.sum()))
-        if (flat < 0).any() or not set(np.unique(flat)) <= set(self.ranks.values()):
+        toks = self.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
+        pos = np.arange(len(toks)) - np.repeat(ends - lens, lens)
+        start = pa.table({"word": np.repeat(todo.astype(np.int32), lens), "pos": pos.astype(np.int32), "tok": toks})
+        got = self._run(_CONTRACT, start=start).combine_chunks()
+        lists = got["ids"].combine_chunks() if isinstance(got["ids"], pa.ChunkedArray) else got["ids"]
+        made = lists.flatten().to_numpy(zero_copy_only=False)
+        sizes = np.diff(lists.offsets.to_numpy())
+        word = got["word"].to_numpy()
+        rows = np.concatenate([np.repeat(word, sizes), np.flatnonzero(whole >= 0)])
+        flat = np.concatenate([made, whole[whole >= 0]]).astype(np.int32)
+        n = np.ones(len(words), np.int64)
+        n[word] = sizes
+        return flat[np.argsort(rows, kind="stable")], n
+
+    def decode_ids(self, flat: np.ndarray, lens: np.ndarray) -> list[bytes]:
+        """Bytes of each run of ids, by an ordered aggregation over token rows."""
+        if len(flat) and (flat.min() < 0 or flat.max() >= len(self.known) or not self.known[flat].all()):
             raise ValueError("an id is not in the vocabulary")
-        rows = pa.table({"word": np.repeat(np.arange(len(ids), dtype=np.int32), lens), "pos": (np.arange(len(flat)) - np.repeat(ends - lens, lens)).astype(np.int32), "id": flat})
-        out = [b""] * len(ids)
+        pos = np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)
+        rows = pa.table({"word": np.repeat(np.arange(len(lens), dtype=np.int32), lens), "pos": pos.astype(np.int32), "id": flat.astype(np.int32)})
+        out = [b""] * len(lens)
         got = self._run(_DECODE, tokens=rows)
         for k, x in zip(got["word"].to_pylist(), got["hex"].to_pylist()):
             out[k] = bytes.fromhex(x)
@@ -120,16 +121,15 @@ class Codec:
 
     def _learn(self, words: set[str]) -> None:
         """Put the words' tokens and bytes in the memo; when it is full only these words stay."""
-        import numpy as np
-
         todo = [w for w in words if w not in self.memo]
         if len(self.memo) + len(todo) > MEMO_WORDS:
             self.memo = {w: self.memo[w] for w in words if w in self.memo}
         for at in range(0, len(todo), QUERY_WORDS):
             part = todo[at : at + QUERY_WORDS]
-            ids = self.encode_words([w.encode("utf-8", "surrogatepass") for w in part])
-            back = self.decode_ids(ids)
-            self.memo.update((w, (np.asarray(x, "<u4").tobytes(), b)) for w, x, b in zip(part, ids, back))
+            flat, lens = self.encode_words([w.encode("utf-8", "surrogatepass") for w in part])
+            back = self.decode_ids(flat, lens)
+            raw, ends = flat.astype("<u4").tobytes(), (4 * np.cumsum(lens)).tolist()
+            self.memo.update((w, (raw[a:b], x)) for w, a, b, x in zip(part, [0, *ends], ends, back))
 
     def round_trip(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
         """(ids as little-endian 32-bit integers, decoded bytes) of each text, in slices of bounded size."""
@@ -183,8 +183,6 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Data
     rows = docs.drop("token_ids")
 
     def run(texts: list[str]) -> list[list]:
-        import numpy as np
-
         return [[np.frombuffer(i, "<u4").astype("i4") for i, _ in codec(path, pattern).round_trip([t or "" for t in texts])]]
 
     return add_columns(rows, rows.columns, [text], run, {"token_ids": "array<int>"})
@@ -193,7 +191,13 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Data
 def decode(rows: DataFrame, path: str, pattern: str, ids: str = "token_ids") -> DataFrame:
     """``rows`` with ``decoded`` binary of the id lists; NULL lists give no bytes."""
     rows = rows.drop("decoded")
-    return add_columns(rows, rows.columns, [ids], lambda lists: [codec(path, pattern).decode_ids([x or [] for x in lists])], {"decoded": "binary"})
+
+    def run(lists: list) -> list[list]:
+        lists = [x or [] for x in lists]
+        lens = np.fromiter(map(len, lists), np.int64, len(lists))
+        return [codec(path, pattern).decode_ids(np.fromiter(chain.from_iterable(lists), np.int64, int(lens.sum())), lens)]
+
+    return add_columns(rows, rows.columns, [ids], run, {"decoded": "binary"})
 
 
 def digests(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
