@@ -130,7 +130,7 @@ def _signed(docs: DataFrame, text: str) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             texts = pdf["t"].tolist()
-            for a, b in slices(texts, 1_000_000):
+            for a, b in slices(texts, 1_000_000, 500):  # each text throws k ln k darts, however short
                 sh, at = shingles(*words(texts[a:b]))
                 sig = signatures(sh, at)
                 keys = band_keys(sig)

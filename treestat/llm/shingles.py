@@ -25,12 +25,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def slices(texts: list[str], chars: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of texts with about so many characters each; a longer text is a range of its own."""
+def slices(texts: list[str], chars: int = SLICE_CHARS, most: int = 50_000) -> Iterator[tuple[int, int]]:
+    """Ranges of at most ``most`` texts with about so many characters; a longer text is a range of its own."""
     at = 0
     while at < len(texts):
         end, size = at, 0
-        while end < len(texts) and (end == at or size + len(texts[end]) <= chars):
+        while end < len(texts) and end - at < most and (end == at or size + len(texts[end]) <= chars):
             size += len(texts[end])
             end += 1
         yield at, end

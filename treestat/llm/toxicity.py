@@ -35,7 +35,7 @@ Z = 3.0
 ODDS = 2.5
 GRADES = 3
 CUT = 0.5
-MEMO_WORDS = 500_000
+MEMO_WORDS = 250_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
