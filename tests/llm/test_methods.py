@@ -223,6 +223,37 @@ def test_neighbours_match_brute_force(spark):
     assert all(got[i]["component_id"] == 0 for i in range(100, 400) if want[i])
 
 
+def exact_links(x):
+    """Number of links and least member of the component of each vector of one label."""
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    link = unit @ unit.T >= neighbours.LEAST
+    root = np.arange(len(x))
+    while True:
+        low = np.where(link, root, len(x)).min(1)
+        if (low == root).all():
+            return link.sum(1) - 1, root
+        root = low
+
+
+def vectors_of(spark, x):
+    return spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+
+
+def test_neighbours_saturated_lists(spark):
+    rng = np.random.default_rng(1)
+    dim, size = 64, 40
+    sets = []
+    for _ in range(6):  # pairs of tight sets: cosine about 0.999 inside a set, 0.985 between the two
+        a, d = np.linalg.qr(rng.normal(size=(dim, 2)))[0].T
+        for centre in (a, np.cos(0.1734) * a + np.sin(0.1734) * d):
+            sets.append(centre + 0.003 * rng.normal(size=(size, dim)))
+    x = np.concatenate(sets)
+    n, root = exact_links(x)
+    assert len(set(root)) == 6 and n.min() > size
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in neighbours.links(vectors_of(spark, x)).collect()}
+    assert got == {i: (n[i], root[i]) for i in range(len(x))}
+
+
 def test_html():
     page = """<html><body><header><h1>Site</h1></header><div class="cookie-notice">We use cookies.</div><div id="main"><article class="post">
     <header><h1>Head &amp; line</h1></header><p>First <a href="x">link</a>\n para.<p>Second &lt;b&gt; para.<div class="ad-slot">Buy!</div><pre>code  x</pre>

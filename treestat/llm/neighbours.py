@@ -6,8 +6,9 @@ the last of a list enters it, until few lists change. Recall is audited against
 size; below ``RECALL`` the search starts again from the lists so far and new hyperplanes.
 
 List entries with a cosine (in double precision) of ``least`` or more are links, and components of links are the
-groups. A list that is full of links is saturated; such lists are enlarged to the whole component: inside every
-component all pairs are compared, in blocks of bounded size, and only each node's number of links is kept. So a large
+groups. A list that is full of links is saturated: it may hide links that leave its component. Such nodes are compared
+with all nodes of their label, in pieces of bounded size, and the components that are found linked are joined. Then
+inside every component all pairs are compared, in blocks, and only each node's number of links is kept. So a large
 group of copies or near copies costs neither a list of its pairs nor a task of its size.
 
 Defined cases: vectors that are NULL, of length or norm zero, or with NULL, NaN or infinite parts, and rows without
@@ -34,6 +35,8 @@ LEAST = 0.98
 LIST, AROUND, STARTS, ROUNDS = 12, 30, 4, 6
 #: Wanted size of a start bucket and of a block of exact comparison.
 BUCKET, BLOCK = 96, 512
+#: Vectors of one side of a piece in which nodes are compared with all of their label.
+PIECE = 2048
 #: Vectors of the audit, wanted recall, and searches at most.
 AUDIT, RECALL, SEARCHES = 256, 0.99, 4
 
@@ -189,6 +192,51 @@ def _audit(nodes: DataFrame, member: DataFrame, least: float) -> float:
     return hit / n if n else 1.0
 
 
+def _saturated(lists: DataFrame, least: float) -> DataFrame:
+    """v of the nodes whose whole list is links, as far as single precision can tell."""
+    return lists.groupBy("v").agg(F.count("*").alias("n"), F.min("s").alias("last")).filter((F.col("n") >= LIST) & (F.col("last") >= least - 1e-4)).select("v")
+
+
+def _across(asked: DataFrame, nodes: DataFrame, member: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of roots of different components that a link of an ``asked`` node joins.
+
+    Every asked node is compared with all nodes of its label, piece by piece; links themselves are not listed.
+    """
+    rows = nodes.join(member, "v", "left").select("v", "label", "dim", "x64", F.coalesce("root", "v").alias("root"))
+    left = rows.join(asked.select("v"), "v", "left_semi")
+    pieces = lambda df, name: df.groupBy("label", "dim").agg(F.ceil(F.count("*") / PIECE).alias(name))
+    sizes = pieces(left, "lefts").join(pieces(rows, "rights"), ["label", "dim"])
+
+    def dealt(df: DataFrame, side: bool) -> DataFrame:
+        own, other = ("lefts", "rights") if side else ("rights", "lefts")
+        df = df.join(sizes, ["label", "dim"]).withColumn("own", F.pmod(F.xxhash64("v"), F.col(own)))
+        df = df.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(other) - 1)))
+        i, j = ("own", "other") if side else ("other", "own")
+        return df.select(F.xxhash64("label", "dim", i, j).alias("g"), F.lit(side).alias("side"), "root", "x64")
+
+    def run(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        g, side, root, x = (pdf[c].to_numpy() for c in ("g", "side", "root", "x64"))
+        start = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+        for a, b in zip(start, np.append(start[1:], len(g))):
+            left, right = np.flatnonzero(side[a:b]) + a, np.flatnonzero(~side[a:b]) + a
+            if not len(left) or not len(right):
+                continue
+            other = _doubles(x[right])
+            for part in np.array_split(left, -(-len(left) // BLOCK)):
+                p, q = np.nonzero((_cosines(_doubles(x[part]), other) >= least) & (root[part][:, None] != root[right]))
+                pairs = pd.DataFrame({"a": root[part[p]], "b": root[right[q]]})
+                yield pd.DataFrame({"a": pairs.min(axis=1), "b": pairs.max(axis=1)}).drop_duplicates()
+
+    return by_group(dealt(left, True).unionByName(dealt(rows, False)), "g", run, "a long, b long").distinct()
+
+
+def _members(links: DataFrame) -> DataFrame:
+    """v, root of all nodes that have links."""
+    found = components(links)
+    roots = found.select(F.col("root").alias("v"), "root").distinct()
+    return written(found.select(F.col("node").alias("v"), "root").unionByName(roots), "member")
+
+
 def _counts(nodes: DataFrame, member: DataFrame, least: float) -> DataFrame:
     """v, n: copies linked with each node, from all pairs inside its component, block by block."""
     inside = nodes.join(member, "v").select("v", "copies", "x64", "root")
@@ -239,9 +287,14 @@ def links(vectors: DataFrame, embedding: str = "embedding", least: float = LEAST
     for search in range(SEARCHES):
         lists = written(_lists(_start(nodes, search), lists), "lists")
         lists = _descend(nodes, lists)
-        found = components(written(_links(lists, nodes, least), "links"))
-        roots = found.select(F.col("root").alias("v"), "root").distinct()
-        member = written(found.select(F.col("node").alias("v"), "root").unionByName(roots), "member")
+        near = written(_links(lists, nodes, least), "links")
+        member = _members(near)
+        full = written(_saturated(lists, least), "saturated")
+        if not full.isEmpty():
+            more = written(_across(full, nodes, member, least), "across")
+            if not more.isEmpty():
+                near = near.unionByName(more)
+                member = _members(near)
         if _audit(nodes, member, least) >= RECALL:
             break
     counts = _counts(nodes, member, least)
