@@ -254,6 +254,28 @@ def test_neighbours_saturated_lists(spark):
     assert got == {i: (n[i], root[i]) for i in range(len(x))}
 
 
+def test_neighbours_finish_what_the_search_misses(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    dim, hot, pairs = 32, 200, 40
+    group = rng.normal(size=dim) + 0.02 * rng.normal(size=(hot, dim))
+    lone = np.repeat(rng.normal(size=(pairs, dim)), 2, 0) + 0.02 * rng.normal(size=(2 * pairs, dim))
+    x = np.concatenate([group, lone, rng.normal(size=(300, dim))])
+    n, root = exact_links(x)
+    assert n[:hot].min() > neighbours.LIST and n[hot : hot + 2 * pairs].max() == 1
+    start = neighbours._start
+    monkeypatch.setattr(neighbours, "_start", lambda nodes, seed: start(nodes.filter(f"v < {hot}"), seed))  # finds no pair
+    monkeypatch.setattr(neighbours, "SEARCHES", 1)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in neighbours.links(vectors_of(spark, x)).collect()}
+    assert got == {i: (n[i], root[i]) for i in range(len(x))}
+
+
+def test_neighbours_rounds_of_a_start():
+    share = 1 - np.arccos(neighbours.LEAST) / np.pi
+    for bits in range(25):
+        assert (1 - share**bits) ** neighbours._rounds(bits) <= neighbours.APART * 1.0001
+    assert neighbours._rounds(0) == neighbours.STARTS
+
+
 def test_html():
     page = """<html><body><header><h1>Site</h1></header><div class="cookie-notice">We use cookies.</div><div id="main"><article class="post">
     <header><h1>Head &amp; line</h1></header><p>First <a href="x">link</a>\n para.<p>Second &lt;b&gt; para.<div class="ad-slot">Buy!</div><pre>code  x</pre>

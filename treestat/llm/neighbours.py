@@ -2,8 +2,9 @@
 
 Equal vectors of one label are one node. Neighbour lists start from buckets of random hyperplane signs and are refined
 by NN-descent: the forward and reverse neighbours of each node are compared with one another, and what is closer than
-the last of a list enters it, until few lists change. Recall is audited against all vectors for a sample of bounded
-size; below ``RECALL`` the search starts again from the lists so far and new hyperplanes.
+the last of a list enters it, until few lists change. Recall is audited node by node against all vectors for samples of
+bounded size, of all nodes and of those in no or a small component; below ``RECALL`` in either the search starts again
+from the lists so far and new hyperplanes. If the last search falls short, too, all nodes of a label are compared.
 
 List entries with a cosine (in double precision) of ``least`` or more are links, and components of links are the
 groups. A list that is full of links is saturated: it may hide links that leave its component. Such nodes are compared
@@ -31,14 +32,16 @@ from treestat.llm.tables import by_group
 from treestat.session import written
 
 LEAST = 0.98
-#: Length of a neighbour list, members compared around a node, hyperplane rounds of a start, descent rounds.
+#: Length of a neighbour list, members compared around a node, least hyperplane rounds of a start, descent rounds.
 LIST, AROUND, STARTS, ROUNDS = 12, 30, 4, 6
 #: Wanted size of a start bucket and of a block of exact comparison.
 BUCKET, BLOCK = 96, 512
 #: Vectors of one side of a piece in which nodes are compared with all of their label.
 PIECE = 2048
-#: Vectors of the audit, wanted recall, and searches at most.
-AUDIT, RECALL, SEARCHES = 256, 0.99, 4
+#: Chance that a pair at ``LEAST`` shares no bucket of a start, which sets the hyperplane rounds of large labels.
+APART = 0.01
+#: Vectors of the audit, those outside large components, wanted recall, and searches at most.
+AUDIT, OUTSIDE, RECALL, SEARCHES = 256, 1024, 0.99, 4
 
 
 def _padded(pdf: pd.DataFrame, key: str, vectors: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -84,27 +87,33 @@ def _local_join(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"v": ids[at[g, a]], "u": ids[at[g, b]], "s": sim[g, a, b].astype(float)})
 
 
+def _rounds(bits: int) -> int:
+    """Hyperplane rounds after which a pair at ``LEAST`` has shared a bucket of so many signs, but for ``APART``."""
+    share = (1 - np.arccos(LEAST) / np.pi) ** bits
+    return max(STARTS, int(np.ceil(np.log(APART) / np.log1p(-share)))) if bits else STARTS
+
+
 def _start(nodes: DataFrame, seed: int) -> DataFrame:
     """Neighbour candidates (v, u, s) from buckets of hyperplane signs; crowded buckets are split at random."""
     sizes = [(r["label"], r["dim"], max(0, int(np.ceil(np.log2(max(1, r["n"]) / BUCKET))))) for r in nodes.groupBy("label", "dim").agg(F.count("*").alias("n")).collect()]
     bits = {(a, d): b for a, d, b in sizes}  # one entry per label and length
     most = max(bits.values(), default=0)
+    rounds = _rounds(most)
 
     def codes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         planes: dict[int, np.ndarray] = {}
         for pdf in frames:
-            out = []
             for dim, part in pdf.groupby("dim", sort=False):
                 if dim not in planes:
-                    planes[dim] = np.random.default_rng(seed * 1009 + dim).normal(size=(int(dim), STARTS * most)).astype(np.float32)
+                    planes[dim] = np.random.default_rng(seed * 1009 + dim).normal(size=(int(dim), rounds * most)).astype(np.float32)
                 x = np.frombuffer(b"".join(part["x"]), np.float32).reshape(len(part), -1)
-                signs = (x @ planes[dim] > 0).astype(np.int64).reshape(len(part), STARTS, most)
+                signs = (x @ planes[dim] > 0).astype(np.int64).reshape(len(part), rounds, most)
                 used = np.array([bits[a, dim] for a in part["label"]], np.int64)
-                value = (signs * (1 << np.arange(most, dtype=np.int64)) * (np.arange(most) < used[:, None, None])).sum(2) if most else np.zeros((len(part), STARTS), np.int64)
-                for t in range(STARTS):
-                    out.append(pd.DataFrame({"v": part["v"], "t": t, "label": part["label"], "dim": part["dim"], "code": value[:, t], "x": part["x"]}))
-            if out:
-                yield pd.concat(out)
+                value = (signs * (1 << np.arange(most, dtype=np.int64)) * (np.arange(most) < used[:, None, None])).sum(2) if most else np.zeros((len(part), rounds), np.int64)
+                own = np.array([_rounds(b) for b in range(most + 1)])[used]
+                for t in range(rounds):
+                    coded = pd.DataFrame({"v": part["v"], "t": t, "label": part["label"], "dim": part["dim"], "code": value[:, t], "x": part["x"]})
+                    yield coded[own > t]
 
     coded = nodes.select("v", "label", "dim", "x").mapInPandas(codes, "v long, t int, label int, dim int, code long, x binary")
     coded = coded.withColumn("bucket", F.xxhash64("t", "label", "dim", "code"))
@@ -168,28 +177,35 @@ def _links(lists: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
 
 
 def _audit(nodes: DataFrame, member: DataFrame, least: float) -> float:
-    """Share of the links of a bounded sample of nodes, found by comparison with all, whose ends share a component."""
-    sample = nodes.select("v").orderBy(F.xxhash64("v"), "v").limit(AUDIT)
-    asked = nodes.join(F.broadcast(sample), "v", "left_semi").join(member, "v", "left").select("v", "label", "dim", "x64", F.coalesce("root", "v").alias("root")).collect()
-    if not asked:
-        return 1.0
-    asked = [(r["v"], r["label"], r["dim"], bytes(r["x64"]), r["root"]) for r in asked]
+    """Mean share of a node's links, found by comparison with all, whose ends share a component: the lesser one of a
+    bounded sample of all nodes and of one of the nodes whose component (if any) has no more nodes than a list."""
+    large = member.groupBy("root").count().filter(F.col("count") > LIST).select("root")
+    rows = nodes.join(member, "v", "left").select("v", "label", "dim", "x64", F.coalesce("root", "v").alias("root"))
+    some = lambda df, n: df.select("v").orderBy(F.xxhash64("v"), "v").limit(n)
+    outside = some(rows.join(large, "root", "left_anti"), OUTSIDE).withColumn("of", F.lit(1))
+    sample = some(nodes, AUDIT).withColumn("of", F.lit(0)).unionByName(outside).groupBy("v").agg(F.collect_set("of").alias("of"))
+    asked = rows.join(F.broadcast(sample), "v").collect()  # at most AUDIT + OUTSIDE
+    asked = [(r["v"], r["label"], r["dim"], bytes(r["x64"]), r["root"], r["of"]) for r in asked]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            n, hit = 0, 0
-            for (label, dim), part in pdf.groupby(["label", "dim"]):
+            for (label, dim), group in pdf.groupby(["label", "dim"]):
                 qs = [q for q in asked if q[1] == label and q[2] == dim]
-                if qs:
-                    link = _cosines(_doubles([q[3] for q in qs]), _doubles(part["x64"])) >= least
-                    link &= np.array([q[0] for q in qs])[:, None] != part["v"].to_numpy()
-                    n += int(link.sum())
-                    hit += int((link & (np.array([q[4] for q in qs])[:, None] == part["root"].to_numpy())).sum())
-            yield pd.DataFrame({"n": [n], "hit": [hit]})
-
-    rows = nodes.join(member, "v", "left").select("v", "label", "dim", "x64", F.coalesce("root", "v").alias("root"))
-    n, hit = rows.mapInPandas(run, "n long, hit long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("hit"), F.lit(0))).first()
-    return hit / n if n else 1.0
+                if not qs:
+                    continue
+                v, root, x = np.array([q[0] for q in qs]), np.array([q[4] for q in qs]), _doubles([q[3] for q in qs])
+                for k in range(0, len(group), PIECE):
+                    part = group.iloc[k : k + PIECE]
+                    link = (_cosines(x, _doubles(part["x64"])) >= least) & (v[:, None] != part["v"].to_numpy())
+                    hit = (link & (root[:, None] == part["root"].to_numpy())).sum(1)
+                    yield pd.DataFrame({"v": v, "n": link.sum(1), "hit": hit})[link.any(1)]
+
+    shares = {r["v"]: r["hit"] / r["n"] for r in rows.mapInPandas(run, "v long, n long, hit long").groupBy("v").agg(F.sum("n").alias("n"), F.sum("hit").alias("hit")).collect()}
+    means = []
+    for of in (0, 1):
+        known = [shares[q[0]] for q in asked if of in q[5] and q[0] in shares]
+        means.append(sum(known) / len(known) if known else 1.0)
+    return min(means)
 
 
 def _saturated(lists: DataFrame, least: float) -> DataFrame:
@@ -297,6 +313,8 @@ def links(vectors: DataFrame, embedding: str = "embedding", least: float = LEAST
                 member = _members(near)
         if _audit(nodes, member, least) >= RECALL:
             break
+    else:  # no search was good enough
+        member = _members(near.unionByName(written(_across(nodes, nodes, member, least), "across")))
     counts = _counts(nodes, member, least)
     per_class = of_class.join(member, "v", "left").join(counts, "v", "left")
     per_class = per_class.select("vec_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "v").alias("component_id"))
