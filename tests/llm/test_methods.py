@@ -169,6 +169,34 @@ def test_minhash_hot_group(spark):
     assert {got[k] for k in range(1200)} == {0} and all(got[5000 + k] == 5000 + k for k in range(50))
 
 
+def test_minhash_verifies_candidates_whose_signatures_differ(spark, monkeypatch):
+    real = minhash.signatures
+
+    def one_band(sh, at, k=168):  # all texts share the first band and agree in nothing else
+        sig = real(sh, at, k)
+        for row, a, b in zip(sig, at[:-1], at[1:]):
+            row[:7], row[7:] = 1, np.random.default_rng(int(sh[a:b].sum())).integers(1, 2**62, k - 7)
+        return sig
+
+    monkeypatch.setattr(minhash, "signatures", one_band)
+    rng = random.Random(3)
+    ws = [[f"w{rng.randrange(10**6)}" for _ in range(200)] for _ in range(12)]
+    ws.append([*ws[7][:-10], *(f"v{k}" for k in range(10))])
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(ws)], "doc_id long, text string")
+    got = {r["doc_id"]: r["group_id"] for r in minhash.groups(df).collect()}
+    assert got == {k: 7 if k == 12 else k for k in range(13)}
+
+
+def test_cells_bound_the_similarity_from_above():
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(9)}" for _ in range(rng.randrange(1, 400))) for _ in range(40)] + ["a " * 70_000, "a " * 60_000]
+    sh, at = shingles(*words(texts))
+    c = minhash.cells(sh, at)
+    for i, j in combinations(range(len(texts)), 2):
+        both = np.minimum(c[i], c[j]).sum()
+        assert both / (c[i].sum() + c[j].sum() - both) >= weighted_jaccard(sh[at[i] : at[i + 1]], sh[at[j] : at[j + 1]]) - 1e-12
+
+
 def test_dart_signatures_estimate_similarity():
     rng = random.Random(1)
     errors = []

@@ -7,9 +7,10 @@ the signature's entry. Two texts agree in a coordinate with the probability of t
 
 Texts that agree in all rows of a band are candidates. Equal texts are one node from the start. In each bucket all
 members are first compared with the least one; members outside the bucket's main component then with those whose
-signatures agree most; at last every pair of different components in a bucket, in blocks, whose signatures agree in
-``AGREE`` or more of their 168 entries (at similarity 0.8 a pair has less with probability 0.03, at 0.85 0.0001). So a group of copies costs a few
-comparisons per member and no pair of its members is listed. Similarity ``least`` or more (sum of least over sum of greatest counts, computed from the whole
+signatures agree most; at last every pair of different components in a bucket, in blocks, but for those that cannot be
+similar: shingles are dealt into ``CELLS`` cells by hash, and the sum of the lesser counts of the cells is never less
+than the sum of the lesser counts of the shingles. So a group of copies costs a few comparisons per member and no pair
+of its members is listed. Similarity ``least`` or more (sum of least over sum of greatest counts, computed from the whole
 texts) is a link, and components of links are the groups.
 
 Defined cases: NULL texts and texts without words are alone. A text with fewer than five words is one shingle. Rows of
@@ -36,7 +37,9 @@ from treestat.session import written
 SIMILARITY = 0.8
 #: Texts of similarity 0.8 share a band with probability 0.996, of 0.5 with 0.17, of 0.3 with 0.005.
 BANDS, ROWS = 24, 7
-AGREE_FIRST, AGREE = 0.65, 0.74
+AGREE_FIRST = 0.65
+#: Cells of shingle counts that bound a similarity from above.
+CELLS = 256
 #: Members of a bucket compared at once, and partners that a member outside the main component tries first.
 BLOCK, TRIES = 512, 4
 _COUNT, _LOW = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xFFFFFFFF)
@@ -143,25 +146,49 @@ def _signed(docs: DataFrame, text: str) -> DataFrame:
     return rows.select("doc_id", F.md5("t").alias("cls"), "t").mapInPandas(run, "doc_id long, cls string, bands array<long>, sketch binary")
 
 
-def _agreeing(mixed: DataFrame, tries: int | None) -> DataFrame:
-    """Pairs (a, b) of different components in one bucket with agreeing signatures; the ``tries`` best of each member."""
+def cells(sh: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Counts of every multiset's shingles by cell."""
+    n = len(bounds) - 1
+    doc = np.repeat(np.arange(n), np.diff(bounds))
+    return np.bincount(doc * CELLS + (sh >> np.uint64(32)).astype(np.int64) % CELLS, minlength=n * CELLS).reshape(n, CELLS).astype(np.int32)
+
+
+def _counted(mixed: DataFrame, texts: DataFrame) -> DataFrame:
+    """``mixed`` with cells of shingle counts in place of signatures behind the band keys of the sketch."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            ts = pdf["t"].tolist()
+            for a, b in slices(ts, 1_000_000, 500):
+                yield pd.DataFrame({"rep": pdf["doc_id"].iloc[a:b], "cells": [x.tobytes() for x in cells(*shingles(*words(ts[a:b])))]})
+
+    some = texts.join(mixed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "t")
+    counts = written(some.mapInPandas(run, "rep long, cells binary").distinct(), "cells")
+    return mixed.join(counts, "rep").withColumn("sketch", F.concat(F.substring("sketch", 1, BANDS * 8), "cells")).drop("cells")
+
+
+def _agreeing(mixed: DataFrame, tries: int | None, least: float) -> DataFrame:
+    """Pairs (a, b) of different components in one bucket: with agreeing signatures, the ``tries`` best of each member;
+    without ``tries``, all whose cells of counts allow a similarity of ``least``."""
     sizes = mixed.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     rows = mixed.join(sizes, "key").withColumn("i", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
     rows = rows.select("rep", "root", "main", "band", "sketch", "i", F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("g"))
 
-    agree = AGREE if tries is None else AGREE_FIRST
-
     def pairs(rep, root, main, band, keys, sig, left: np.ndarray, right: np.ndarray) -> Iterator[pd.DataFrame]:
         left = left[root[left] != main[left]]
         step = max(1, 24_000_000 // max(1, len(right) * sig.shape[1]))
         for part in (left[k : k + step] for k in range(0, len(left), step)):
-            share = (sig[part][:, None] == sig[right]).mean(2)
-            ok = (share >= agree) & (root[part][:, None] != root[right])
+            ok = root[part][:, None] != root[right]
             if tries is None:  # each pair once: in the first band that it shares, and from one side
+                both = np.minimum(sig[part][:, None], sig[right]).sum(2)
+                total = sig[part].sum(1)[:, None] + sig[right].sum(1)
+                ok &= both >= least * (total - both) * (1 - 1e-9)
                 ok &= (keys[part][:, None] == keys[right]).argmax(2) == band[part][:, None]
                 ok &= (root[right] == main[right]) | (rep[part][:, None] < rep[right])
             else:
+                share = (sig[part][:, None] == sig[right]).mean(2)
+                ok &= share >= AGREE_FIRST
                 worst = -np.sort(-np.where(ok, share, -1), axis=1)[:, : tries][:, -1:]
                 ok &= share >= worst
             a, b = np.nonzero(ok)
@@ -172,6 +199,8 @@ def _agreeing(mixed: DataFrame, tries: int | None) -> DataFrame:
         g, rep, root, main, band, i = (pdf[c].to_numpy() for c in ("g", "rep", "root", "main", "band", "i"))
         sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(pdf), -1)
         keys, sig = np.ascontiguousarray(sketch[:, : BANDS * 8]).view(np.int64), sketch[:, BANDS * 8 :]
+        if tries is None:
+            sig = np.ascontiguousarray(sig).view(np.int32)
         start = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
         for a, b in zip(start, np.append(start[1:], len(g))):
             one = np.arange(a, b)[i[a:b] == i[a]]
@@ -219,7 +248,9 @@ def groups(docs: DataFrame, text: str = "text", least: float = SIMILARITY) -> Da
         now = buckets.join(found.select(F.col("node").alias("rep"), "root"), "rep", "left").select("key", "band", "rep", F.coalesce("root", "rep").alias("root"))
         mixed = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.mode("root", deterministic=True).alias("main")).filter("lo <> hi")
         mixed = now.join(mixed.select("key", "main"), "key").join(classes.select("rep", "sketch"), "rep")
-        more = written(_verified(_agreeing(mixed, tries), texts, least), "links")
+        if tries is None:
+            mixed = _counted(mixed, texts)
+        more = written(_verified(_agreeing(mixed, tries, least), texts, least), "links")
         if not more.isEmpty():
             links = links.unionByName(more)
             found = components(links)
