@@ -7,8 +7,8 @@ common prefix is one more than the least common prefix passed since the last one
 themselves are sorted by a first induction, which orders their substrings, and by the order of the string of their
 names, whose ranks are doubled as far as ``cap`` characters.
 
-Work is done a bucket at a time in numpy. Queue buckets beyond ``memory`` bytes wait in files, so a shard may be far
-larger than memory; the order is exact up to ``cap`` characters, and common prefixes are capped there.
+Work is done a bucket at a time in numpy. Queue buckets beyond ``memory`` bytes wait in files; the text, its types,
+hashes and names are held in memory whole, and positions are 32-bit, so a shard must fit there and stay below 2 GiB; the order is exact up to ``cap`` characters, and common prefixes are capped there.
 """
 
 from __future__ import annotations

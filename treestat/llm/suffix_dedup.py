@@ -7,8 +7,9 @@ Segments whose key occurs once hold nothing repeated; where all segments of a ke
 left, one copy of each different segment, is sorted shard by shard with the external induced sorter, and a window is
 repeated where the common prefix with a neighbour in suffix order has ``size`` bytes.
 
-Texts go through two joins on their own key and never meet in one task; shards take whole keys and the sorter's queues
-lie on disk beyond a bound, so a key may be far larger than memory. Defined cases: NULL texts are empty; texts shorter
+Texts go through two joins on their own key and never meet in one task. Shards take whole keys: the different segments
+of one key are sorted by one task, which holds them and arrays of some 30 to 45 bytes a byte (not measured) in memory (only the
+sorter's queues lie on disk beyond a bound), so a key must fit into memory; a hot key is not split. Defined cases: NULL texts are empty; texts shorter
 than ``size`` bytes lose nothing; repeated rows repeat one another's strings; rows without doc_id take part like any
 other. Other columns, also such with clashing names, are not looked at.
 """
