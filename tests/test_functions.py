@@ -149,3 +149,60 @@ def test_plans(spark, entries):
         assert "Cartesian" not in plan(df) and "Python" not in plan(df) and "NestedLoop" not in plan(df)
 
 
+
+def files(spark, *rows):
+    """Catalogue rows from (path, entry_type, size, blocks, nlink)."""
+    made = spark.createDataFrame(rows, "path string, entry_type int, size long, blocks long, nlink long")
+    made = made.withColumns({"parent_path": C.parent_of(F.col("path")), "name": C.base_name(F.col("path"))})
+    made = made.withColumn("extension", C.extension(F.col("name"), F.col("entry_type")))
+    return made.select(*((F.col(f.name) if f.name in made.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in ENTRIES))
+
+
+def test_large_files_come_by_size(spark):
+    e = files(spark, ("/a", 0, 1_500_000_000, 1, 1), ("/b", 0, 1_900_000_000, 1, 1), ("/c", 0, 5, 1, 1), ("/d", 0, 1_900_000_000, 1, 1))
+    assert [tuple(r) for r in lookups.large_files(e).collect()] == [("/b", 1), ("/d", 1), ("/a", 1)]
+
+
+def test_groups_without_limit(spark):
+    e = files(spark, *((f"/top{k}/f", 0, 10 * k, 1, 1) for k in range(60)))
+    assert [r["top_dir"] for r in reports.by_top_dir(e).collect()] == [f"/top{k}" for k in range(59, -1, -1)]
+    assert [r["parent_path"] for r in reports.dir_sizes(e).collect()] == [f"/top{k}" for k in range(59, -1, -1)]
+
+
+def test_units(spark):
+    e = files(spark, ("/a.x", 0, 3 << 20, 1 << 22, 5), ("/b.x", 0, 1 << 20, 1 << 21, 1))
+    assert tuple(reports.most_links_gt1(e).first()) == ("/a.x", 5, 3.0)
+    assert tuple(reports.by_extension_gb(e).first()) == ("x", 2, 0.0, 3.0)
+    assert value(spark, C.blocks_of(lit((1 << 60) + 1, "bigint"))) == (1 << 51) + 1
+
+
+def test_scan_of_empty_directories(spark):
+    e = files(spark, ("/a", 1, 0, 0, 1), ("/b", 1, 0, 0, 1), ("/a/s", 1, 0, 0, 1), ("/a/f", 0, 1, 1, 1))
+    got = {tuple(map(str, r)) for r in tree.big_dir_scan(e, e.filter("entry_type = 1"), 1).collect()}
+    assert got == {("/a", "1", "True", "['s']"), ("/b", "0", "False", "[]"), ("/a/s", "0", "False", "[]")}
+
+
+def test_reports_are_their_members(spark, entries):
+    made, kept = reports.reports(entries, reports.REPORTS, 7)
+    for name, df in made.items():
+        assert df.collect() == reports.REPORTS[name](entries, 7).collect()
+    kept.unpersist()
+
+
+def test_approximate_count(spark, entries):
+    n, exact = reports.approx_entries(entries).first()[0], entries.count()
+    assert abs(n - exact) <= 0.05 * exact
+
+
+def test_change_summary_scans_each_side_once(spark, entries):
+    from treestat.session import shared_dir
+
+    cur, old = shared_dir(spark, "cur"), shared_dir(spark, "old")
+    entries.write.parquet(cur)
+    entries.select("path", "inode", "mtime", "size").filter("inode % 3 <> 0").write.parquet(old)
+    got = diff.change_summary(spark.read.parquet(cur), spark.read.parquet(old))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert cur not in plan and old not in plan
+    n = {r["change"]: r["entries"] for r in got.collect()}
+    kinds = diff.changes(spark.read.parquet(cur), spark.read.parquet(old)).groupBy("change").count().collect()
+    assert {r["change"]: r["count"] for r in kinds} == {k: v for k, v in n.items() if k != "Deleted"} and n["Unchanged"]

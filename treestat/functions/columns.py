@@ -91,7 +91,7 @@ def octal(mode: Column) -> Column:
 
 
 def blocks_of(used: Column) -> Column:
-    return F.floor((used + 511) / F.lit(512)).cast("bigint")
+    return F.call_function("div", used + 511, F.lit(512))
 
 
 def allocated(blocks: Column) -> Column:
@@ -153,7 +153,7 @@ def rate(files: Column, dirs: Column, secs: Column) -> Column:
 # --- source URLs ---------------------------------------------------------------------------------
 
 #: The URL form (server, port, path; scheme optional) and the older ``server:/export[/sub]``.
-URL = r"^(?:nfs://)?([^:/]+)(?::([0-9]+))?(/\S*)$"
+URL = r"^(?:nfs://)?([^:/]+)(?::(\d+))?(/[^\s]*)$"
 OLD = r"^(?:nfs://)?((?!nfs:/).+?):(/.*)$"
 
 

@@ -1,26 +1,54 @@
-"""What changed between two scans."""
+"""What changed between two scans.
+
+Every question starts from one full join of the scans on the path, written once: matched paths, paths of the current
+scan alone and paths of the baseline alone are parts of it, so each scan is read and shuffled by path once. Only the
+paths of the current scan alone take part in the second join, on the inode.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from treestat.session import written
+
+
+def paired(cur: DataFrame, base: DataFrame) -> DataFrame:
+    """Both scans side by side: path, in_cur, in_base, inode, mtime, size, and b_inode, b_mtime, b_size of the baseline."""
+    new = cur.select("path", F.lit(True).alias("in_cur"), "inode", "mtime", "size")
+    old = base.select("path", F.lit(True).alias("in_base"), F.col("inode").alias("b_inode"), F.col("mtime").alias("b_mtime"), F.col("size").alias("b_size"))
+    return written(new.join(old, "path", "full"), "paired")
+
+
+def _matched(both: DataFrame) -> DataFrame:
+    same = (F.col("inode") == F.col("b_inode")) & F.col("mtime").eqNullSafe(F.col("b_mtime")) & (F.col("size") == F.col("b_size"))
+    kind = F.when(same, "Unchanged").otherwise("Modified")
+    return both.filter("in_cur AND in_base").select("path", kind.alias("change"), F.lit(None).cast("string").alias("old_path"), "size")
+
+
+def _moved_or_new(both: DataFrame) -> DataFrame:
+    by_inode = both.filter("in_base").groupBy(F.col("b_inode").alias("inode")).agg(F.max("path").alias("old_path"))
+    rest = both.filter("in_cur AND in_base IS NULL").select("path", "inode", "size").join(by_inode, "inode", "left")
+    return rest.select("path", F.when(F.col("old_path").isNull(), "New").otherwise("Renamed").alias("change"), "old_path", "size")
+
+
+def _gone(both: DataFrame) -> DataFrame:
+    return both.filter("in_base AND in_cur IS NULL").select("path", F.col("b_inode").alias("inode"), F.col("b_size").alias("size"))
+
+
+def _gone_for_good(both: DataFrame) -> DataFrame:
+    moved = _moved_or_new(both).filter("old_path IS NOT NULL").select(F.col("old_path").alias("path"))
+    return _gone(both).join(moved, "path", "left_anti")
+
 
 def changes(cur: DataFrame, base: DataFrame) -> DataFrame:
     """One row per current entry: path, change, old_path, size.
 
     A path of the baseline is Modified if inode, mtime or size differ, else Unchanged. Another path whose inode
-    the baseline has is Renamed from the greatest path of that inode; the rest is New. Only rows without a path
-    match take part in the join on inode.
+    the baseline has is Renamed from the greatest path of that inode; the rest is New.
     """
-    old = base.select(F.col("path"), F.col("inode").alias("b_inode"), F.col("mtime").alias("b_mtime"), F.col("size").alias("b_size"))
-    both = cur.select("path", "inode", "mtime", "size").join(old, "path", "left")
-    same = (F.col("inode") == F.col("b_inode")) & F.col("mtime").eqNullSafe(F.col("b_mtime")) & (F.col("size") == F.col("b_size"))
-    matched = both.filter("b_inode IS NOT NULL").select("path", F.when(same, "Unchanged").otherwise("Modified").alias("change"), F.lit(None).cast("string").alias("old_path"), "size")
-    by_inode = base.groupBy("inode").agg(F.max("path").alias("old_path"))
-    rest = both.filter("b_inode IS NULL").select("path", "inode", "size").join(by_inode, "inode", "left")
-    rest = rest.select("path", F.when(F.col("old_path").isNull(), "New").otherwise("Renamed").alias("change"), "old_path", "size")
-    return matched.unionByName(rest)
+    both = paired(cur, base)
+    return _matched(both).unionByName(_moved_or_new(both))
 
 
 def deleted_paths(cur: DataFrame, base: DataFrame) -> DataFrame:
@@ -28,11 +56,11 @@ def deleted_paths(cur: DataFrame, base: DataFrame) -> DataFrame:
 
 
 def deleted_not_renamed(cur: DataFrame, base: DataFrame) -> DataFrame:
-    moved = changes(cur, base).filter("change = 'Renamed'").select(F.col("old_path").alias("path"))
-    return deleted_paths(cur, base).join(moved, "path", "left_anti")
+    return _gone_for_good(paired(cur, base))
 
 
 def change_summary(cur: DataFrame, base: DataFrame) -> DataFrame:
-    gone = deleted_not_renamed(cur, base).select(F.lit("Deleted").alias("change"), "size")
-    rows = changes(cur, base).select("change", "size").unionByName(gone)
+    both = paired(cur, base)
+    gone = _gone_for_good(both).select(F.lit("Deleted").alias("change"), "size")
+    rows = _matched(both).unionByName(_moved_or_new(both)).select("change", "size").unionByName(gone)
     return rows.groupBy("change").agg(F.count("*").alias("entries"), F.sum("size").alias("bytes"))

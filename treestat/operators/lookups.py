@@ -62,7 +62,8 @@ def no_atime(e: DataFrame) -> DataFrame:
 
 
 def large_files(e: DataFrame, over: int = 1 << 30) -> DataFrame:
-    return e.filter(F.col("size") > over).select("path", F.expr("size div 1073741824").alias("size_gb")).orderBy(F.desc("size_gb"), "path")
+    rows = e.filter(F.col("size") > over).select("path", "size").orderBy(F.desc("size"), "path")
+    return rows.select("path", F.expr("size div 1073741824").alias("size_gb"))
 
 
 def recently_modified(e: DataFrame, now: int, days: int = 7, n: int = 100) -> DataFrame:

@@ -1,6 +1,6 @@
 """Reports over ``entries``: totals, usage by group, top-N lists, duplicates, permissions.
 
-Top-N ties are broken by the path or the group key, ascending. ``n`` = 0 gives no rows.
+Top-N ties are broken by the path or the group key, ascending. ``n`` = 0 gives no rows, None all of them.
 """
 
 from __future__ import annotations
@@ -24,8 +24,9 @@ def _sum(x: Column) -> Column:
     return F.coalesce(F.sum(x), F.lit(0).cast("bigint"))
 
 
-def _top(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
-    return df.orderBy(*order).limit(n)
+def _top(df: DataFrame, n: int | None, *order: Column | str) -> DataFrame:
+    out = df.orderBy(*order)
+    return out if n is None else out.limit(n)
 
 
 # --- overviews -----------------------------------------------------------------------------------
@@ -80,9 +81,9 @@ def by_extension(e: DataFrame, n: int = TOP) -> DataFrame:
 
 
 def by_extension_gb(e: DataFrame, n: int = TOP) -> DataFrame:
-    groups = _files(e).groupBy("extension").agg(F.count("*").alias("file_count"), F.sum("size").alias("total"))
+    groups = _files(e).groupBy("extension").agg(F.count("*").alias("file_count"), F.sum("size").alias("total"), F.sum("blocks").alias("blocks"))
     out = _top(groups.withColumn("ext", F.coalesce("extension", F.lit("(none)"))), n, F.desc("total"), "ext")
-    return out.select("ext", "file_count", C.gb(F.col("total")).alias("size_gb"))
+    return out.select("ext", "file_count", C.gb(F.col("total")).alias("size_gb"), C.gb(C.allocated(F.col("blocks"))).alias("allocated_gb"))
 
 
 def _by_owner(e: DataFrame, who: str, n: int) -> DataFrame:
@@ -118,7 +119,7 @@ def by_gid_gb(e: DataFrame, n: int = TOP) -> DataFrame:
     return _by_owner_gb(e, "gid", n)
 
 
-def by_top_dir(e: DataFrame, n: int = TOP) -> DataFrame:
+def by_top_dir(e: DataFrame, n: int | None = None) -> DataFrame:
     groups = _files(e).groupBy(C.top_dir(F.col("path")).alias("top_dir"))
     out = _top(groups.agg(F.count("*").alias("files"), F.sum("size").alias("total")), n, F.desc("total"), "top_dir")
     return out.select("top_dir", "files", C.gb(F.col("total")).alias("size_gb"))
@@ -144,7 +145,7 @@ def largest_dirs_files(e: DataFrame, n: int = TOP) -> DataFrame:
     return _top(out, n, F.desc("file_count"), "parent_path").select("parent_path", "file_count", C.gb(F.col("total")).alias("size_gb"))
 
 
-def dir_sizes(e: DataFrame, n: int = TOP) -> DataFrame:
+def dir_sizes(e: DataFrame, n: int | None = None) -> DataFrame:
     out = _files(e).groupBy("parent_path").agg(F.count("*").alias("files"), F.sum("size").alias("total"))
     return _top(out, n, F.desc("total"), "parent_path").select("parent_path", "files", F.expr("total div 1073741824").alias("size_gb"))
 
@@ -178,7 +179,7 @@ def most_links(e: DataFrame, n: int = TOP) -> DataFrame:
 
 def most_links_gt1(e: DataFrame, n: int = TOP) -> DataFrame:
     out = _top(_files(e).filter("nlink > 1").select("path", "nlink", "size"), n, F.desc("nlink"), "path")
-    return out.select("path", "nlink", C.gb(F.col("size")).alias("size_gb"))
+    return out.select("path", "nlink", C.mb(F.col("size")).alias("size_mb"))
 
 
 def duplicates(e: DataFrame, n: int = TOP) -> DataFrame:
@@ -197,7 +198,7 @@ REPORTS: dict[str, Callable[[DataFrame, int], DataFrame]] = {
 _NEEDS = ["path", "entry_type", "size", "mtime", "uid", "gid", "nlink", "blocks", "extension"]
 
 
-def reports(e: DataFrame, names: Iterable[str], n: int = TOP) -> dict[str, DataFrame]:
-    """Several reports over one pruned, cached scan. The caller unpersists with ``spark.catalog.clearCache()``."""
+def reports(e: DataFrame, names: Iterable[str], n: int = TOP) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Several reports over one pruned, cached scan, and that scan, which the caller unpersists."""
     kept = e.select(*_NEEDS).persist(StorageLevel.MEMORY_AND_DISK)
-    return {name: REPORTS[name](kept, n) for name in names}
+    return {name: REPORTS[name](kept, n) for name in names}, kept

@@ -53,8 +53,9 @@ def big_dirs(e: DataFrame, threshold: int = 1_000_000) -> DataFrame:
 
 
 def big_dir_scan(e: DataFrame, paths: DataFrame, threshold: int) -> DataFrame:
-    """For the given directories (column ``path``): capped count, whether the cap was hit, names of sub-directories."""
-    rows = e.join(paths.select(F.col("path").alias("parent_path")), "parent_path", "left_semi")
+    """For each of the given directories (column ``path``), empty ones too: capped count, whether the cap was hit,
+    names of sub-directories."""
+    rows = paths.select(F.col("path").alias("parent_path")).distinct().join(e.select("parent_path", "entry_type", "name"), "parent_path", "left")
     count = F.count_if(F.col("entry_type") != 1)
     return rows.groupBy(F.col("parent_path").alias("path")).agg(
         F.least(count, F.lit(threshold).cast("bigint")).alias("file_count"),

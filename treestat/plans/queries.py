@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from treestat.functions import columns as C
 from treestat.operators import diff, lookups, reports, tree
 from treestat.plans import fixtures as X
 
-from treestat.session import shared_dir
+from treestat.session import shared_dir, written
 from treestat.sources import catalog, listing
 from treestat.streaming import ingest
 
@@ -50,15 +51,15 @@ _on_entries("count_entries", reports.count_entries, "SELECT count(*) AS entries
 _on_entries("approx_entries", reports.approx_entries)
 _on_entries("by_extension", reports.by_extension, f"""SELECT coalesce(extension, '') AS extension, count(*) AS file_count, {_I("sum(size)")} AS total_bytes,
   {_I("sum(blocks)")} AS total_blocks FROM ent WHERE entry_type = 0 GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 20""")
-_on_entries("by_extension_gb", reports.by_extension_gb, f"""SELECT coalesce(extension, '(none)') AS ext, count(*) AS file_count, {_GB.format("sum(size)")} AS size_gb
-  FROM ent WHERE entry_type = 0 GROUP BY extension ORDER BY sum(size) DESC, 1 LIMIT 20""")
+_on_entries("by_extension_gb", reports.by_extension_gb, f"""SELECT coalesce(extension, '(none)') AS ext, count(*) AS file_count, {_GB.format("sum(size)")} AS size_gb,
+  {_GB.format("sum(blocks) * 512")} AS allocated_gb FROM ent WHERE entry_type = 0 GROUP BY extension ORDER BY sum(size) DESC, 1 LIMIT 20""")
 for _who in ("uid", "gid"):
     _on_entries(f"by_{_who}", getattr(reports, f"by_{_who}"), f"""SELECT coalesce({_who}, 0) AS {_who}, count_if(entry_type = 0) AS file_count, count_if(entry_type = 1) AS dir_count,
       {_I("coalesce(sum(size) FILTER (entry_type = 0), 0)")} AS total_bytes FROM ent GROUP BY 1 ORDER BY 4 DESC, 1 LIMIT 20""")
     _on_entries(f"by_{_who}_gb", getattr(reports, f"by_{_who}_gb"), f"""SELECT {_who}, count_if(entry_type = 0) AS files, count_if(entry_type = 1) AS dirs,
       {_GB.format("sum(size)")} AS size_gb FROM ent GROUP BY 1 ORDER BY sum(size) DESC, 1 NULLS FIRST LIMIT 20""")
 _on_entries("by_top_dir", reports.by_top_dir, f"""SELECT '/' || split_part(path, '/', 2) AS top_dir, count(*) AS files, {_GB.format("sum(size)")} AS size_gb
-  FROM ent WHERE entry_type = 0 GROUP BY 1 ORDER BY sum(size) DESC, 1 LIMIT 20""")
+  FROM ent WHERE entry_type = 0 GROUP BY 1 ORDER BY sum(size) DESC, 1""")
 _on_entries("permissions", reports.permissions, f"""SELECT CAST((mode & 511) >> 6 AS VARCHAR) || CAST(((mode & 511) >> 3) & 7 AS VARCHAR) || CAST(mode & 7 AS VARCHAR) AS perms, count(*) AS files,
   {_GB.format("sum(size)")} AS size_gb FROM ent WHERE entry_type = 0 AND mode IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20""")
 _PARENT = "CASE WHEN regexp_replace(path, '/[^/]*$', '') = '' THEN '/' ELSE regexp_replace(path, '/[^/]*$', '') END"
@@ -66,7 +67,7 @@ _on_entries("largest_dirs", reports.largest_dirs, f"SELECT {_PARENT} AS dir_path
 _on_entries("largest_dirs_files", reports.largest_dirs_files, f"""SELECT parent_path, count(*) AS file_count, {_GB.format("sum(size)")} AS size_gb
   FROM ent WHERE entry_type = 0 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20""")
 _on_entries("dir_sizes", reports.dir_sizes, f"""SELECT parent_path, count(*) AS files, {_I("sum(size) // 1073741824")} AS size_gb FROM ent WHERE entry_type = 0
-  GROUP BY 1 ORDER BY sum(size) DESC, 1 LIMIT 20""")
+  GROUP BY 1 ORDER BY sum(size) DESC, 1""")
 _on_entries("largest_files", reports.largest_files, "SELECT path, size FROM ent WHERE entry_type = 0 ORDER BY size DESC, path LIMIT 20")
 _on_entries("largest_files_gb", reports.largest_files_gb, f"""SELECT path, {_GB.format("size")} AS size_gb, {_STAMP.format("mtime")} AS modified
   FROM ent WHERE entry_type = 0 ORDER BY size DESC, path LIMIT 20""")
@@ -74,7 +75,7 @@ _on_entries("oldest_files", reports.oldest_files, "SELECT path, mtime, size FROM
 _on_entries("oldest_files_known", reports.oldest_files_known, f"""SELECT path, {_STAMP.format("mtime")} AS modified, {_MB.format("size")} AS size_mb
   FROM ent WHERE entry_type = 0 AND mtime IS NOT NULL ORDER BY mtime, path LIMIT 20""")
 _on_entries("most_links", reports.most_links, "SELECT path, coalesce(nlink, 1) AS nlink, size FROM ent WHERE entry_type = 0 ORDER BY 2 DESC, path LIMIT 20")
-_on_entries("most_links_gt1", reports.most_links_gt1, f"""SELECT path, nlink, {_GB.format("size")} AS size_gb FROM ent WHERE entry_type = 0 AND nlink > 1
+_on_entries("most_links_gt1", reports.most_links_gt1, f"""SELECT path, nlink, {_MB.format("size")} AS size_mb FROM ent WHERE entry_type = 0 AND nlink > 1
   ORDER BY nlink DESC, path LIMIT 20""")
 _on_entries("duplicates", reports.duplicates, """SELECT name, size, count(*) AS copies, string_agg(path, chr(10) ORDER BY path) AS paths FROM ent WHERE entry_type = 0 AND size > 0
   GROUP BY 1, 2 HAVING count(*) > 1 ORDER BY size * count(*) DESC, name, size LIMIT 20""")
@@ -82,10 +83,10 @@ _on_entries("duplicates", reports.duplicates, """SELECT name, size, count(*) AS
 
 def _reports(spark: SparkSession, d: str) -> DataFrame:
     """Each report's rows as text under the report's name."""
-    out = None
-    for name, df in reports.reports(X.entries(spark, d), reports.REPORTS, 20).items():
-        rows = df.select(F.lit(name).alias("report"), F.to_json(F.struct("*")).alias("row"))
-        out = rows if out is None else out.unionByName(rows)
+    made, kept = reports.reports(X.entries(spark, d), reports.REPORTS, 20)
+    rows = [df.select(F.lit(name).alias("report"), F.to_json(F.struct("*")).alias("row")) for name, df in made.items()]
+    out = written(reduce(DataFrame.unionByName, rows), "reports")
+    kept.unpersist()
     return out
 
 
@@ -106,9 +107,9 @@ _on_entries("parent_id", tree.parent_id, "SELECT c.path, c.inode, d.inode AS par
 _BIG_SQL = f"SELECT parent_path AS path, least(count(*), {BIG}) AS file_count, count(*) AS exact_count FROM ent WHERE entry_type <> 1 GROUP BY 1 HAVING count(*) >= {BIG}"
 _on_entries("big_dirs", lambda e: tree.big_dirs(e, BIG), _BIG_SQL)
 _on_entries("big_dir_scan", lambda e: tree.big_dir_scan(e, e.filter("entry_type = 1 AND depth <= 2"), BIG).withColumn("subdirs", F.array_join("subdirs", "\n")),
-            f"""SELECT parent_path AS path, least(count_if(entry_type <> 1), {BIG}) AS file_count, count_if(entry_type <> 1) >= {BIG} AS threshold_hit,
-  coalesce(string_agg(name, chr(10) ORDER BY name) FILTER (entry_type = 1), '') AS subdirs FROM ent
-  WHERE parent_path IN (SELECT path FROM ent WHERE entry_type = 1 AND depth <= 2) GROUP BY 1""")
+            f"""SELECT d.path, least(count_if(e.entry_type <> 1), {BIG}) AS file_count, count_if(e.entry_type <> 1) >= {BIG} AS threshold_hit,
+  coalesce(string_agg(e.name, chr(10) ORDER BY e.name) FILTER (e.entry_type = 1), '') AS subdirs
+  FROM (SELECT path FROM ent WHERE entry_type = 1 AND depth <= 2) d LEFT JOIN ent e ON e.parent_path = d.path GROUP BY 1""")
 _on_entries("big_dir_check", lambda e: tree.big_dir_check(e, BIG), f"SELECT parent_path AS path, CASE WHEN count(*) >= {BIG} THEN 'IsBig' ELSE 'NotBig' END AS verdict, count(*) AS n FROM ent GROUP BY 1")
 _on_entries("big_dir_summary", lambda e: tree.big_dir_summary(e, BIG), f"SELECT (SELECT count(*) + 1 FROM ent WHERE entry_type = 1) AS dirs_scanned, (SELECT count(*) FROM ({_BIG_SQL})) AS big_dirs_found, {_I(BIG)} AS threshold")
 
@@ -138,7 +139,7 @@ _on_entries("exclude_paths", lambda e: lookups.exclude_paths(e, [r"/u[13]/", r"\
 _on_entries("dirs_only", lookups.dirs_only, f"SELECT {_COLS} FROM ent WHERE entry_type = 1")
 _on_entries("max_depth", lambda e: lookups.max_depth(e, 2), f"SELECT {_COLS} FROM ent WHERE depth <= 3")
 _on_entries("no_atime", lookups.no_atime, f"SELECT {_COLS.replace('atime', 'CAST(NULL AS BIGINT) AS atime')} FROM ent")
-_on_entries("large_files", lambda e: lookups.large_files(e, 5_000_000), f"SELECT path, {_I('size // 1073741824')} AS size_gb FROM ent WHERE size > 5000000 ORDER BY 2 DESC, 1")
+_on_entries("large_files", lambda e: lookups.large_files(e, 5_000_000), f"SELECT path, {_I('size // 1073741824')} AS size_gb FROM ent WHERE size > 5000000 ORDER BY size DESC, path")
 _on_entries("recently_modified", lambda e: lookups.recently_modified(e, NOW, 60), f"""SELECT path, {_STAMP.format("mtime")} AS modified, {_MB.format("size")} AS size_mb FROM ent
   WHERE entry_type = 0 AND mtime > {NOW} - 86400 * 60 ORDER BY mtime DESC, path LIMIT 100""")
 _on_entries("stale_files", lambda e: lookups.stale_files(e, NOW), f"""SELECT path, {_STAMP.format("atime")} AS accessed, {_GB.format("size")} AS size_gb FROM ent
@@ -204,11 +205,16 @@ _add("normalize_listing", lambda spark, d: listing.normalize_listing(X.raw_listi
 
 
 def _list_tree(spark: SparkSession, d: str) -> DataFrame:
-    entries, _ = listing.list_tree(spark, d)
-    return entries.select("name", "entry_type", "size", "depth", "extension")
+    """The directories of the catalogue written in partitions by owner and depth, as the listing job finds them."""
+    out = shared_dir(spark, "partitions")
+    X.entries(spark, d).select("path", "size", "uid", "depth").write.partitionBy("uid", "depth").parquet(out)
+    entries, _ = listing.list_tree(spark, out.removeprefix("file://"), dirs_only=True)
+    return entries.select(F.substring_index("parent_path", "/", -1).alias("parent"), "name", "depth").withColumn("parent", F.when(F.col("depth") > 1, F.col("parent")))
 
 
-_add("list_tree", _list_tree)
+_U = "'uid=' || coalesce(CAST(uid AS VARCHAR), '__HIVE_DEFAULT_PARTITION__')"
+_add("list_tree", _list_tree, f"""SELECT DISTINCT CAST(NULL AS VARCHAR) AS parent, {_U} AS name, 1 AS depth FROM ent
+  UNION ALL SELECT DISTINCT {_U}, 'depth=' || depth, 2 FROM ent""")
 
 
 def _roundtrip(spark: SparkSession, d: str) -> DataFrame:
