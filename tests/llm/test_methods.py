@@ -369,6 +369,50 @@ def test_suffix_dedup_small_shards(spark):
         assert r["n_removed"] == len(gone)
 
 
+def removed_by_brute_force(texts, size):
+    times = Counter(t[k : k + size] for t in texts.values() for k in range(len(t) - size + 1))
+    out = {}
+    for i, t in texts.items():
+        gone = set()
+        for k in range(len(t) - size + 1):
+            if times[t[k : k + size]] > 1:
+                gone.update(range(k, k + size))
+        out[i] = len(gone)
+    return out
+
+
+@pytest.mark.parametrize("copies", [150, 600])
+def test_suffix_dedup_hot_key(spark, monkeypatch, copies):
+    """A passage in many surroundings: its keys are split by content, shards stay bounded, results stay exact."""
+    rng = random.Random(9)
+    line = "".join(rng.choices("abcdefgh ", k=70))
+    around = ["".join(rng.choices("xyz", k=30)) for _ in range(40)]
+    texts = {i: rng.choice(around) + rng.choice(around)[: rng.randrange(30)] + line + "".join(rng.choices("xyz", k=8)) + rng.choice(around) for i in range(copies)}
+    texts |= {copies + i: "q" * (100 + i) + line[:60] for i in range(20)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    deepest = []
+    inner = suffix_dedup._repeated
+    monkeypatch.setattr(suffix_dedup, "_repeated", lambda *a: deepest.append(a[3]) or inner(*a))
+    got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.removal_digests(df, size=80, shard_bytes=3000).collect()}
+    assert got == removed_by_brute_force(texts, 80)
+    assert len(deepest) > 1
+
+
+def test_suffix_pieces_meet():
+    """Equal windows of different texts get equal keys at every width, and no piece holds one window twice."""
+    rng = random.Random(10)
+    texts = ["".join(rng.choices("ab", k=rng.randrange(10))) + "ab" * 60 + "abcd" * 15 + "".join(rng.choices("ab", k=rng.randrange(30))) for _ in range(20)]
+    for width in (24, 6, 1):
+        keys = {}
+        for t in texts:
+            raw = t.encode()
+            for first, n, key, _ in zip(*(x.tolist() for x in suffix_dedup.pieces(raw, 80, width))):
+                windows = [raw[k : k + 80] for k in range(first, first + n)]
+                assert len(set(windows)) == n
+                for w in windows:
+                    assert keys.setdefault(w, key) == key
+
+
 def test_pipeline(spark, texts):
     import corpus_pipeline
 
