@@ -6,11 +6,12 @@ bound that leaves some k ln k of them; each dart has one of ``k`` coordinates, a
 the signature's entry. Two texts agree in a coordinate with the probability of their weighted Jaccard similarity.
 
 Texts that agree in all rows of a band are candidates. Equal texts are one node from the start. In each bucket all
-members are first compared with the least one; members outside the bucket's main component then with those whose
-signatures agree most; at last every pair of different components in a bucket, in blocks, but for those that cannot be
-similar: shingles are dealt into ``CELLS`` cells by hash, and the sum of the lesser counts of the cells is never less
-than the sum of the lesser counts of the shingles. So a group of copies costs a few comparisons per member and no pair
-of its members is listed. Similarity ``least`` or more (sum of least over sum of greatest counts, computed from the whole
+members are first compared with the least one. What is left in a bucket of several components are outsiders, members
+that are not in its main component: they are compared, block by block, with all members of other components, first with
+those whose signatures agree most and at last with every one but for those that cannot be similar. (Shingles are dealt
+into ``CELLS`` cells by hash, and the sum of the lesser counts of the cells is never less than the sum of the lesser
+counts of the shingles.) So a group of copies costs a few comparisons per member, no pair of its members is listed, and
+a few strangers in its bucket are compared with it, not its members with one another. Similarity ``least`` or more (sum of least over sum of greatest counts, computed from the whole
 texts) is a link, and components of links are the groups.
 
 Defined cases: NULL texts and texts without words are alone. A text with fewer than five words is one shingle. Rows of
@@ -167,16 +168,28 @@ def _counted(mixed: DataFrame, texts: DataFrame) -> DataFrame:
     return mixed.join(counts, "rep").withColumn("sketch", F.concat(F.substring("sketch", 1, BANDS * 8), "cells")).drop("cells")
 
 
+def _mixed(buckets: DataFrame, found: DataFrame) -> DataFrame:
+    """key, band, rep, root of the members of buckets with several components; main: the component with most members,
+    outside: members of others, n: all members."""
+    now = buckets.join(found.select(F.col("node").alias("rep"), "root"), "rep", "left").select("key", "band", "rep", F.coalesce("root", "rep").alias("root"))
+    sizes = now.groupBy("key", "root").agg(F.count("*").alias("n"))
+    order = F.max_by("root", F.struct("n", -F.col("root")))
+    info = sizes.groupBy("key").agg(F.count("*").alias("roots"), order.alias("main"), F.sum("n").alias("n"), F.max("n").alias("most")).filter("roots > 1")
+    return now.join(info.select("key", "main", "n", (F.col("n") - F.col("most")).alias("outside")).hint("merge"), "key")
+
+
 def _agreeing(mixed: DataFrame, tries: int | None, least: float) -> DataFrame:
-    """Pairs (a, b) of different components in one bucket: with agreeing signatures, the ``tries`` best of each member;
-    without ``tries``, all whose cells of counts allow a similarity of ``least``."""
-    sizes = mixed.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    rows = mixed.join(sizes, "key").withColumn("i", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    rows = rows.select("rep", "root", "main", "band", "sketch", "i", F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("g"))
+    """Pairs (a, b) of an outsider and a member of another component in one bucket: with agreeing signatures, the
+    ``tries`` best of each outsider in a block; without ``tries``, all whose cells of counts allow a similarity of
+    ``least``. Blocks of outsiders meet blocks of all members."""
+    at = lambda n: F.pmod(F.xxhash64("rep"), F.ceil(F.col(n) / BLOCK))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col(n) / BLOCK) - 1))
+    left = mixed.filter("root <> main").withColumn("i", at("outside")).withColumn("j", each("n"))
+    right = mixed.withColumn("j", at("n")).withColumn("i", each("outside"))
+    rows = left.withColumn("side", F.lit(True)).unionByName(right.withColumn("side", F.lit(False)))
+    rows = rows.select("rep", "root", "main", "band", "sketch", "side", F.xxhash64("key", "i", "j").alias("g"))
 
     def pairs(rep, root, main, band, keys, sig, left: np.ndarray, right: np.ndarray) -> Iterator[pd.DataFrame]:
-        left = left[root[left] != main[left]]
         step = max(1, 24_000_000 // max(1, len(right) * sig.shape[1]))
         for part in (left[k : k + step] for k in range(0, len(left), step)):
             ok = root[part][:, None] != root[right]
@@ -196,17 +209,15 @@ def _agreeing(mixed: DataFrame, tries: int | None, least: float) -> DataFrame:
             yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     def run(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        g, rep, root, main, band, i = (pdf[c].to_numpy() for c in ("g", "rep", "root", "main", "band", "i"))
+        g, rep, root, main, band, side = (pdf[c].to_numpy() for c in ("g", "rep", "root", "main", "band", "side"))
         sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(pdf), -1)
         keys, sig = np.ascontiguousarray(sketch[:, : BANDS * 8]).view(np.int64), sketch[:, BANDS * 8 :]
         if tries is None:
             sig = np.ascontiguousarray(sig).view(np.int32)
         start = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
         for a, b in zip(start, np.append(start[1:], len(g))):
-            one = np.arange(a, b)[i[a:b] == i[a]]
-            two = np.arange(a, b)[i[a:b] != i[a]]
-            for left, right in ((one, two), (two, one)) if len(two) else ((one, one),):
-                yield from pairs(rep, root, main, band, keys, sig, left, right)
+            left, right = np.flatnonzero(side[a:b]) + a, np.flatnonzero(~side[a:b]) + a
+            yield from pairs(rep, root, main, band, keys, sig, left, right)
 
     return by_group(rows, "g", run, "a long, b long").distinct()
 
@@ -237,7 +248,7 @@ def groups(docs: DataFrame, text: str = "text", least: float = SIMILARITY) -> Da
     classes = written(classes, "classes")
     spread = classes.select("rep", F.posexplode("bands").alias("band", "key"))
     shared = spread.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).filter("first <> last")
-    buckets = written(spread.join(shared.select("key", "first"), "key"), "buckets")  # only buckets of two texts or more
+    buckets = written(spread.join(shared.select("key", "first").hint("merge"), "key"), "buckets")  # only buckets of two texts or more
     rows = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("t"))
     texts = written(rows.join(buckets.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"), "texts")
 
@@ -245,9 +256,7 @@ def groups(docs: DataFrame, text: str = "text", least: float = SIMILARITY) -> Da
     links = written(_verified(star, texts, least), "links")
     found = components(links)
     for tries in (TRIES, None):  # what the first members did not settle: members of different components in one bucket
-        now = buckets.join(found.select(F.col("node").alias("rep"), "root"), "rep", "left").select("key", "band", "rep", F.coalesce("root", "rep").alias("root"))
-        mixed = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.mode("root", deterministic=True).alias("main")).filter("lo <> hi")
-        mixed = now.join(mixed.select("key", "main"), "key").join(classes.select("rep", "sketch"), "rep")
+        mixed = _mixed(buckets, found).join(classes.select("rep", "sketch"), "rep")
         if tries is None:
             mixed = _counted(mixed, texts)
         more = written(_verified(_agreeing(mixed, tries, least), texts, least), "links")
