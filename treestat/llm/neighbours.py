@@ -7,13 +7,15 @@ bounded size, of all nodes and of those in no or a small component; below ``RECA
 from the lists so far and new hyperplanes. If the last search falls short, too, all nodes of a label are compared.
 
 List entries with a cosine (in double precision) of ``least`` or more are links, and components of links are the
-groups. A list that is full of links is saturated: it may hide links that leave its component. Such nodes are compared
-with all nodes of their label, in pieces of bounded size, and the components that are found linked are joined. Then
-inside every component all pairs are compared, in blocks, and only each node's number of links is kept. So a large
+groups. A list that is full of links is saturated: it may hide links that leave its component. Saturated lists are
+enlarged by doubling and the descent goes on with them; nodes whose lists are full of links even at ``LONGEST`` are
+compared with all nodes of their label, in pieces of bounded size, and the components that are found linked are joined.
+Then inside every component all pairs are compared, in blocks, and only each node's number of links is kept. So a large
 group of copies or near copies costs neither a list of its pairs nor a task of its size.
 
 Defined cases: vectors that are NULL, of length or norm zero, or with NULL, NaN or infinite parts, and rows without
-label, link with nothing (n_links 0, alone in their component). Only vectors of one label and one length are compared.
+label, link with nothing (n_links 0, alone in their component). Only vectors of one label and one length are compared;
+labels of any type are compared as they are.
 vec_id is taken as unique; repeated rows count as copies. Rows without vec_id link with nothing and have no component.
 Other columns, also such with clashing names, are not looked at.
 """
@@ -34,6 +36,8 @@ from treestat.session import written
 LEAST = 0.98
 #: Length of a neighbour list, members compared around a node, least hyperplane rounds of a start, descent rounds.
 LIST, AROUND, STARTS, ROUNDS = 12, 30, 4, 6
+#: Length up to which lists that are full of links are enlarged.
+LONGEST = 48
 #: Wanted size of a start bucket and of a block of exact comparison.
 BUCKET, BLOCK = 96, 512
 #: Vectors of one side of a piece in which nodes are compared with all of their label.
@@ -95,9 +99,7 @@ def _rounds(bits: int) -> int:
 
 def _start(nodes: DataFrame, seed: int) -> DataFrame:
     """Neighbour candidates (v, u, s) from buckets of hyperplane signs; crowded buckets are split at random."""
-    sizes = [(r["label"], r["dim"], max(0, int(np.ceil(np.log2(max(1, r["n"]) / BUCKET))))) for r in nodes.groupBy("label", "dim").agg(F.count("*").alias("n")).collect()]
-    bits = {(a, d): b for a, d, b in sizes}  # one entry per label and length
-    most = max(bits.values(), default=0)
+    most = nodes.agg(F.coalesce(F.max("bits"), F.lit(0))).first()[0]
     rounds = _rounds(most)
 
     def codes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -108,47 +110,69 @@ def _start(nodes: DataFrame, seed: int) -> DataFrame:
                     planes[dim] = np.random.default_rng(seed * 1009 + dim).normal(size=(int(dim), rounds * most)).astype(np.float32)
                 x = np.frombuffer(b"".join(part["x"]), np.float32).reshape(len(part), -1)
                 signs = (x @ planes[dim] > 0).astype(np.int64).reshape(len(part), rounds, most)
-                used = np.array([bits[a, dim] for a in part["label"]], np.int64)
+                used = part["bits"].to_numpy(np.int64)
                 value = (signs * (1 << np.arange(most, dtype=np.int64)) * (np.arange(most) < used[:, None, None])).sum(2) if most else np.zeros((len(part), rounds), np.int64)
                 own = np.array([_rounds(b) for b in range(most + 1)])[used]
                 for t in range(rounds):
                     coded = pd.DataFrame({"v": part["v"], "t": t, "label": part["label"], "dim": part["dim"], "code": value[:, t], "x": part["x"]})
                     yield coded[own > t]
 
-    coded = nodes.select("v", "label", "dim", "x").mapInPandas(codes, "v long, t int, label int, dim int, code long, x binary")
+    coded = nodes.select("v", "label", "bits", "dim", "x").mapInPandas(codes, "v long, t int, label long, dim int, code long, x binary")
     coded = coded.withColumn("bucket", F.xxhash64("t", "label", "dim", "code"))
     crowd = coded.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > 2 * BUCKET)
     dealt = coded.join(crowd, "bucket", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("v", F.lit(seed)), F.ceil(F.col("n") / BUCKET)), F.lit(0)))
     return by_group(dealt.select("v", "x", F.xxhash64("bucket", "part").alias("g")), "g", lambda pdf: _best(pdf, "g", LIST), "v long, u long, s double")
 
 
-def _lists(candidates: DataFrame, old: DataFrame | None) -> DataFrame:
-    """The LIST best of each node: v, u, s, fresh (not in the old lists)."""
+def _lists(candidates: DataFrame, old: DataFrame | None, caps: DataFrame | None = None) -> DataFrame:
+    """The best of each node, LIST of them or as many as ``caps`` (v, cap) says: v, u, s, fresh (not in the old lists)."""
     both = candidates.withColumn("fresh", F.lit(True))
     if old is not None:
         both = both.unionByName(old.select("v", "u", "s", F.lit(False).alias("fresh")))
     once = both.groupBy("v", "u").agg(F.max("s").alias("s"), F.min("fresh").alias("fresh"))
     w = Window.partitionBy("v").orderBy(F.desc("s"), "u")
-    return once.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= LIST).drop("rank")
+    return _capped(once.withColumn("rank", F.row_number().over(w)), caps).filter("rank <= cap").drop("rank", "cap")
 
 
-def _descend(nodes: DataFrame, lists: DataFrame) -> DataFrame:
+def _capped(rows: DataFrame, caps: DataFrame | None, key: str = "v") -> DataFrame:
+    """``rows`` with ``cap``, the length of the list of the node in the column ``key``."""
+    if caps is None:
+        return rows.withColumn("cap", F.lit(LIST))
+    return rows.join(caps.select(F.col("v").alias(key), "cap"), key, "left").withColumn("cap", F.coalesce("cap", F.lit(LIST)))
+
+
+def _descend(nodes: DataFrame, lists: DataFrame, caps: DataFrame | None = None) -> DataFrame:
     """NN-descent rounds until less than a thousandth of the entries is new."""
     for _ in range(ROUNDS):
         around = lists.select(F.col("v").alias("center"), F.col("u").alias("v"), "fresh").unionByName(lists.select(F.col("u").alias("center"), "v", "fresh"))
         around = around.groupBy("center", "v").agg(F.max("fresh").alias("fresh"))
         w = Window.partitionBy("center").orderBy(F.desc("fresh"), F.xxhash64("center", "v"))
-        around = around.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= AROUND).drop("rank")
-        last = lists.groupBy("v").agg(F.when(F.count("*") >= LIST, F.min("s")).otherwise(F.lit(-2.0)).alias("last"))
+        around = _capped(around.withColumn("rank", F.row_number().over(w)), caps, "center").filter(F.col("rank") * LIST <= F.col("cap") * AROUND).drop("rank", "cap")
+        last = _capped(lists.groupBy("v").agg(F.count("*").alias("n"), F.min("s").alias("s")), caps).select("v", F.expr("CASE WHEN n >= cap THEN s ELSE -2D END").alias("last"))
         known = nodes.select("v", "x").join(last, "v", "left").select("v", "x", F.coalesce("last", F.lit(-2.0)).alias("last"))
         found = by_group(around.join(known, "v").select("center", "v", "fresh", "last", "x"), "center", _local_join, "v long, u long, s double")
-        lists = written(_lists(found, lists), "lists")
+        lists = written(_lists(found, lists, caps), "lists")
         new, all_ = lists.agg(F.count_if("fresh"), F.count("*")).first()
         if new <= 0.001 * all_:
             break
     return lists
 
 
+def _enlarged(nodes: DataFrame, lists: DataFrame, caps: DataFrame | None, least: float) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """Refined lists, their lengths, and the nodes whose lists are full of links even at LONGEST."""
+    lists = _descend(nodes, lists, caps)
+    size = LIST
+    while True:
+        full = written(_saturated(lists, caps, least), "saturated")
+        if size >= LONGEST or full.isEmpty():
+            return lists, caps, full
+        size *= 2
+        longer = full.withColumn("cap", F.lit(size))
+        caps = written(longer if caps is None else longer.unionByName(caps).groupBy("v").agg(F.max("cap").alias("cap")), "caps")
+        again = lists.drop("fresh").join(full.withColumn("fresh", F.lit(True)), "v", "left").select("v", "u", "s", F.coalesce("fresh", F.lit(False)).alias("fresh"))
+        lists = _descend(nodes, again, caps)
+
+
 def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Cosines in double precision of rows of ``a`` with rows of ``b``."""
     return (a @ b.T) / np.linalg.norm(a, axis=1)[:, None] / np.linalg.norm(b, axis=1)
@@ -208,9 +232,10 @@ def _audit(nodes: DataFrame, member: DataFrame, least: float) -> float:
     return min(means)
 
 
-def _saturated(lists: DataFrame, least: float) -> DataFrame:
+def _saturated(lists: DataFrame, caps: DataFrame | None, least: float) -> DataFrame:
     """v of the nodes whose whole list is links, as far as single precision can tell."""
-    return lists.groupBy("v").agg(F.count("*").alias("n"), F.min("s").alias("last")).filter((F.col("n") >= LIST) & (F.col("last") >= least - 1e-4)).select("v")
+    ends = lists.groupBy("v").agg(F.count("*").alias("n"), F.min("s").alias("last"))
+    return _capped(ends, caps).filter((F.col("n") >= F.col("cap")) & (F.col("last") >= least - 1e-4)).select("v")
 
 
 def _across(asked: DataFrame, nodes: DataFrame, member: DataFrame, least: float) -> DataFrame:
@@ -286,26 +311,29 @@ def links(vectors: DataFrame, embedding: str = "embedding", least: float = LEAST
     """vec_id, n_links, component_id, kept: one row per input row."""
     e = F.col(embedding)
     good = vectors.filter("vec_id IS NOT NULL AND label IS NOT NULL").filter(e.isNotNull() & (F.size(e) > 0))
-    good = good.select("vec_id", F.col("label").cast("int").alias("label"), e.cast("array<double>").alias("e"))
+    good = good.select("vec_id", "label", e.cast("array<double>").alias("e"))
     good = good.filter(F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))) & F.exists("e", lambda x: x != 0))
-    classes = good.groupBy("label", "e").agg(F.min("vec_id").alias("v"), F.count("*").alias("copies"))
-    of_class = good.join(classes, ["label", "e"]).select("vec_id", "v", "copies")
+    # a label is its least vec_id from here on; bits of a start bucket go by the label's number of different vectors
+    labels = good.groupBy("label").agg(F.min("vec_id").alias("of"), F.approx_count_distinct(F.xxhash64("e")).alias("n"))
+    labels = labels.select("label", "of", F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / BUCKET))).cast("int").alias("bits"))
+    good = good.join(labels, "label").select("vec_id", F.col("of").alias("label"), "bits", "e")
+    classes = good.groupBy("label", "bits", "e").agg(F.min("vec_id").alias("v"), F.count("*").alias("copies"))
+    of_class = good.drop("bits").join(classes, ["label", "e"]).select("vec_id", "v", "copies")
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             x = [np.asarray(a, np.float64) for a in pdf["e"]]
             x = [a / np.abs(a).max() for a in x]  # so that no square overflows
             unit = [(a / np.linalg.norm(a)).astype(np.float32).tobytes() for a in x]
-            yield pdf[["v", "label", "copies"]].assign(dim=[len(a) for a in x], x=unit, x64=[a.tobytes() for a in x])
+            yield pdf[["v", "label", "bits", "copies"]].assign(dim=[len(a) for a in x], x=unit, x64=[a.tobytes() for a in x])
 
-    nodes = written(classes.mapInPandas(pack, "v long, label int, copies long, dim int, x binary, x64 binary"), "nodes")
-    lists, member = None, None
+    nodes = written(classes.mapInPandas(pack, "v long, label long, bits int, copies long, dim int, x binary, x64 binary"), "nodes")
+    lists, caps, member = None, None, None
     for search in range(SEARCHES):
-        lists = written(_lists(_start(nodes, search), lists), "lists")
-        lists = _descend(nodes, lists)
+        lists = written(_lists(_start(nodes, search), lists, caps), "lists")
+        lists, caps, full = _enlarged(nodes, lists, caps, least)
         near = written(_links(lists, nodes, least), "links")
         member = _members(near)
-        full = written(_saturated(lists, least), "saturated")
         if not full.isEmpty():
             more = written(_across(full, nodes, member, least), "across")
             if not more.isEmpty():
