@@ -50,6 +50,28 @@ def test_byte_bpe_any_text(text):
     assert np.frombuffer(ids, "<u4").tolist() == enc.encode_ordinary(text) and back == text.encode()
 
 
+def test_byte_bpe_long_words():
+    import time
+
+    import tiktoken
+
+    c = byte_bpe.Codec(RANKS, P.PATTERN)
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=c.ranks, special_tokens={})
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=k)) for k in (255, 256, 257, 1000, 5000)] + ["the" * 400, "aa" * 3000, "é" * 700]
+    for w, k in zip(words, map(c.long_word, map(str.encode, words))):
+        assert k == enc.encode_ordinary(w)
+    ((ids, back),) = c.round_trip([" and ".join(words)])
+    assert np.frombuffer(ids, "<u4").tolist() == enc.encode_ordinary(" and ".join(words)) and back == " and ".join(words).encode()
+    took = []
+    for k in (50_000, 200_000):
+        w, began = "".join(rng.choices("abcdefghijklmnop", k=k)), time.process_time()
+        ids = c.long_word(w.encode())
+        took.append(time.process_time() - began)
+        assert b"".join(enc.decode_single_token_bytes(i) for i in ids) == w.encode()
+    assert took[1] < 12 * max(took[0], 0.05)
+
+
 def test_token_counts(docs, texts):
     import sentencepiece
 

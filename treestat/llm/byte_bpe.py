@@ -4,6 +4,10 @@ Each Spark task runs DuckDB over the words of its own rows. A word's bytes are t
 query joins neighbouring tokens to the merge table and contracts each word's leftmost pair of minimum rank, for all
 words at once, until none is left. Decoding joins ids to the vocabulary and concatenates the bytes in position order.
 
+A step costs as much as the words it works on and a word takes a step for each merge, so words over ``LONG_WORD`` bytes
+(runs of letters or spaces that no prose has) are contracted by a priority queue of their pairs instead, in the same
+order and with the same result, in near linear time.
+
 Words repeat, so a worker keeps the tokens of words that it has met in a table of bounded size and sends only new
 words through SQL. Nothing else is kept between rows: memory is bounded by one slice of texts plus that table.
 
@@ -16,6 +20,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -23,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treestat.llm.tables import add_columns
+from treestat.llm.tables import add_columns, held
 
 #: Words kept by a worker; about 300 bytes each.
 MEMO_WORDS = 400_000
 #: Characters of text in a slice, and new words in one recursive query.
 SLICE_CHARS, QUERY_WORDS = 4_000_000, 50_000
+#: Bytes of the longest word that goes through the recursive query, and rows that one query may leave.
+LONG_WORD, QUERY_ROWS = 256, 4_000_000
 
 _CONTRACT = """
 WITH RECURSIVE state(step, word, pos, tok) AS (
@@ -63,7 +70,7 @@ class Codec:
         self.ranks = read_ranks(path)
         self.words = regex.compile(pattern)
         self.memo: dict[str, tuple[bytes, bytes]] = {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "preserve_insertion_order": False})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": "", "preserve_insertion_order": False})
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.known = np.zeros(max(self.ranks.values()) + 1, bool)
         self.known[list(self.ranks.values())] = True
@@ -87,9 +94,23 @@ class Codec:
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all words one after the other, and their numbers. A word that is one token needs no contraction."""
         whole = np.fromiter((self.ranks.get(w, -1) for w in words), np.int32, len(words))
-        todo = np.flatnonzero(whole < 0)
-        if not len(todo):
-            return whole, np.ones(len(words), np.int64)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        n = np.ones(len(words), np.int64)
+        rows, flat = [np.flatnonzero(whole >= 0)], [whole[whole >= 0]]
+        for k in np.flatnonzero((whole < 0) & (size > LONG_WORD)).tolist():
+            flat.append(np.array(self.long_word(words[k]), np.int32))
+            n[k] = len(flat[-1])
+            rows.append(np.full(n[k], k))
+        todo = np.flatnonzero((whole < 0) & (size <= LONG_WORD))
+        if len(todo):
+            word, sizes, made = self._contracted(words, todo)
+            n[word] = sizes
+            rows.append(np.repeat(word, sizes))
+            flat.append(made)
+        return np.concatenate(flat).astype(np.int32)[np.argsort(np.concatenate(rows), kind="stable")], n
+
+    def _contracted(self, words: list[bytes], todo: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the chosen words: places in any order, numbers of tokens, tokens one word after the other."""
         raw = [words[k] for k in todo.tolist()]
         lens = np.fromiter(map(len, raw), np.int64, len(raw))
         ends = np.cumsum(lens)
@@ -100,12 +121,24 @@ class Codec:
         lists = got["ids"].combine_chunks() if isinstance(got["ids"], pa.ChunkedArray) else got["ids"]
         made = lists.flatten().to_numpy(zero_copy_only=False)
         sizes = np.diff(lists.offsets.to_numpy())
-        word = got["word"].to_numpy()
-        rows = np.concatenate([np.repeat(word, sizes), np.flatnonzero(whole >= 0)])
-        flat = np.concatenate([made, whole[whole >= 0]]).astype(np.int32)
-        n = np.ones(len(words), np.int64)
-        n[word] = sizes
-        return flat[np.argsort(rows, kind="stable")], n
+        return got["word"].to_numpy(), sizes, made
+
+    def long_word(self, word: bytes) -> list[int]:
+        """Ids of one word: its leftmost pair of minimum rank is contracted until none is left."""
+        n, rank = len(word), self.ranks.get
+        after, before, alive = list(range(1, n + 1)), list(range(-1, n)), bytearray(b"\1" * n)
+        queue = [(r, i, i + 2) for i in range(n - 1) if (r := rank(word[i : i + 2])) is not None]
+        heapify(queue)
+        while queue:
+            _, i, end = heappop(queue)
+            if not alive[i] or after[i] >= n or after[after[i]] != end:
+                continue  # one of the two has been contracted since
+            alive[after[i]] = 0
+            after[i], before[end] = end, i
+            for k in (before[i], i):
+                if k >= 0 and after[k] < n and (r := rank(word[k : after[after[k]]])) is not None:
+                    heappush(queue, (r, k, after[after[k]]))
+        return [self.ranks[word[i : after[i]]] for i in range(n) if alive[i]]
 
     def decode_ids(self, flat: np.ndarray, lens: np.ndarray) -> list[bytes]:
         """Bytes of each run of ids, by an ordered aggregation over token rows."""
@@ -124,8 +157,11 @@ class Codec:
         todo = [w for w in words if w not in self.memo]
         if len(self.memo) + len(todo) > MEMO_WORDS:
             self.memo = {w: self.memo[w] for w in words if w in self.memo}
-        for at in range(0, len(todo), QUERY_WORDS):
-            part = todo[at : at + QUERY_WORDS]
+        rows = np.cumsum([0, *(min(len(w), LONG_WORD) ** 2 for w in todo)])  # at least what the steps of a word leave
+        at = 0
+        while at < len(todo):
+            end = min(at + QUERY_WORDS, max(at + 1, int(np.searchsorted(rows, rows[at] + QUERY_ROWS, "right")) - 1))
+            part, at = todo[at:end], end
             flat, lens = self.encode_words([w.encode("utf-8", "surrogatepass") for w in part])
             back = self.decode_ids(flat, lens)
             raw, ends = flat.astype("<u4").tobytes(), (4 * np.cumsum(lens)).tolist()
@@ -168,14 +204,9 @@ class Codec:
         return b"".join(ids), b"".join(back)
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
-
-
 def codec(path: str, pattern: str) -> Codec:
-    """The worker's codec for a vocabulary; loaded once in each Python worker."""
-    if (path, pattern) not in _CODECS:
-        _CODECS[path, pattern] = Codec(path, pattern)
-    return _CODECS[path, pattern]
+    """The worker's codec for a vocabulary."""
+    return held(("codec", path, pattern), lambda: Codec(path, pattern))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:

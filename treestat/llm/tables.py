@@ -11,6 +11,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+_HELD: dict = {}
+
+
+def held(key, make: Callable[[], object]):
+    """What a Python worker keeps between tasks: one object, the last one asked for.
+
+    Workers serve one stage after another; what an earlier stage kept goes before the next one's is made.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
