@@ -243,6 +243,70 @@ def test_decontamination(spark, docs, texts):
     assert want and want <= got and len(got - want) <= 2
 
 
+def edited_items(rng):
+    """Items, and documents that hold them with some words changed, so that similarities lie around the bound."""
+    word = lambda: f"w{rng.randrange(3000)}"
+    items = [[word() for _ in range(rng.choice((12, 25, 40, 90)))] for _ in range(24)] + [[*"to be or not to be".split()] * 4]
+    texts = {}
+    for i in range(240):
+        body = [word() for _ in range(rng.randrange(0, 150))]
+        if i % 5:
+            item = list(rng.choice(items))
+            for _ in range(rng.randrange(0, 1 + len(item) // 12)):
+                item[rng.randrange(len(item))] = word()
+            at = rng.randrange(len(body) + 1)
+            body[at:at] = item
+        texts[i] = " ".join(body)
+    return {k: " ".join(x) for k, x in enumerate(items)}, texts
+
+
+def best_windows(items, texts, least=0.8):
+    """(document, item) -> best similarity of a window, by comparing all windows."""
+    out = {}
+    own = {k: (len(t.split()), shingles(*words([t]))[0]) for k, t in items.items()}
+    for d, t in texts.items():
+        sh = shingles(*words([t]))[0]
+        for k, (size, item) in own.items():
+            n = min(max(1, size - 4), len(sh))
+            best = max((weighted_jaccard(sh[p : p + n], item) for p in range(len(sh) - n + 1) if set(sh[p : p + n].tolist()) & set(item.tolist())), default=0.0)
+            if best >= least:
+                out[d, k] = best
+    return out
+
+
+def test_decontamination_of_edited_items(spark, monkeypatch):
+    items, texts = edited_items(random.Random(14))
+    want = best_windows(items, texts)
+    assert len(want) > 40 and min(want.values()) < 0.85 and len({k for _, k in want}) > 15
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    for items_in_group in (1000, 10):  # one index, and several with zones
+        monkeypatch.setattr(decontaminate, "GROUP_ITEMS", items_in_group)
+        got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.leaks(docs.unionAll(docs), bench).collect()}
+        assert got == pytest.approx(want)
+        kept = decontaminate.keep_clean(docs.withColumn("k1", docs["doc_id"]), bench)
+        assert kept.columns == ["doc_id", "text", "k1"] and {r["doc_id"] for r in kept.collect()} == set(texts) - {d for d, _ in want}
+
+
+def test_zones_hold_every_window():
+    rng = np.random.default_rng(15)
+    for _ in range(300):
+        bits = np.zeros(1 << (decontaminate.FILTER_BITS - 6), np.uint64)
+        sh = rng.integers(0, 1 << 63, rng.integers(1, 120)).astype(np.uint64) << np.uint64(1)
+        hit = rng.random(len(sh)) < rng.choice([0.3, 0.7, 0.9])
+        for x in sh[hit].tolist():
+            top = x >> (64 - decontaminate.FILTER_BITS)
+            bits[top >> 6] |= np.uint64(1 << (top & 63))
+        low, high = sorted(rng.integers(1, 80, 2).tolist())
+        inside = np.zeros(len(sh), bool)
+        for a, b in decontaminate.zones(sh, bits, low, high, 0.8):
+            inside[a:b] = True
+        for size in range(low, high + 1):
+            n = min(size, len(sh))
+            for p in range(len(sh) - n + 1):
+                assert hit[p : p + n].sum() < 0.8 * n or inside[p : p + n].all()
+
+
 def test_every_fingerprint_within_the_radius():
     rng = np.random.default_rng(3)
     index = decontaminate.Index([(i, " ".join(f"w{rng.integers(10**6)}" for _ in range(40))) for i in range(50)])

@@ -7,30 +7,39 @@ the blocks' neighbourhoods finds every fingerprint within the radius. What is fo
 Jaccard similarity of the shingles, ``SIMILARITY`` or more. A window that shares no shingle with any item has
 similarity 0 and is not fingerprinted.
 
-Items go to the tasks in groups of bounded number and size, one pass over the documents for each group, so a benchmark
-of any size works. Defined cases: NULL or empty texts and items without words match nothing. A document shorter than an
-item is one window. Repeated items are separate items; repeated rows give repeated rows. Other columns, also such with
+A benchmark of up to ``GROUP_ITEMS`` items and ``GROUP_CHARS`` characters is one index, and the documents are read once.
+A larger one is read in groups of that size, but the documents are read once all the same: the shingles of all items
+make a filter of 2 ** ``FILTER_BITS`` bits, and one pass over the documents writes the zones whose shingles are in the
+filter so densely that a window of similarity ``least`` may lie there (no such window is lost). Only these zones are
+compared with each group. Defined cases: NULL or empty texts and items without words match nothing. A document shorter than an
+item is one window. An item of fewer than five words is a single shingle of its own length, which only a document with
+as many words can have. Repeated items are separate items; repeated rows give repeated rows. Other columns, also such with
 clashing names, are not looked at by ``leaks`` and kept by ``keep_clean``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial, reduce
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treestat.llm.shingles import WORDS, shingles, slices, words
-from treestat.llm.tables import add_columns, keep_rows
+from treestat.llm.tables import add_columns, held, keep_rows
+from treestat.session import written
 
 SIMILARITY = 0.8
 RADIUS = 18
 _BLOCKS, _BITS = 4, 16
 #: Items and characters of items in one group.
 GROUP_ITEMS, GROUP_CHARS = 1000, 8_000_000
+#: Bits of the filter of item shingles: 8 MB, whatever the number of items.
+FILTER_BITS = 26
+_ZONES = "array<struct<first:bigint,shingles:binary>>"
 
 
 def _masks(radius: int) -> np.ndarray:
@@ -145,45 +154,135 @@ class Index:
                 yield self.search(sh[at[k] : at[k + 1]], h, least) if len(h) else {}
 
 
-_INDEXES: dict[int, Index] = {}
-
-
 def _index(items: list[tuple[int, str]], radius: int) -> Index:
-    """The worker's index of a group of items; the last group alone is kept."""
-    key = hash((radius, *items))
-    if key not in _INDEXES:
-        _INDEXES.clear()
-        _INDEXES[key] = Index(items, radius)
-    return _INDEXES[key]
+    """The worker's index of a group of items."""
+    return held((radius, *items), lambda: Index(items, radius))
 
 
-def _groups(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The items in groups of bounded number and size, one at a time."""
+def _items(benchmark: DataFrame) -> tuple[DataFrame, int]:
+    """Items with text, and how many groups of bounded number and size they make."""
     b = benchmark.filter("text IS NOT NULL").select("item_id", "text")
     n, chars = b.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
-    groups = max(1, -(-n // (GROUP_ITEMS // 2)), -(-chars // (GROUP_CHARS // 2))) if n > GROUP_ITEMS or chars > GROUP_CHARS else 1
+    return b, max(1, -(-n // (GROUP_ITEMS // 2)), -(-chars // (GROUP_CHARS // 2))) if n > GROUP_ITEMS or chars > GROUP_CHARS else 1
+
+
+def _groups(b: DataFrame, groups: int) -> Iterator[list[tuple[int, str]]]:
+    """The items of each group, one group at a time."""
     for k in range(groups):
         part = b.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == k)
         yield sorted(((r["item_id"], r["text"]) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", least: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
-    """doc_id, item_id, similarity, first_word, n_words: the best window of every item in every document that leaks it."""
-    rows = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("t"))
+def item_filter(b: DataFrame) -> tuple[np.ndarray, int, int]:
+    """Bits of the first FILTER_BITS bits of all item shingles, and the least and greatest number of an item's shingles."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            sh, at = shingles(*words(pdf["text"].tolist()))
+            n = np.diff(at)
+            if len(sh):
+                bit = np.unique(sh >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+                yield pd.DataFrame({"bit": bit, "low": int(n[n > 0].min()), "high": int(n.max())})
+
+    bits = b.select("text").mapInPandas(run, "bit long, low long, high long")
+    rows = bits.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(bit & 63 AS INT)))").alias("bits"), F.min("low").alias("low"), F.max("high").alias("high"))
+    got = rows.toPandas()  # at most 2 ** (FILTER_BITS - 6) rows
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    out[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
+    return out.view(np.uint64), *((int(got["low"].min()), int(got["high"].max())) if len(got) else (1, 0))
+
+
+def zones(sh: np.ndarray, bits: np.ndarray, low: int, high: int, least: float) -> list[tuple[int, int]]:
+    """Ranges of shingles that hold every window with a share of at least ``least`` in the filter, for all sizes of items.
+
+    A window of m to 2m shingles with that share has at least m - 2m(1 - least) hits among its first m.
+    """
+    if not len(sh) or not high:
+        return []
+    at = sh >> np.uint64(64 - FILTER_BITS)
+    hits = np.concatenate([[0], np.cumsum(bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1))]).astype(np.int64)
+    wide, m = np.zeros(len(sh) + 1, np.int64), low
+    while m <= high:
+        n = min(m, len(sh))
+        need = least * n if n == len(sh) else max(1.0, n - 2 * n * (1 - least))
+        first = np.flatnonzero(hits[n:] - hits[:-n] >= need - 1e-9)
+        np.add.at(wide, first, 1)
+        np.add.at(wide, np.minimum(first + 2 * n, len(sh)), -1)
+        if n == len(sh):
+            break
+        m *= 2
+    edge = np.flatnonzero(np.diff(np.cumsum(wide)[:-1] > 0, prepend=False, append=False))
+    return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
+
+
+def _zoned(docs: DataFrame, b: DataFrame, text: str, least: float) -> DataFrame:
+    """doc_id, k1, k2 (128 bits of hash of the text) and the zones of every document that has some."""
+    bits, low, high = item_filter(b)
+    shared = docs.sparkSession.sparkContext.broadcast(bits)  # 8 MB
+
+    def run(texts: list[str]) -> list[list]:
+        out = []
+        for a, e in slices(texts):
+            sh, at = shingles(*words(texts[a:e]))
+            for k in range(e - a):
+                own = sh[at[k] : at[k + 1]]
+                out.append([(x, own[x:y].tobytes()) for x, y in zones(own, shared.value, low, high, least)])
+        return [out]
+
+    rows = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("t")).withColumns(_text_key("t"))
+    return written(add_columns(rows, ["doc_id", "k1", "k2"], ["t"], run, {"zones": _ZONES}).filter(F.size("zones") > 0), "zones")
+
+
+def _text_key(text: Column | str) -> dict[str, Column]:
+    return {"k1": F.xxhash64(text), "k2": F.xxhash64(F.lit("second"), text)}
+
+
+def _in_zones(items: list[tuple[int, str]], radius: int, least: float, lists: list) -> list[list]:
+    index, out = _index(items, radius), []
+    for found in lists:
+        best: dict[int, tuple[float, int]] = {}
+        for z in found if index.ids else []:
+            sh = np.frombuffer(z["shingles"], np.uint64)
+            if len(hit := index.screened(sh)):
+                for i, (s, p) in index.search(sh, hit, least).items():
+                    if s > best.get(i, (0.0, 0))[0]:
+                        best[i] = (s, z["first"] + p)
+        out.append(_leak_rows(index, best))
+    return [out]
 
-    def one(items: list[tuple[int, str]]) -> DataFrame:
-        def run(texts: list[str]) -> list[list]:
-            index = _index(items, radius)
-            return [[[(index.ids[i], s, p, int(index.lens[i])) for i, (s, p) in sorted(found.items())] for found in index.documents(texts, least)]]
 
-        made = add_columns(rows, ["doc_id"], ["t"], run, {"leak": "array<struct<item_id:bigint,similarity:double,first_word:bigint,n_words:bigint>>"})
-        return made.select("doc_id", F.explode("leak").alias("leak")).select("doc_id", "leak.*")
+def _in_texts(items: list[tuple[int, str]], radius: int, least: float, texts: list[str]) -> list[list]:
+    index = _index(items, radius)
+    return [[_leak_rows(index, found) for found in index.documents(texts, least)]]
 
-    return reduce(DataFrame.unionByName, map(one, _groups(benchmark)))
+
+def _leak_rows(index: Index, found: dict[int, tuple[float, int]]) -> list[tuple]:
+    return [(index.ids[i], s, p, int(index.lens[i])) for i, (s, p) in sorted(found.items())]
+
+
+_LEAKS = {"leak": "array<struct<item_id:bigint,similarity:double,first_word:bigint,n_words:bigint>>"}
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", least: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+    """doc_id, item_id, similarity, first_word, n_words: the best window of every item in every document that leaks it."""
+    b, groups = _items(benchmark)
+    if groups == 1:
+        rows, take, search = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("t")), "t", _in_texts
+    else:
+        rows, take, search = _zoned(docs, b, text, least), "zones", _in_zones
+    made = [add_columns(rows, ["doc_id"], [take], partial(search, items, radius, least), _LEAKS) for items in _groups(b, groups)]
+    return reduce(DataFrame.unionByName, made).select("doc_id", F.explode("leak").alias("leak")).select("doc_id", "leak.*")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", least: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """``docs`` without the documents that leak an item."""
-    for items in _groups(benchmark):
-        docs = keep_rows(docs, text, lambda texts, items=items: [not found for found in _index(items, radius).documents(texts, least)])
-    return docs
+    b, groups = _items(benchmark)
+    if groups == 1:
+        (items,) = _groups(b, 1)
+        return keep_rows(docs, text, lambda texts: [not found for found in _index(items, radius).documents(texts, least)])
+    rows = _zoned(docs, b, text, least)
+    made = [add_columns(rows, ["k1", "k2"], ["zones"], partial(_in_zones, items, radius, least), _LEAKS) for items in _groups(b, groups)]
+    dirty = written(reduce(DataFrame.unionByName, made).filter(F.size("leak") > 0).select("k1", "k2").distinct(), "leaks")
+    t = F.coalesce(F.col(text), F.lit(""))
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), *(c.alias(k) for k, c in _text_key(t).items()))
+    return keyed.join(dirty, ["k1", "k2"], "left_anti").select("row.*")

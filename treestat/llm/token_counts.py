@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treestat.llm.tables import add_columns
+from treestat.llm.tables import add_columns, held
 
 MEMO_WORDS = 600_000
 SLICE_CHARS = 2_000_000
@@ -305,14 +305,9 @@ class PrefixCounter(dict):
         return 0
 
 
-_COUNTERS: dict[str, PrefixCounter] = {}
-
-
 def counter(path: str) -> PrefixCounter:
-    """The worker's counter for a model; loaded once in each Python worker."""
-    if path not in _COUNTERS:
-        _COUNTERS[path] = PrefixCounter(path)
-    return _COUNTERS[path]
+    """The worker's counter for a model."""
+    return held(("counter", path), lambda: PrefixCounter(path))
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 4096, text: str = "text") -> DataFrame:
