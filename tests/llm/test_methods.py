@@ -423,6 +423,26 @@ def test_html():
     assert html_text.content(page, np.zeros(13)) == "Head & line\n\nFirst link para.\n\nSecond <b> para.\n\ncode x"
 
 
+def test_html_elements_that_are_left_out():
+    page = """<article><title-bar>Bar</title-bar><p>One <svg viewBox="0 0 1 1"/> two <svg><text>no</text></svg> three <math><mi>x</mi></math>.</p>
+    <video-player>Four</video-player><button>Send</button><p>Five</p><p>Six <select><option>no</select> end<canvas>no</article><p>After</p>"""
+    got = html_text.content(page, np.zeros(13)).split("\n\n")
+    assert got[0] == "Bar" and got[1] == "One two three x." and "Four" in got and "After" in got and "Six end" in got and not any("no" in x for x in got)
+
+
+def test_min_cut_of_long_pages():
+    import time
+
+    took = []
+    for n in (1600, 12800):
+        cost = [2.0 if k % 2 else -2.0 for k in range(n)]
+        edges = [(k - 1, k, 0.4) for k in range(1, n)] + [(k - 2, k, 0.8) for k in range(2, n)] + [(k - 1, k, 0.2) for k in range(1, n)]
+        began = time.process_time()
+        assert html_text.min_cut(cost, edges) == [bool(k % 2) for k in range(n)]
+        took.append(time.process_time() - began)
+    assert took[1] < 24 * max(took[0], 0.02)
+
+
 def test_min_cut_is_minimal():
     rng = random.Random(6)
     for _ in range(200):

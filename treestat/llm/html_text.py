@@ -9,7 +9,11 @@ content blocks are the text.
 The classifier is trained on the blocks of at most ``TRAIN_PAGES`` pages (smallest hash of page_id), labelled by their
 telling ancestors and described without them. Everything else covers every page and its whole html.
 
-Defined cases: NULL or empty html gives an empty text. Unclosed elements, comments, scripts and cut-off pages are read
+Names outweigh the classifier: a reader's comment or an advert is worded like an article, so what its text looks like
+must not bring it back. The classifier decides where no ancestor tells anything.
+
+Defined cases: NULL or empty html gives an empty text. Elements without text of the page's own (pictures, buttons,
+fallbacks) are left out up to their end tag or that of the element around them. Unclosed elements, comments, scripts and cut-off pages are read
 as far as they go. Character references are decoded, white space in a block becomes one space, blocks are joined by an
 empty line; nothing else is dropped. Repeated rows give repeated rows. Other columns are not looked at.
 """
@@ -35,7 +39,8 @@ TELLING, NEXT, SIBLING, COUSIN = 4.0, 0.4, 0.8, 0.2
 PRIOR = 0.1
 
 #: Element kinds and telling names.
-SKIPPED = ("script", "style", "noscript", "template", "title", "select", "button", "textarea", "svg", "iframe", "object", "canvas", "audio", "video", "math")
+RAW = ("script", "style", "textarea", "title")
+SKIPPED = frozenset("noscript template select button svg iframe canvas audio video".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -48,7 +53,7 @@ BOILERPLATE_WORDS = frozenset(
 CONTENT_WORDS = frozenset("article articlebody articletext story storybody entry entrycontent post postbody postcontent main maincontent maintext".split())
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(" + "|".join(SKIPPED) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|([^<]+|<)",
     re.S | re.I,
 )
@@ -76,10 +81,11 @@ def _sign(tag: str, attrs: str, inside_article: bool) -> int:
 
 
 class _Element:
-    __slots__ = ("parent", "sign", "tag")
+    __slots__ = ("parent", "sign", "skipped", "tag")
 
     def __init__(self, tag: str, parent: "_Element | None", sign: int) -> None:
         self.tag, self.parent, self.sign = tag, parent, sign
+        self.skipped = tag in SKIPPED or (parent is not None and parent.skipped)
 
 
 def blocks(page: str) -> list[tuple[str, _Element, float]]:
@@ -98,7 +104,7 @@ def blocks(page: str) -> list[tuple[str, _Element, float]]:
     for m in _TOKEN.finditer(page):
         tag = m[3]
         if tag is None:
-            if m[5] is not None:
+            if m[5] is not None and not stack[-1].skipped:
                 text.append(m[5])
                 if in_link:
                     links += len(m[5].strip())
@@ -174,35 +180,63 @@ def min_cut(cost: list[float], edges: list[tuple[int, int, float]]) -> list[bool
     for a, b, w in edges:
         near[a][b] = near[a].get(b, 0.0) + w
         near[b][a] = near[b].get(a, 0.0) + w
-    eps = 1e-9
-    if not any(x > eps for x in loss):
+    if not any(x > _EPS for x in loss):
         return [True] * n
-    if not any(g > eps for g in gain):
+    if not any(g > _EPS for g in gain):
         return [False] * n
     while True:
-        before = {i: -1 for i in range(n) if gain[i] > eps}
-        queue, end = deque(before), -1
-        while queue:
-            i = queue.popleft()
-            if loss[i] > eps:
-                end = i
-                break
-            for j, w in near[i].items():
-                if w > eps and j not in before:
-                    before[j] = i
-                    queue.append(j)
-        if end < 0:
-            return [i in before for i in range(n)]
-        path, i = [], end
-        while before[i] >= 0:
-            path.append((before[i], i))
-            i = before[i]
-        flow = min(gain[i], loss[end], *(near[a][b] for a, b in path)) if path else min(gain[i], loss[end])
-        gain[i] -= flow
-        loss[end] -= flow
-        for a, b in path:
-            near[a][b] -= flow
-            near[b][a] += flow
+        level, reached = _levels(gain, loss, near)
+        if not reached:
+            return [x >= 0 for x in level]
+        _block(gain, loss, near, level)
+
+
+_EPS = 1e-9
+
+
+def _levels(gain: list[float], loss: list[float], near: list[dict[int, float]]) -> tuple[list[int], bool]:
+    """Steps from the source over edges with room (-1: none), and whether the sink can be reached."""
+    queue = deque(i for i, g in enumerate(gain) if g > _EPS)
+    level, reached = [-1] * len(gain), False
+    for i in queue:
+        level[i] = 0
+    while queue:
+        i = queue.popleft()
+        reached = reached or loss[i] > _EPS
+        for j, w in near[i].items():
+            if w > _EPS and level[j] < 0:
+                level[j] = level[i] + 1
+                queue.append(j)
+    return level, reached
+
+
+def _block(gain: list[float], loss: list[float], near: list[dict[int, float]], level: list[int]) -> None:
+    """Augment shortest paths until every one has a full edge; an edge that leads nowhere is tried once."""
+    left = [iter(near[i]) for i in range(len(gain))]
+    for start in range(len(gain)):
+        path = [start]
+        while path and level[start] == 0 and gain[start] > _EPS:
+            i = path[-1]
+            if loss[i] > _EPS:
+                edges = list(zip(path, path[1:]))
+                flow = min(gain[start], loss[i], *(near[a][b] for a, b in edges)) if edges else min(gain[start], loss[i])
+                gain[start] -= flow
+                loss[i] -= flow
+                full = None
+                for k, (a, b) in enumerate(edges):
+                    near[a][b] -= flow
+                    near[b][a] += flow
+                    if full is None and near[a][b] <= _EPS:
+                        full = k
+                if full is not None:
+                    del path[full + 1 :]
+                continue
+            for j in left[i]:
+                if level[j] == level[i] + 1 and near[i][j] > _EPS:
+                    path.append(j)
+                    break
+            else:
+                path.pop()
 
 
 def content(page: str, weights: np.ndarray) -> str:
