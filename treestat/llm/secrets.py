@@ -3,8 +3,8 @@
 DataFrame functions only. One pass over the texts finds the pattern spans and long runs of token characters
 (candidates) and is written to the shared folder; what the patterns matched are the samples labelled random, the words
 of a bounded sample of documents the samples labelled ordinary. From both come character transition counts with
-smoothing; a candidate outside the pattern spans is a ``random`` span if random strings explain it better than
-ordinary identifiers by ``MIN_RATIO`` nats.
+smoothing; what pattern spans leave of a candidate, in pieces of ``CANDIDATE_CHARS`` or more, is a ``random`` span if
+random strings explain it better than ordinary identifiers by ``MIN_RATIO`` nats.
 
 Defined cases: NULL or empty text has no spans, zero counts and the digest of the empty string. Offsets are code
 points, end exclusive. Repeated rows give repeated rows. Without any sample the smoothed models are equal and no span
@@ -29,7 +29,8 @@ HEX = "[0-9a-f]{32,}"
 VALUE_CHARS = 8
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE_CHARS = 20
+CANDIDATE = f"[A-Za-z0-9+/_=-]{{{CANDIDATE_CHARS},}}"
 ORDINARY = "[A-Za-z0-9+/_=-]{4,}"
 #: Documents whose words are the samples of ordinary identifiers.
 ORDINARY_DOCS = 2000
@@ -41,13 +42,12 @@ MIN_RATIO = 12.0
 _SPANS = "array<struct<kind:int,start:int,end:int,value:string>>"
 
 
+_CHUNK = 256
 _PATTERNS = (ASSIGN, ACCESS, HEX, CANDIDATE)
 
 
 def _places(found: Column, between: Column, kind: int) -> Column:
     """Spans of matches in text order: what stands between them gives the starts."""
-    empty = F.struct(F.lit(0).alias("pos"), F.array().cast(_SPANS).alias("out"))
-
     def step(acc: Column, i: Column) -> Column:
         m = F.get(found, i)
         start = acc["pos"] + F.length(F.get(between, i))
@@ -56,14 +56,20 @@ def _places(found: Column, between: Column, kind: int) -> Column:
         one = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), value.alias("value"))
         return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    places = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), empty, step, lambda acc: acc["out"])
+    def chunk(acc: Column, c: Column) -> Column:  # arrays grow by copying, so long ones are put together from short ones
+        empty = F.struct(acc["pos"].alias("pos"), F.array().cast(_SPANS).alias("out"))
+        some = F.sequence(c * _CHUNK, F.least(F.size(found), (c + 1) * _CHUNK) - 1)
+        return F.aggregate(some, empty, step, lambda part: F.struct(part["pos"].alias("pos"), F.concat(acc["out"], F.array(part["out"])).alias("out")))
+
+    none = F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<{_SPANS}>").alias("out"))
+    places = F.aggregate(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / _CHUNK).cast("int")), none, chunk, lambda acc: F.flatten(acc["out"]))
     if kind == 0:
         places = F.filter(places, lambda s: F.length(s["value"]) >= VALUE_CHARS)
     return F.when(F.size(found) > 0, places).otherwise(F.array().cast(_SPANS))
 
 
 def _with_spans(docs: DataFrame, text: str, base: str, more: str) -> DataFrame:
-    """``docs`` with base spans and with the candidate spans that no base span overlaps.
+    """``docs`` with base spans and with what these leave of the candidate spans.
 
     Matches and what stands between them are columns of their own, so no regular expression runs twice on a text.
     """
@@ -74,8 +80,25 @@ def _with_spans(docs: DataFrame, text: str, base: str, more: str) -> DataFrame:
     rows = rows.withColumns({between[k]: F.when(F.size(found[k]) > 0, F.split(t, p, -1)) for k, p in enumerate(_PATTERNS)})
     spans = [_places(F.col(found[k]), F.col(between[k]), k) for k in ks]
     rows = rows.withColumns({base: F.concat(*spans[:3]), more: spans[3]}).drop(*found, *between)
-    apart = lambda c: ~F.exists(F.col(base), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    return rows.withColumn(more, F.filter(more, apart))
+    left = F.flatten(F.transform(more, lambda c: _outside(c, F.col(base))))
+    return rows.withColumn(more, F.when(F.size(more) == 0, F.col(more)).otherwise(left))
+
+
+def _outside(c: Column, base: Column) -> Column:
+    """The parts of a candidate span that no base span covers, without the short ones."""
+    over = F.filter(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+    over = F.array_sort(F.transform(over, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"))))
+
+    def part(start: Column, end: Column) -> Column:
+        value = F.substr(c["value"], start - c["start"] + 1, end - start)
+        one = F.struct(c["kind"].alias("kind"), start.alias("start"), end.alias("end"), value.alias("value"))
+        return F.when(end - start >= CANDIDATE_CHARS, F.array(one)).otherwise(F.array().cast(_SPANS))
+
+    def step(acc: Column, b: Column) -> Column:
+        return F.struct(F.greatest(acc["pos"], b["end"]).alias("pos"), F.concat(acc["out"], part(acc["pos"], b["start"])).alias("out"))
+
+    start = F.struct(c["start"].alias("pos"), F.array().cast(_SPANS).alias("out"))
+    return F.aggregate(over, start, step, lambda acc: F.concat(acc["out"], part(acc["pos"], c["end"])))
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -155,12 +178,12 @@ def secret_digests(docs: DataFrame, text: str = "text", min_ratio: float = MIN_R
 def redact(docs: DataFrame, text: str = "text", min_ratio: float = MIN_RATIO, mark: str = "[secret]") -> DataFrame:
     """``docs`` with every span of its texts replaced by ``mark``; all rows stay, other columns are as they were.
 
-    Overlapping spans give one mark. NULL texts stay NULL. No join: the second pass finds the spans again, with the
-    model that the first has trained.
+    Overlapping spans give one mark. NULL texts stay NULL. The rows are written with the spans of the one scan, so no
+    join is needed once the model is trained.
     """
-    model = train(written(scan(docs, text), "secrets"), docs, text)
     base, more = (_free(docs, name) for name in ("spans_base", "spans_more"))
-    rows = _with_spans(docs, text, base, more)
+    rows = written(_with_spans(docs, text, base, more), "secrets")
+    model = train(rows.select(F.col(base).alias("base")), docs, text)
     spans = F.concat(F.col(base), F.filter(more, lambda s: log_ratio(s["value"], model) >= min_ratio))
     rows = rows.withColumn(base, F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))))
     t = F.col(text)
