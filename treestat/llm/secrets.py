@@ -109,7 +109,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def _transitions(words: DataFrame) -> DataFrame:
     """Counts of neighbouring characters: a, b (places in the alphabet from 1), n. At most the alphabet squared."""
-    pairs = words.select(F.explode(F.expr("transform(sequence(1, length(value) - 1), i -> substr(value, i, 2))")).alias("ab"))
+    pairs = words.select(F.explode(F.regexp_extract_all("value", F.lit("(?=(..))"), F.lit(1))).alias("ab"))
     counts = pairs.groupBy("ab").agg(F.count("*").alias("n"))
     a, b = (F.instr(F.lit(ALPHABET), F.substr("ab", F.lit(k), F.lit(1))) for k in (1, 2))
     return counts.select(a.alias("a"), b.alias("b"), "n").filter("a > 0 AND b > 0")
@@ -137,13 +137,14 @@ def train(scanned: DataFrame, docs: DataFrame, text: str = "text") -> list[float
 def log_ratio(value: Column, model: list[float]) -> Column:
     """Log-likelihood ratio of a string under a trained model; transitions outside the alphabet count nothing."""
     table = F.split(F.lit(",".join(f"{x:.6f}" for x in model)), ",").cast("array<double>")
-    place = lambda i: F.instr(F.lit(ALPHABET), F.substr(value, i, F.lit(1)))
+    chars = F.regexp_extract_all(value, F.lit("."), F.lit(0))  # a substring would be sought from the start each time
 
-    def step(acc: Column, i: Column) -> Column:
-        a, b = place(i), place(i + 1)
-        return acc + F.when((a > 0) & (b > 0), F.get(table, (a - 1) * len(ALPHABET) + b - 1)).otherwise(F.lit(0.0))
+    def step(acc: Column, char: Column) -> Column:
+        b = F.instr(F.lit(ALPHABET), char)
+        one = F.when((acc["a"] > 0) & (b > 0), F.get(table, (acc["a"] - 1) * len(ALPHABET) + b - 1)).otherwise(F.lit(0.0))
+        return F.struct(b.alias("a"), (acc["sum"] + one).alias("sum"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(value) - 1), F.lit(0.0), step)
+    return F.aggregate(chars, F.struct(F.lit(0).alias("a"), F.lit(0.0).alias("sum")), step, lambda acc: acc["sum"])
 
 
 def _joined(spans: Column) -> Column:
