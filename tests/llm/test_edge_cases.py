@@ -72,6 +72,34 @@ def test_rows(docs, labels, items, name):
         assert sorted(str(r["doc_id"]) for r in out) == sorted(map(str, [1, 2, BIG, 4, None, 6, 100]))
     if name == "leaks":
         assert sorted((r["doc_id"], r["item_id"], r["similarity"]) for r in out) == [(100 + k, None, 1.0) for k in range(3)]
+    by = {r["doc_id"]: r for r in out if "doc_id" in out[0]}
+    empty = hashlib.sha256(b"").hexdigest()
+    if name == "counts":
+        import sentencepiece
+
+        n = len(sentencepiece.SentencePieceProcessor(model_file=PIECES).encode(LONG))
+        assert [tuple(by[i])[:4] for i in (1, 2, BIG)] == [(1, 0, 0, False), (2, 0, 0, False), (BIG, len(LONG), n, True)]
+    if name == "digests":
+        import tiktoken
+
+        enc = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=byte_bpe.read_ranks(RANKS), special_tokens={})
+        assert [tuple(by[i]) for i in (1, 2)] == [(1, 0, empty, empty), (2, 0, empty, empty)]
+        assert by[BIG]["n_tokens"] == len(enc.encode_ordinary(LONG)) and by[BIG]["decoded_sha256"] == hashlib.sha256(LONG.encode()).hexdigest()
+        assert len({tuple(r)[1:] for r in out if r["doc_id"] in (100, 101, 102)}) == 1
+    if name == "secrets":
+        assert all((r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"], r["spans"]) == (0, 0, 0, empty, "") for r in out)
+    if name in ("severity", "quality"):
+        value = "severity" if name == "severity" else "score"
+        assert all(r[value] is not None and 0 <= r[value] <= (3 if name == "severity" else 1) for r in out)
+        assert by[1][value] == by[2][value] and by[100][value] == by[101][value] == by[102][value]
+        assert len({r[value] for r in out if r["doc_id"] == 6}) == 1
+    if name == "quality":
+        assert all(r["predicted"] == int(r["score"] >= 0.3) for r in out)
+    if name == "toxic_filter":
+        bad = {r["doc_id"] for r in toxicity.severity(docs, labels).filter("toxic").collect()}
+        assert {r["doc_id"] for r in out} == {r["doc_id"] for r in docs.collect()} - bad
+    if name == "redact":
+        assert sorted(str(r) for r in out) == sorted(str(r) for r in docs.collect())
     if name == "removal":
         by = {r["doc_id"]: r for r in out}
         assert by[1]["n_bytes"] == 0 and by[1]["kept_sha256"] == hashlib.sha256(b"").hexdigest()

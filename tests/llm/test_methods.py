@@ -140,6 +140,16 @@ def test_toxicity(spark, docs):
     assert kept.columns == docs.columns and kept.count() == toxicity.severity(docs, labels).filter("NOT toxic").count()
 
 
+def test_toxicity_of_held_out_labels(spark, docs):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    apart = quality.held_out(labels["doc_id"])
+    known = {r["doc_id"]: r["toxic"] for r in labels.filter(apart).collect() if r["toxic"] is not None}
+    rows = [(known[r["doc_id"]], r) for r in toxicity.severity(docs, labels.filter(~apart)).collect() if r["doc_id"] in known]
+    assert len(rows) > 50 and sum(bool(y) != r["toxic"] for y, r in rows) <= 0.05 * len(rows)
+    mean = lambda y: np.mean([r["severity"] for z, r in rows if z == y])
+    assert mean(1) > mean(0) + 0.5
+
+
 def test_quality(spark, docs):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     known = {r["doc_id"]: r["quality"] for r in labels.collect()}
@@ -561,6 +571,25 @@ def test_suffix_pieces_meet():
                     assert keys.setdefault(w, key) == key
 
 
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows, an extra column; every stage on its own."""
+    import corpus_pipeline
+
+    clean = "the quick brown fox jumps over the lazy dog near the river bank at noon"
+    rows = [(1, None, None, None, None, 7), (2, "", "en", "a", 0, 7), (3, clean, "en", "a", 1, 7), (3, clean, "en", "a", 1, 7), (4, clean, None, "b", 2, 7), (None, "no id", "en", "a", 3, 7), (5, "x" * 300_000 + " é" * 1000, "en", "a", 4, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, k1 int")
+    spark.createDataFrame([(3, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, None), (None, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for data, want in ((docs, [None, 1, 2, 3, 5]), (docs.limit(0), [])):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            data = stage(spark, data, str(tmp_path))
+            assert data.columns == docs.columns
+        out = corpus_pipeline.STAGES[-1][1](spark, data, str(tmp_path)).collect()
+        assert sorted((r["doc_id"] for r in out), key=lambda x: (x is not None, x or 0)) == want
+        by = {r["doc_id"]: r["n_tokens"] for r in out}
+        assert not want or (by[1] == by[2] == 0 and by[5] > 1000)
+
+
 def test_pipeline(spark, texts):
     import corpus_pipeline
 

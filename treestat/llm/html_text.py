@@ -262,6 +262,7 @@ def train(pages: DataFrame, html: str = "html", train_pages: int = TRAIN_PAGES)
     """Classifier weights from a bounded sample of pages, labelled by their telling ancestors."""
     ids = pages.select("page_id").filter("page_id IS NOT NULL").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(train_pages)
     rows = pages.select("page_id", F.col(html).alias("h")).filter("h IS NOT NULL").join(F.broadcast(ids), "page_id", "left_semi")  # at most train_pages ids
+    rows = rows.groupBy("page_id").agg(F.min("h").alias("h"))  # and as many rows: the least html of a repeated page_id
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:

@@ -176,7 +176,8 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", train_docs: int = TRAIN_DOCS) -> dict | float:
     known = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out(F.col("doc_id")))
     sample = known.groupBy("doc_id").agg(F.max("quality").cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
-    rows = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t")).join(F.broadcast(sample), "doc_id")  # at most train_docs rows
+    rows = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t")).join(F.broadcast(sample), "doc_id")  # at most train_docs ids
+    rows = rows.groupBy("doc_id", "y").agg(F.min("t").alias("t"))  # and as many rows: the least text of a repeated doc_id
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:

@@ -7,7 +7,7 @@ the sum of these probabilities, and the decision P(grade > 0) >= ``CUT``.
 Labels say toxic or not. Grades are made from them on the training sample: 0 is not toxic; toxic documents have grade 1
 to 3 by the terciles of the number of distinct toxic features among their distinct words. Features are kept if their
 document frequencies in the two classes differ by ``Z`` standard errors and their log-odds by ``ODDS``. The model is fitted on at most ``TRAIN_DOCS``
-labelled documents (those with the smallest hash of doc_id); every other step covers every document and whole texts.
+labelled documents (those with the smallest hash of doc_id; the least text of a repeated doc_id); every other step covers every document and whole texts.
 
 Defined cases: NULL or empty text has no features and gets the prior. Labels that are NULL are skipped; several labels
 of one doc_id count as toxic if one says so. Without a toxic and a clean label every document has severity 0.
@@ -130,7 +130,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", train_docs: in
     """Fit on a bounded sample of labelled documents; the sample's hashed features come to the driver."""
     known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
-    rows = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(sample), "doc_id")  # at most train_docs rows
+    rows = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(sample), "doc_id")  # at most train_docs ids
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min("t").alias("t"))  # and as many rows, one for each id
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
