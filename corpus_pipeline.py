@@ -1,4 +1,10 @@
-"""The corpus pipeline: documents go through five operators of ``treestat.llm``, each stage written and read again."""
+"""The corpus pipeline: documents go through five operators of ``treestat.llm``, each stage written and read again.
+
+Defined cases, for every stage but the last, which returns digests: columns stay as they are, also further ones and such
+with clashing names; NULL and empty texts are kept (they are neither toxic nor duplicates nor leaks, and hold no
+secret); rows without doc_id are kept but for those that are toxic or leak; repeated rows of one doc_id are one document
+and one row is left of them; an empty table gives an empty one. Texts of any length are taken whole.
+"""
 
 from __future__ import annotations
 
