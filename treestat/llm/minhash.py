@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from treestat.llm.graph import components
 from treestat.llm.shingles import mix, shingles, slices, weighted_jaccard, words
-from treestat.llm.tables import by_group
+from treestat.llm.tables import by_group, release
 from treestat.session import written
 
 SIMILARITY = 0.8
@@ -132,6 +132,7 @@ def _signed(docs: DataFrame, text: str) -> DataFrame:
     """doc_id, class (a digest of the text), and band keys of texts with words."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         for pdf in frames:
             texts = pdf["t"].tolist()
             for a, b in slices(texts, 1_000_000, 500):  # each text throws k ln k darts, however short
@@ -226,6 +227,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose texts are similar. Long groups of one ``a`` are split by the join, not gathered."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         last, left = None, None
         for pdf in frames:
             ok = []

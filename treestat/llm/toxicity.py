@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treestat.llm.tables import add_columns, keep_rows
+from treestat.llm.tables import add_columns, held, keep_rows
 
 TRAIN_DOCS = 15_000
 BITS = 20
@@ -57,12 +57,9 @@ class Model:
     weight: dict[int, float] = field(default_factory=dict)
     thresholds: list[float] = field(default_factory=lambda: [50.0] * GRADES)
 
-    def __post_init__(self) -> None:
-        self.memo: dict[str, tuple[int, ...]] = {}
-
     def present(self, text: str) -> set[int]:
         """Kept features of a text."""
-        memo, found = self.memo, set()
+        memo, found = held(("toxicity", len(self.weight), *self.thresholds), dict), set()
         for w in words_of(text):
             if (hits := memo.get(w)) is None:
                 if len(memo) > MEMO_WORDS:
