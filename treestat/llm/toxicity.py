@@ -80,20 +80,21 @@ def fit(lists: list[np.ndarray], toxic: np.ndarray, rounds: int = 400, rate: flo
     n1, n0 = int(toxic.sum()), int((1 - toxic).sum())
     if not n1 or not n0:
         return Model()
-    doc = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    doc = np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists])
     feat = np.concatenate(lists) if len(doc) else np.empty(0, np.int64)
     size = 1 << BITS
-    df1 = np.bincount(feat[toxic[doc] == 1], minlength=size)
-    df0 = np.bincount(feat[toxic[doc] == 0], minlength=size)
+    in_toxic = (toxic == 1)[doc]
+    df1, df0 = (np.bincount(feat[side], minlength=size) for side in (in_toxic, ~in_toxic))
+    del in_toxic
     p = (df1 + df0) / (n1 + n0)
     with np.errstate(divide="ignore", invalid="ignore"):
         z = (df1 / n1 - df0 / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
         odds = np.log(((df1 + 0.1) / (n1 + 0.2)) / ((df0 + 0.1) / (n0 + 0.2)))
     kept = np.flatnonzero((np.abs(np.nan_to_num(z)) > Z) & (np.abs(odds) > ODDS))
-    place = np.full(size, -1)
+    place = np.full(size, -1, np.int32)
     place[kept] = np.arange(len(kept))
     use = place[feat] >= 0
-    doc, feat = doc[use], place[feat[use]]
+    doc, feat = doc[use], place[feat[use]].astype(np.int64)
     bad = (z[kept] > 0).astype(float)
     strength = np.bincount(doc, bad[feat], len(lists)) / np.maximum(1, [len(x) for x in lists])
     cuts = np.quantile(strength[toxic == 1], np.arange(1, GRADES) / GRADES)
@@ -136,8 +137,10 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", train_docs: in
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "f": [np.asarray(x, "<i4").tobytes() for x in lists]})
 
     got = rows.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "t").mapInPandas(run, "doc_id long, toxic int, f binary").collect()
-    got = sorted(got, key=lambda r: (r["doc_id"], r["f"]))  # the same model whatever the order of the tasks
-    return fit([np.frombuffer(r["f"], "<i4") for r in got], np.array([int(r["toxic"] > 0) for r in got]))
+    got.sort(key=lambda r: r["doc_id"])  # the same model whatever the order of the tasks
+    toxic = np.array([int(r["toxic"] > 0) for r in got])
+    got = [np.frombuffer(r["f"], "<i4") for r in got]  # the rows go
+    return fit(got, toxic)
 
 
 def severity(docs: DataFrame, labels: DataFrame, text: str = "text", cut: float = CUT) -> DataFrame:
