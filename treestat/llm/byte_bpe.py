@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from treestat.llm.tables import add_columns, held
 
 #: Words kept by a worker; about 300 bytes each.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 250_000
 #: Characters of text in a slice, and new words in one recursive query.
-SLICE_CHARS, QUERY_WORDS = 4_000_000, 50_000
+SLICE_CHARS, QUERY_WORDS = 2_000_000, 40_000
 #: Bytes of the longest word that goes through the recursive query, and rows that one query may leave.
 LONG_WORD, QUERY_ROWS = 256, 4_000_000
 

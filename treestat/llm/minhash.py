@@ -159,6 +159,7 @@ def _counted(mixed: DataFrame, texts: DataFrame) -> DataFrame:
     """``mixed`` with cells of shingle counts in place of signatures behind the band keys of the sketch."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         for pdf in frames:
             ts = pdf["t"].tolist()
             for a, b in slices(ts, 1_000_000, 500):

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treestat.llm.tables import add_columns, held, keep_rows
+from treestat.llm.tables import add_columns, held, keep_rows, release
 
 TRAIN_DOCS = 15_000
 BITS = 20
@@ -132,6 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", train_docs: in
     rows = rows.groupBy("doc_id", "toxic").agg(F.min("t").alias("t"))  # and as many rows, one for each id
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         for pdf in frames:
             lists = [sorted({f for w in words_of(t) for f in features(w)}) for t in pdf["t"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "f": [np.asarray(x, "<i4").tobytes() for x in lists]})
