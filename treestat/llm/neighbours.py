@@ -8,7 +8,7 @@ from the lists so far and new hyperplanes. If the last search falls short, too,
 
 List entries with a cosine (in double precision) of ``least`` or more are links, and components of links are the
 groups. A list that is full of links is saturated: it may hide links that leave its component. Saturated lists are
-enlarged by doubling and the descent goes on with them; nodes whose lists are full of links even at ``LONGEST`` are
+enlarged (12 to 48 entries) and the descent goes on with them; nodes whose lists are full of links even at ``LONGEST`` are
 compared with all nodes of their label, in pieces of bounded size, and the components that are found linked are joined.
 Then inside every component all pairs are compared, in blocks, and only each node's number of links is kept. So a large
 group of copies or near copies costs neither a list of its pairs nor a task of its size.
@@ -36,8 +36,8 @@ from treestat.session import written
 LEAST = 0.98
 #: Length of a neighbour list, members compared around a node, least hyperplane rounds of a start, descent rounds.
 LIST, AROUND, STARTS, ROUNDS = 12, 30, 4, 6
-#: Length up to which lists that are full of links are enlarged.
-LONGEST = 48
+#: Factor by which lists that are full of links are enlarged, and the length up to which they are.
+LONGER, LONGEST = 4, 48
 #: Wanted size of a start bucket and of a block of exact comparison.
 BUCKET, BLOCK = 96, 512
 #: Vectors of one side of a piece in which nodes are compared with all of their label.
@@ -146,6 +146,8 @@ def _descend(nodes: DataFrame, lists: DataFrame, caps: DataFrame | None = None)
     for _ in range(ROUNDS):
         around = lists.select(F.col("v").alias("center"), F.col("u").alias("v"), "fresh").unionByName(lists.select(F.col("u").alias("center"), "v", "fresh"))
         around = around.groupBy("center", "v").agg(F.max("fresh").alias("fresh"))
+        # a center with nothing new around it yields no pair, so its vectors need not move
+        around = around.withColumn("any", F.max("fresh").over(Window.partitionBy("center"))).filter("any").drop("any")
         w = Window.partitionBy("center").orderBy(F.desc("fresh"), F.xxhash64("center", "v"))
         around = _capped(around.withColumn("rank", F.row_number().over(w)), caps, "center").filter(F.col("rank") * LIST <= F.col("cap") * AROUND).drop("rank", "cap")
         last = _capped(lists.groupBy("v").agg(F.count("*").alias("n"), F.min("s").alias("s")), caps).select("v", F.expr("CASE WHEN n >= cap THEN s ELSE -2D END").alias("last"))
@@ -166,7 +168,7 @@ def _enlarged(nodes: DataFrame, lists: DataFrame, caps: DataFrame | None, least:
         full = written(_saturated(lists, caps, least), "saturated")
         if size >= LONGEST or full.isEmpty():
             return lists, caps, full
-        size *= 2
+        size *= LONGER
         longer = full.withColumn("cap", F.lit(size))
         caps = written(longer if caps is None else longer.unionByName(caps).groupBy("v").agg(F.max("cap").alias("cap")), "caps")
         again = lists.drop("fresh").join(full.withColumn("fresh", F.lit(True)), "v", "left").select("v", "u", "s", F.coalesce("fresh", F.lit(False)).alias("fresh"))
