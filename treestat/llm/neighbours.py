@@ -124,14 +124,18 @@ def _start(nodes: DataFrame, seed: int) -> DataFrame:
     return by_group(dealt.select("v", "x", F.xxhash64("bucket", "part").alias("g")), "g", lambda pdf: _best(pdf, "g", LIST), "v long, u long, s double")
 
 
-def _lists(candidates: DataFrame, old: DataFrame | None, caps: DataFrame | None = None) -> DataFrame:
-    """The best of each node, LIST of them or as many as ``caps`` (v, cap) says: v, u, s, fresh (not in the old lists)."""
+def _lists(candidates: DataFrame, old: DataFrame | None, least: float, caps: DataFrame | None = None) -> DataFrame:
+    """The best of each node, LIST of them or as many as ``caps`` (v, cap) says: v, u, s, fresh (not in the old lists).
+
+    What a longer list holds beyond LIST are links only: it is there to show the links that a full list hides.
+    """
     both = candidates.withColumn("fresh", F.lit(True))
     if old is not None:
         both = both.unionByName(old.select("v", "u", "s", F.lit(False).alias("fresh")))
     once = both.groupBy("v", "u").agg(F.max("s").alias("s"), F.min("fresh").alias("fresh"))
     w = Window.partitionBy("v").orderBy(F.desc("s"), "u")
-    return _capped(once.withColumn("rank", F.row_number().over(w)), caps).filter("rank <= cap").drop("rank", "cap")
+    ranked = _capped(once.withColumn("rank", F.row_number().over(w)), caps).filter("rank <= cap")
+    return ranked.filter((F.col("rank") <= LIST) | (F.col("s") >= least - 1e-4)).drop("rank", "cap")
 
 
 def _capped(rows: DataFrame, caps: DataFrame | None, key: str = "v") -> DataFrame:
@@ -141,7 +145,7 @@ def _capped(rows: DataFrame, caps: DataFrame | None, key: str = "v") -> DataFram
     return rows.join(caps.select(F.col("v").alias(key), "cap"), key, "left").withColumn("cap", F.coalesce("cap", F.lit(LIST)))
 
 
-def _descend(nodes: DataFrame, lists: DataFrame, caps: DataFrame | None = None) -> DataFrame:
+def _descend(nodes: DataFrame, lists: DataFrame, least: float, caps: DataFrame | None = None) -> DataFrame:
     """NN-descent rounds until less than a thousandth of the entries is new."""
     for _ in range(ROUNDS):
         around = lists.select(F.col("v").alias("center"), F.col("u").alias("v"), "fresh").unionByName(lists.select(F.col("u").alias("center"), "v", "fresh"))
@@ -150,10 +154,12 @@ def _descend(nodes: DataFrame, lists: DataFrame, caps: DataFrame | None = None)
         around = around.withColumn("any", F.max("fresh").over(Window.partitionBy("center"))).filter("any").drop("any")
         w = Window.partitionBy("center").orderBy(F.desc("fresh"), F.xxhash64("center", "v"))
         around = _capped(around.withColumn("rank", F.row_number().over(w)), caps, "center").filter(F.col("rank") * LIST <= F.col("cap") * AROUND).drop("rank", "cap")
-        last = _capped(lists.groupBy("v").agg(F.count("*").alias("n"), F.min("s").alias("s")), caps).select("v", F.expr("CASE WHEN n >= cap THEN s ELSE -2D END").alias("last"))
+        last = _capped(lists.groupBy("v").agg(F.count("*").alias("n"), F.min("s").alias("s")), caps)
+        # a long list with room takes links, and what is better than the last of its first LIST
+        last = last.select("v", F.expr(f"CASE WHEN n >= cap THEN s WHEN n >= {LIST} THEN least(s, {least!r}D - 1e-4D) ELSE -2D END").alias("last"))
         known = nodes.select("v", "x").join(last, "v", "left").select("v", "x", F.coalesce("last", F.lit(-2.0)).alias("last"))
         found = by_group(around.join(known, "v").select("center", "v", "fresh", "last", "x"), "center", _local_join, "v long, u long, s double")
-        lists = written(_lists(found, lists, caps), "lists")
+        lists = written(_lists(found, lists, least, caps), "lists")
         new, all_ = lists.agg(F.count_if("fresh"), F.count("*")).first()
         if new <= 0.001 * all_:
             break
@@ -162,7 +168,7 @@ def _descend(nodes: DataFrame, lists: DataFrame, caps: DataFrame | None = None)
 
 def _enlarged(nodes: DataFrame, lists: DataFrame, caps: DataFrame | None, least: float) -> tuple[DataFrame, DataFrame | None, DataFrame]:
     """Refined lists, their lengths, and the nodes whose lists are full of links even at LONGEST."""
-    lists = _descend(nodes, lists, caps)
+    lists = _descend(nodes, lists, least, caps)
     size = LIST
     while True:
         full = written(_saturated(lists, caps, least), "saturated")
@@ -172,7 +178,7 @@ def _enlarged(nodes: DataFrame, lists: DataFrame, caps: DataFrame | None, least:
         longer = full.withColumn("cap", F.lit(size))
         caps = written(longer if caps is None else longer.unionByName(caps).groupBy("v").agg(F.max("cap").alias("cap")), "caps")
         again = lists.drop("fresh").join(full.withColumn("fresh", F.lit(True)), "v", "left").select("v", "u", "s", F.coalesce("fresh", F.lit(False)).alias("fresh"))
-        lists = _descend(nodes, again, caps)
+        lists = _descend(nodes, again, least, caps)
 
 
 def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -332,7 +338,7 @@ def links(vectors: DataFrame, embedding: str = "embedding", least: float = LEAST
     nodes = written(classes.mapInPandas(pack, "v long, label long, bits int, copies long, dim int, x binary, x64 binary"), "nodes")
     lists, caps, member = None, None, None
     for search in range(SEARCHES):
-        lists = written(_lists(_start(nodes, search), lists, caps), "lists")
+        lists = written(_lists(_start(nodes, search), lists, least, caps), "lists")
         lists, caps, full = _enlarged(nodes, lists, caps, least)
         near = written(_links(lists, nodes, least), "links")
         member = _members(near)
