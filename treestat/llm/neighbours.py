@@ -132,7 +132,7 @@ def _lists(candidates: DataFrame, old: DataFrame | None, least: float, caps: Dat
     both = candidates.withColumn("fresh", F.lit(True))
     if old is not None:
         both = both.unionByName(old.select("v", "u", "s", F.lit(False).alias("fresh")))
-    once = both.groupBy("v", "u").agg(F.max("s").alias("s"), F.min("fresh").alias("fresh"))
+    once = both.repartition("v").groupBy("v", "u").agg(F.max("s").alias("s"), F.min("fresh").alias("fresh"))
     w = Window.partitionBy("v").orderBy(F.desc("s"), "u")
     ranked = _capped(once.withColumn("rank", F.row_number().over(w)), caps).filter("rank <= cap")
     return ranked.filter((F.col("rank") <= LIST) | (F.col("s") >= least - 1e-4)).drop("rank", "cap")
@@ -149,7 +149,8 @@ def _descend(nodes: DataFrame, lists: DataFrame, least: float, caps: DataFrame |
     """NN-descent rounds until less than a thousandth of the entries is new."""
     for _ in range(ROUNDS):
         around = lists.select(F.col("v").alias("center"), F.col("u").alias("v"), "fresh").unionByName(lists.select(F.col("u").alias("center"), "v", "fresh"))
-        around = around.groupBy("center", "v").agg(F.max("fresh").alias("fresh"))
+        # dealt by center once, for the aggregation and both windows
+        around = around.repartition("center").groupBy("center", "v").agg(F.max("fresh").alias("fresh"))
         # a center with nothing new around it yields no pair, so its vectors need not move
         around = around.withColumn("any", F.max("fresh").over(Window.partitionBy("center"))).filter("any").drop("any")
         w = Window.partitionBy("center").orderBy(F.desc("fresh"), F.xxhash64("center", "v"))
