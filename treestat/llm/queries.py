@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from treestat.llm import byte_bpe, decontaminate, html_text, minhash, neighbours, quality, secrets, suffix_dedup, token_counts, toxicity
+from treestat.llm import alignment, byte_bpe, decontaminate, fingerprints, html_text, minhash, neighbours, phrases, quality, secrets, suffix_dedup, token_counts, toxicity
 from treestat.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -15,6 +15,7 @@ ORACLES: dict[str, str] = {}
 
 BYTE_BPE = "byte_bpe_50k.tiktoken"
 PIECES = "piece_bpe_32k.model"
+BYTE_BPE_JSON = "byte_bpe_50k.json"
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +58,19 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES |= {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_neighbours, op4_token_counts, op5_minhash, op6_byte_bpe, op7_secrets, op8_html_text, op9_quality, op10_suffix_dedup)}
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.token_alignment(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE_JSON), public_tokenizers.path(PIECES))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {f.__name__: f for f in (op11_fingerprints, op12_alignment, op13_phrases, op1_decontamination, op2_toxicity, op3_neighbours, op4_token_counts, op5_minhash, op6_byte_bpe, op7_secrets, op8_html_text, op9_quality, op10_suffix_dedup)}
 
 #: All pairs of one label; components by reachability.
 ORACLES["op3_neighbours"] = """
@@ -83,3 +96,19 @@ links AS (SELECT a, b FROM m JOIN t p ON p.doc_id = a JOIN t q ON q.doc_id = b W
 reach(v, c) AS (SELECT doc_id, doc_id FROM w UNION SELECT l.b, r.c FROM reach r JOIN links l ON l.a = r.v),
 g AS (SELECT v, min(c) AS group_id FROM reach GROUP BY v)
 SELECT w.doc_id, CASE WHEN len(w.w) > 0 THEN min(w.doc_id) OVER (PARTITION BY w.text) ELSE w.doc_id END AS class_id, g.group_id, w.doc_id = g.group_id AS kept FROM w JOIN g ON g.v = w.doc_id"""
+
+#: All runs of one to three words inside the pieces of a text, counted by language.
+ORACLES["op13_phrases"] = """
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, (VALUES (1), (2), (3)) t(k) WHERE len(w) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+total AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k AS words, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 10),
+cut AS (SELECT c.lang, c.words, c.phrase, c.a, t.k, array_to_string(c.w[1:t.k], ' ') AS x, array_to_string(c.w[t.k + 1:], ' ') AS y FROM c, (VALUES (1), (2)) t(k) WHERE t.k < c.words),
+scored AS (SELECT cut.*, x.f AS l, y.f AS r, ((1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f))::BIGINT AS score FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = cut.x JOIN f y ON y.lang = cut.lang AND y.phrase = cut.y),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_ AS (SELECT lang, array_to_string(w[1:2], ' ') AS phrase, a FROM c WHERE words = 3 UNION ALL SELECT lang, array_to_string(w[2:3], ' '), a FROM c WHERE words = 3),
+longest AS (SELECT lang, phrase, max(a) AS longest FROM inner_ GROUP BY ALL),
+kept AS (SELECT b.* FROM best b LEFT JOIN longest i ON i.lang = b.lang AND i.phrase = b.phrase WHERE i.longest IS NULL OR 100 * i.longest < 50 * b.a)
+SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept JOIN total ON total.lang = kept.lang QUALIFY rank <= 2000"""
