@@ -120,7 +120,8 @@ def test_invariants(spark, entries):
 def test_empty_catalogue(spark):
     none = spark.createDataFrame([], ENTRIES)
     assert tuple(reports.overview(none).first()) == (0,) * 7
-    assert all(f(none, 20).count() == 0 for f in reports.REPORTS.values())
+    assert all(getattr(reports, f)(none, 20).count() == 0 for f in reports.REPORTS)
+    assert reports.reports(none, reports.REPORTS).collect() == []
 
 
 def test_bad_arguments(spark, entries):
@@ -182,16 +183,75 @@ def test_scan_of_empty_directories(spark):
     assert got == {("/a", "1", "True", "['s']"), ("/b", "0", "False", "[]"), ("/a/s", "0", "False", "[]")}
 
 
-def test_reports_are_their_members(spark, entries):
-    made, kept = reports.reports(entries, reports.REPORTS, 7)
-    for name, df in made.items():
-        assert df.collect() == reports.REPORTS[name](entries, 7).collect()
-    kept.unpersist()
+VALUES = {
+    "by_extension": ("extension", "file_count", "total_bytes", "total_blocks"), "largest_files": ("path", "size"), "largest_dirs": ("dir_path", "entry_count"),
+    "oldest_files": ("path", "mtime", "size"), "most_links": ("path", "nlink", "size"), "by_uid": ("uid", "file_count", "dir_count", "total_bytes"), "by_gid": ("gid", "file_count", "dir_count", "total_bytes"),
+}
 
 
-def test_approximate_count(spark, entries):
-    n, exact = reports.approx_entries(entries).first()[0], entries.count()
-    assert abs(n - exact) <= 0.05 * exact
+@pytest.mark.parametrize("groups, n", [(200_000, 7), (3, 1), (200_000, 0)])
+def test_reports_are_their_members(spark, entries, monkeypatch, groups, n):
+    monkeypatch.setattr(reports, "_GROUPS", groups)
+    rows = reports.reports(entries, reports.REPORTS, n).collect()
+    for name, cols in VALUES.items():
+        want = [(str(r[cols[0]]), *(r[c] for c in cols[1:])) for r in getattr(reports, name)(entries, n).collect()]
+        got = sorted((r for r in rows if r["report"] == name), key=lambda r: r["rank"])
+        assert [(r["key"], r["v0"], r["v1"], r["v2"])[: len(cols)] for r in got] == want and [r["rank"] for r in got] == list(range(1, len(want) + 1))
+
+
+def test_reports_read_once(spark, entries):
+    from treestat.session import shared_dir
+
+    out = shared_dir(spark, "once")
+    entries.write.parquet(out)
+    plan = reports.reports(spark.read.parquet(out), reports.REPORTS)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "InMemoryTableScan" not in plan and "WindowGroupLimit" in plan
+    with pytest.raises(ValueError, match="no such report"):
+        reports.reports(entries, ["by_moon"])
+
+
+def test_crowded_directory_is_counted_before_the_join(spark):
+    """Two aggregates below the join, and a directory of a million entries does not meet in one task."""
+    out = spark.range(0, 1_000_000, 1, 8).select(F.lit("/crowd").alias("parent_path"), F.when(F.col("id") % 250_000 == 0, 1).otherwise(0).alias("entry_type"), F.concat(F.lit("n"), "id").alias("name"))
+    asked = spark.createDataFrame([("/crowd",), ("/empty",)], "path string")
+    df = tree.big_dir_scan(out, asked, 1000)
+    tree_ = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    join = next(k for k, x in enumerate(tree_) if "Join" in x)
+    below = [x for x in tree_[join + 1 :] if "HashAggregate" in x and "count_if" in x.lower() or "ObjectHashAggregate" in x]
+    assert len(below) >= 2 and any("partial_" in x for x in below)
+    got = {r["path"]: (r["file_count"], r["threshold_hit"], r["subdirs"]) for r in df.collect()}
+    assert got == {"/crowd": (1000, True, ["n0", "n250000", "n500000", "n750000"]), "/empty": (0, False, [])}
+
+
+def test_duplicate_pages(spark, monkeypatch):
+    e = files(spark, *((f"/d{k}/same", 0, 9, 1, 1) for k in range(50)), ("/x/two", 0, 3, 1, 1), ("/y/two", 0, 3, 1, 1), ("/z/one", 0, 100, 1, 1)).withColumn("inode", F.xxhash64("path"))
+    rows = reports.duplicate_pages(e, 20, 10).collect()
+    pages = [r for r in rows if r["name"] == "same"]
+    assert len(pages) == 5 and all(r["copies"] == 50 for r in pages)
+    assert sorted(p for r in pages for p in r["paths"].split("\n")) == sorted(f"/d{k}/same" for k in range(50))
+    assert all(r["paths"].split("\n") == sorted(r["paths"].split("\n")) for r in pages)
+    assert [(r["page"], r["paths"]) for r in rows if r["name"] == "two"] == [(0, "/x/two\n/y/two")]
+
+
+def test_inode_view_sorts_once(spark, entries):
+    plan = lookups.one_per_inode(entries.select("inode", "path", "size"))._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("Exchange")]
+    assert plan.count("Exchange hashpartitioning(inode") == 1 and above.count("Sort [") <= 1
+
+
+def test_shared_folder_on_a_cluster(spark):
+    from treestat import session as S
+
+    class Away:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("X", (), {"master": "spark://host:7077", "applicationId": "a"})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        S.shared_dir(Away, "x")
+    df = S.written(spark.range(5), "cleaned")
+    assert df.count() == 5 and S.clean(spark, "cleaned") == 1 and S.clean(spark, "cleaned") == 0
+    with pytest.raises(Exception, match="(?i)exist"):
+        df.count()
 
 
 def test_change_summary_scans_each_side_once(spark, entries):

@@ -21,8 +21,12 @@ def by_path(e: DataFrame, path: str) -> DataFrame:
 
 
 def one_per_inode(e: DataFrame) -> DataFrame:
-    """Hard links collapse to the row with the greatest path."""
-    best = e.groupBy("inode").agg(F.max_by(F.struct(*(c for c in e.columns if c != "inode")), "path").alias("r"))
+    """Hard links collapse to the row with the greatest path.
+
+    Most inodes have one row, so nothing is gained by aggregating before rows are dealt by inode: they are dealt first and
+    sorted once.
+    """
+    best = e.repartition("inode").groupBy("inode").agg(F.max_by(F.struct(*(c for c in e.columns if c != "inode")), "path").alias("r"))
     return best.select(*(F.col("inode") if c == "inode" else F.col(f"r.{c}").alias(c) for c in e.columns))
 
 

@@ -30,10 +30,15 @@ def dir_stats(e: DataFrame) -> DataFrame:
     return joined.select("entry_id", "path", *(F.coalesce(c, _zero()).alias(f"direct_{c}") for c in ("files", "dirs", "symlinks", "others", "bytes")))
 
 
-def parent_id(e: DataFrame) -> DataFrame:
-    """Each row with the inode of its parent directory; NULL under the start directory."""
+def with_parent_id(e: DataFrame) -> DataFrame:
+    """``e`` with the inode of each row's parent directory; NULL under the start directory."""
     dirs = e.filter("entry_type = 1").select(F.col("path").alias("parent_path"), F.col("inode").alias("parent_id"))
-    return e.select("path", "inode", "parent_path").join(dirs, "parent_path", "left").select("path", "inode", "parent_id")
+    return e.join(dirs, "parent_path", "left").select(*e.columns, "parent_id")
+
+
+def parent_id(e: DataFrame) -> DataFrame:
+    """path, inode, parent_id. Catalogues written by ``sources.stored`` have parent_id as a column."""
+    return with_parent_id(e.select("path", "inode", "parent_path", "entry_type")).select("path", "inode", "parent_id")
 
 
 def tree_size(e: DataFrame, n: int | None = 20) -> DataFrame:
@@ -54,13 +59,20 @@ def big_dirs(e: DataFrame, threshold: int = 1_000_000) -> DataFrame:
 
 def big_dir_scan(e: DataFrame, paths: DataFrame, threshold: int) -> DataFrame:
     """For each of the given directories (column ``path``), empty ones too: capped count, whether the cap was hit,
-    names of sub-directories."""
-    rows = paths.select(F.col("path").alias("parent_path")).distinct().join(e.select("parent_path", "entry_type", "name"), "parent_path", "left")
-    count = F.count_if(F.col("entry_type") != 1)
-    return rows.groupBy(F.col("parent_path").alias("path")).agg(
+    names of sub-directories.
+
+    Entries are counted by directory where they are read, before anything is shuffled or joined, so a crowded directory
+    sends one row from each task; of its names only those of directories are kept.
+    """
+    is_dir = F.col("entry_type") == 1
+    found = e.groupBy(F.col("parent_path").alias("path")).agg(F.count_if(~is_dir).alias("n"), F.collect_list(F.when(is_dir, F.col("name"))).alias("names"))
+    joined = paths.select("path").distinct().join(found, "path", "left")
+    count = F.coalesce("n", _zero())
+    return joined.select(
+        "path",
         F.least(count, F.lit(threshold).cast("bigint")).alias("file_count"),
         (count >= threshold).alias("threshold_hit"),
-        F.sort_array(F.collect_list(F.when(F.col("entry_type") == 1, F.col("name")))).alias("subdirs"),
+        F.sort_array(F.coalesce("names", F.array().cast("array<string>"))).alias("subdirs"),
     )
 
 

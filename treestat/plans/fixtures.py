@@ -99,8 +99,20 @@ def _sql(text: str, engine: str, **tables: str) -> str:
     return text
 
 
+#: Catalogues that are read where they were stored instead of being derived, by application and folder of tables.
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def use_stored(spark: SparkSession, sf_dir: str, entries: DataFrame, baseline: DataFrame) -> None:
+    """From now on the queries of this application over ``sf_dir`` read these catalogues."""
+    for what, df in (("entries", entries), ("baseline", baseline)):
+        _STORED[spark.sparkContext.applicationId, sf_dir, what] = df
+
+
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The current catalogue."""
+    if (stored := _STORED.get((spark.sparkContext.applicationId, sf_dir, "entries"))) is not None:
+        return stored.select(*ENTRIES.names)
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     rows = spark.sql(_sql(_ROWS, "spark", orders="{orders}") + "SELECT * FROM files UNION ALL SELECT * FROM dirs", orders=orders)
     rows = rows.withColumn("extension", C.extension(F.col("name"), F.col("entry_type")))
@@ -109,6 +121,8 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The earlier scan: path, inode, mtime, size."""
+    if (stored := _STORED.get((spark.sparkContext.applicationId, sf_dir, "baseline"))) is not None:
+        return stored
     return spark.sql(_sql(_BASE, "spark", ent="{ent}"), ent=entries(spark, sf_dir))
 
 
@@ -122,6 +136,18 @@ def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(_sql(_SCANS, "spark", supplier="{supplier}"), supplier=spark.read.parquet(f"{sf_dir}/supplier.parquet"))
 
 
+#: Outcomes of reading the directories of the catalogue and the start directory; some could not be read.
+_OUTCOMES = """
+SELECT path AS dir, CASE WHEN inode % 7 = 3 THEN 'PermissionError' WHEN inode % 11 = 5 THEN 'FileNotFoundError' ELSE 'ok' END AS outcome
+FROM <ent> WHERE entry_type = 1 UNION ALL SELECT DISTINCT '/', 'ok' FROM <ent>
+"""
+
+
+def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One outcome per directory read."""
+    return spark.sql(_sql(_OUTCOMES, "spark", ent="{ent}"), ent=entries(spark, sf_dir))
+
+
 ENT_SQL = (
     _sql(_ROWS, "duckdb", orders="orders")
     + """SELECT e.*, CASE WHEN entry_type = 0 AND strlen(regexp_extract(name, '([^.]*)$', 1)) < 10
@@ -130,8 +156,9 @@ ENT_SQL = (
 BASE_SQL = _sql(_BASE, "duckdb", ent="ent")
 RAW_SQL = _sql(_RAW, "duckdb", ent="ent")
 SCANS_SQL = _sql(_SCANS, "duckdb", supplier="supplier")
+OUTCOMES_SQL = _sql(_OUTCOMES, "duckdb", ent="ent")
 
 
 def oracle(select: str) -> str:
-    """A DuckDB query over ``ent``, ``base``, ``raw_listing`` and ``scans``."""
-    return f"WITH ent AS ({ENT_SQL}), base AS ({BASE_SQL}), raw_listing AS ({RAW_SQL}), scans AS ({SCANS_SQL})\n{select}"
+    """A DuckDB query over ``ent``, ``base``, ``raw_listing``, ``outcomes`` and ``scans``."""
+    return f"WITH ent AS ({ENT_SQL}), base AS ({BASE_SQL}), raw_listing AS ({RAW_SQL}), outcomes AS ({OUTCOMES_SQL}), scans AS ({SCANS_SQL})\n{select}"

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +11,8 @@ from treestat.functions import columns as C
 from treestat.operators import diff, lookups, reports, tree
 from treestat.plans import fixtures as X
 
-from treestat.session import shared_dir, written
-from treestat.sources import catalog, listing
+from treestat.session import shared_dir
+from treestat.sources import catalog, listing, stored
 from treestat.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,7 +47,17 @@ _on_entries("overview_gb", reports.overview_gb, f"""SELECT count(*) AS total_ent
 _on_entries("allocation", reports.allocation, f"""SELECT {_GB.format("sum(size)")} AS logical_gb, {_GB.format("sum(blocks) * 512")} AS allocated_gb,
   round(100.0::DOUBLE * CAST(sum(blocks) * 512 AS DOUBLE) / CAST(nullif(sum(size), 0) AS DOUBLE), 1) AS percent FROM ent WHERE entry_type = 0""")
 _on_entries("count_entries", reports.count_entries, "SELECT count(*) AS entries FROM ent")
-_on_entries("approx_entries", reports.approx_entries)
+
+
+def _approx(spark: SparkSession, d: str) -> DataFrame:
+    """The estimate from the sketches of a written catalogue, held against the rows counted in writing it."""
+    out = shared_dir(spark, "catalog")
+    rows = catalog.write_catalog(X.entries(spark, d), out)
+    estimate = reports.approx_entries(catalog.read_sketches(spark, out))
+    return estimate.select(F.lit(rows).cast("long").alias("entries"), (F.abs(F.col("entries") - rows) * 20 <= rows).alias("within_5_percent"))
+
+
+_add("approx_entries", _approx, "SELECT count(*) AS entries, true AS within_5_percent FROM ent")
 _on_entries("by_extension", reports.by_extension, f"""SELECT coalesce(extension, '') AS extension, count(*) AS file_count, {_I("sum(size)")} AS total_bytes,
   {_I("sum(blocks)")} AS total_blocks FROM ent WHERE entry_type = 0 GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 20""")
 _on_entries("by_extension_gb", reports.by_extension_gb, f"""SELECT coalesce(extension, '(none)') AS ext, count(*) AS file_count, {_GB.format("sum(size)")} AS size_gb,
@@ -81,16 +90,26 @@ _on_entries("duplicates", reports.duplicates, """SELECT name, size, count(*) AS
   GROUP BY 1, 2 HAVING count(*) > 1 ORDER BY size * count(*) DESC, name, size LIMIT 20""")
 
 
-def _reports(spark: SparkSession, d: str) -> DataFrame:
-    """Each report's rows as text under the report's name."""
-    made, kept = reports.reports(X.entries(spark, d), reports.REPORTS, 20)
-    rows = [df.select(F.lit(name).alias("report"), F.to_json(F.struct("*")).alias("row")) for name, df in made.items()]
-    out = written(reduce(DataFrame.unionByName, rows), "reports")
-    kept.unpersist()
-    return out
+_on_entries("duplicate_pages", lambda e: reports.duplicate_pages(e, 20, 2), """SELECT name, size, copies, CAST(inode % CAST(ceil(copies / 2.0) AS BIGINT) AS BIGINT) AS page, string_agg(path, chr(10) ORDER BY path) AS paths
+  FROM ent JOIN (SELECT name, size, count(*) AS copies FROM ent WHERE entry_type = 0 AND size > 0 GROUP BY 1, 2 HAVING count(*) > 1 ORDER BY size * count(*) DESC, name, size LIMIT 20) USING (name, size)
+  WHERE entry_type = 0 AND size > 0 GROUP BY 1, 2, 3, 4""")
+_R = {
+    "by_extension": ("coalesce(extension, '')", "count(*), sum(size), sum(blocks)", "entry_type = 0", "3 DESC, 1"),
+    "largest_dirs": (_PARENT, "count(*), NULL, NULL", "true", "2 DESC, 1"),
+    **{f"by_{w}": (f"coalesce({w}, 0)", "count_if(entry_type = 0), count_if(entry_type = 1), coalesce(sum(size) FILTER (entry_type = 0), 0)", "true", "4 DESC, 1") for w in ("uid", "gid")},
+    "largest_files": ("path", "size, NULL, NULL", None, "size DESC, path"),
+    "oldest_files": ("path", "mtime, size, NULL", None, "mtime NULLS FIRST, path"),
+    "most_links": ("path", "coalesce(nlink, 1), size, NULL", None, "coalesce(nlink, 1) DESC, path"),
+}
+
 
+def _report_sql(name: str) -> str:
+    key, values, where, order = _R[name]
+    rows = f"SELECT {key} AS key, {values} FROM ent WHERE {where or 'entry_type = 0'} {'GROUP BY 1' if where else ''} ORDER BY {order} LIMIT 20"
+    return f"SELECT '{name}' AS report, row_number() OVER () AS rank, CAST(key AS VARCHAR) AS key, CAST(a AS BIGINT) AS v0, CAST(b AS BIGINT) AS v1, CAST(c AS BIGINT) AS v2 FROM ({rows}) t(key, a, b, c)"
 
-_add("reports", _reports)
+
+_on_entries("reports", lambda e: reports.reports(e, reports.REPORTS, 20), " UNION ALL ".join(map(_report_sql, _R)))
 
 # --- tree ----------------------------------------------------------------------------------------
 
@@ -208,7 +227,9 @@ def _list_tree(spark: SparkSession, d: str) -> DataFrame:
     """The directories of the catalogue written in partitions by owner and depth, as the listing job finds them."""
     out = shared_dir(spark, "partitions")
     X.entries(spark, d).select("path", "size", "uid", "depth").write.partitionBy("uid", "depth").parquet(out)
-    entries, _ = listing.list_tree(spark, out.removeprefix("file://"), dirs_only=True)
+    entries, outcomes = listing.list_tree(spark, out, dirs_only=True, budget=50)
+    if failed := outcomes.filter("outcome <> 'ok'").take(5):
+        raise RuntimeError(f"directories that could not be read: {failed}")
     return entries.select(F.substring_index("parent_path", "/", -1).alias("parent"), "name", "depth").withColumn("parent", F.when(F.col("depth") > 1, F.col("parent")))
 
 
@@ -318,16 +339,43 @@ def _stream(spark: SparkSession, d: str, start) -> str:
 
 
 _add("stream_ingest", lambda spark, d: catalog.read_catalog(spark, _stream(spark, d, ingest.ingest)), _NORMAL)
-_add("stream_totals", lambda spark, d: ingest.latest_batch(spark, _stream(spark, d, ingest.running_totals), "dirs bigint, files bigint, bytes bigint"),
-     f"SELECT count_if(entry_type = 1) AS dirs, count_if(entry_type <> 1) AS files, {_I('sum(size) FILTER (entry_type <> 1)')} AS bytes FROM ({_NORMAL})")
+
+
+def _stream_totals(spark: SparkSession, d: str) -> DataFrame:
+    failed = shared_dir(spark, "outcomes")
+    X.outcomes(spark, d).repartition(3, "dir").write.parquet(failed)
+    out = _stream(spark, d, lambda raw, o, c: ingest.running_totals(raw, ingest.outcome_stream(spark, failed, 1), o, c))
+    return ingest.latest_batch(spark, out, "dirs bigint, files bigint, bytes bigint, errors bigint")
+
+
+_add("stream_totals", _stream_totals, f"""SELECT count_if(entry_type = 1) AS dirs, count_if(entry_type <> 1) AS files, {_I('sum(size) FILTER (entry_type <> 1)')} AS bytes,
+  (SELECT count(*) FROM outcomes WHERE outcome <> 'ok') AS errors FROM ({_NORMAL})""")
 _add("stream_upsert", lambda spark, d: ingest.upsert_view(spark, _stream(spark, d, ingest.upsert_log)), _NORMAL)
 
 
 def _stream_big(spark: SparkSession, d: str) -> DataFrame:
     out = _stream(spark, d, lambda raw, o, c: ingest.big_dir_alerts(raw, BIG, o, c))
-    alerts = spark.read.schema("path string, exact_count bigint, file_count bigint, batch_id bigint").option("basePath", out).parquet(out)
-    return alerts.groupBy("path").agg(F.max("file_count").alias("file_count"), F.max("exact_count").alias("exact_count"))
+    return ingest.read_alerts(spark, out).groupBy("path").agg(F.max("file_count").alias("file_count"), F.count("*").alias("alerts"))
+
+
+_add("stream_big_dirs", _stream_big, f"SELECT parent_path AS path, {_I(BIG)} AS file_count, {_I(1)} AS alerts FROM ({_NORMAL}) WHERE entry_type <> 1 GROUP BY 1 HAVING count(*) >= {BIG}")
+
+# --- stored catalogues ---------------------------------------------------------------------------
+
+
+def _stored(spark: SparkSession, df: DataFrame) -> stored.Stored:
+    """``df`` stored in buckets under the shared folder."""
+    out = shared_dir(spark, "stored")
+    return stored.store(df, out, "t" + out.rsplit("-", 1)[1], 8)
+
 
+def _stored_changes(spark: SparkSession, d: str) -> DataFrame:
+    cur, base = _stored(spark, X.entries(spark, d)), _stored(spark, X.baseline(spark, d))
+    return diff.stored_changes(cur.by_path, base.by_path, base.by_inode)
 
-_add("stream_big_dirs", _stream_big, f"SELECT parent_path AS path, {_I(BIG)} AS file_count, count(*) AS exact_count FROM ({_NORMAL}) WHERE entry_type <> 1 GROUP BY 1 HAVING count(*) >= {BIG}")
 
+_add("stored_changes", _stored_changes, _CHANGES)
+_add("stored_by_inode", lambda spark, d: _stored(spark, X.entries(spark, d)).by_inode.select(*_COLS.split(", ")), _LAST)
+_add("stored_lookup_inode", lambda spark, d: stored.lookup_inode(_stored(spark, X.entries(spark, d)), 7).select(*_COLS.split(", ")), f"{_LAST} AND inode = 7")
+_add("stored_contains_inode", lambda spark, d: lookups.contains(X.baseline(spark, d).select("inode"), _stored(spark, X.entries(spark, d)).by_inode, "inode"), "SELECT inode FROM base WHERE inode IN (SELECT inode FROM ent)")
+_add("stored_parent_id", lambda spark, d: _stored(spark, X.entries(spark, d)).by_path.select("path", "inode", "parent_id"), "SELECT c.path, c.inode, d.inode AS parent_id FROM ent c LEFT JOIN ent d ON d.entry_type = 1 AND d.path = c.parent_path")

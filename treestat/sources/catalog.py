@@ -2,36 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from treestat.schema import BIG_DIRS, ENTRIES, METADATA
+from treestat.schema import ENTRIES, METADATA
 
 #: Metadata keys of a scan that exports carry.
 SCAN_KEYS = ("source_url", "start_time", "end_time", "duration_secs", "total_dirs", "total_files", "total_bytes", "error_count", "status", "worker_count")
 
 
-def write_catalog(e: DataFrame, path: str, partitions: int | None = None) -> None:
-    """Write a fresh catalogue in path order: point and prefix filters then skip files and row groups."""
+SKETCHES = T.StructType([T.StructField("rows", T.LongType()), T.StructField("sketch", T.BinaryType())])
+
+
+def measures() -> list[Column]:
+    """What is known of rows from one pass: their number, and a mergeable sketch of their paths (estimates within 2 %)."""
+    return [F.count("*").alias("rows"), F.hll_sketch_agg("path", 14).alias("sketch")]
+
+
+def sketch_path(path: str) -> str:
+    """Where the sketches of the catalogue at ``path`` are kept."""
+    return f"{path.rstrip('/')}.sketches"
+
+
+def write_sketch(spark: SparkSession, seen: dict, path: str) -> None:
+    spark.createDataFrame([(seen["rows"], bytes(seen["sketch"]))], SKETCHES).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def write_catalog(e: DataFrame, path: str, partitions: int | None = None) -> int:
+    """Write a fresh catalogue in path order: point and prefix filters then skip files and row groups. The number of rows.
+
+    Rows are counted and their paths sketched as they are written; the sketch lies beside the catalogue.
+    """
     cols = [F.col("path")]
     ranged = e.repartitionByRange(partitions, *cols) if partitions else e.repartitionByRange(*cols)
-    ranged.sortWithinPartitions("path").write.mode("overwrite").option("compression", "zstd").option("parquet.bloom.filter.enabled#inode", "true").parquet(path)
+    seen = Observation()
+    rows = ranged.sortWithinPartitions("path").observe(seen, *measures())
+    rows.write.mode("overwrite").option("compression", "zstd").option("parquet.bloom.filter.enabled#inode", "true").parquet(path)
+    write_sketch(e.sparkSession, seen.get, f"{sketch_path(path)}/part=written")
+    return seen.get["rows"]
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ENTRIES).parquet(path)
 
 
+def read_sketches(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each written part of the catalogue at ``path`` and each ingested batch: rows, sketch."""
+    return spark.read.schema(SKETCHES).option("basePath", sketch_path(path)).parquet(sketch_path(path)).select("rows", "sketch")
+
+
 def export_catalog(e: DataFrame, metadata: DataFrame, big_dirs: DataFrame, out: str) -> DataFrame:
-    """Write the three tables under ``out``; one row with the numbers converted, counted on what was written."""
+    """Write the three tables under ``out``; one row with the numbers converted, counted while they are written."""
     spark = e.sparkSession
-    write_catalog(e, f"{out}/entries")
+    entries, seen = write_catalog(e, f"{out}/entries"), Observation()
     metadata.filter(F.col("key").isin(*SCAN_KEYS)).write.mode("overwrite").parquet(f"{out}/walk_info")
-    big_dirs.select("path", "file_count").write.mode("overwrite").parquet(f"{out}/big_directories")
-    none = F.lit(0).cast("bigint")
-    a = read_catalog(spark, f"{out}/entries").agg(F.count("*").alias("entries_converted"), none.alias("big_dirs_converted"))
-    b = spark.read.schema(BIG_DIRS).parquet(f"{out}/big_directories").agg(none.alias("entries_converted"), F.count("*").alias("big_dirs_converted"))
-    return a.unionByName(b).agg(F.sum("entries_converted").alias("entries_converted"), F.sum("big_dirs_converted").alias("big_dirs_converted"))
+    big_dirs.select("path", "file_count").observe(seen, F.count("*").alias("rows")).write.mode("overwrite").parquet(f"{out}/big_directories")
+    return spark.createDataFrame([(entries, seen.get["rows"])], "entries_converted long, big_dirs_converted long")
 
 
 def export_csv(df: DataFrame, path: str, sep: str = ",") -> None:

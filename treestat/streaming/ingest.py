@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from treestat.schema import ENTRIES, RAW_LISTING
-from treestat.sources.catalog import write_catalog
+from treestat.sources.catalog import measures, sketch_path, write_catalog
 from treestat.sources.listing import normalize_listing
 
 
@@ -21,10 +25,33 @@ def ingest(raw: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     return normalize_listing(raw).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def totals(entries: DataFrame) -> DataFrame:
-    """Dirs, files and bytes of the rows seen, batch or stream."""
+def ingest_sketches(raw: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Number and sketch of the paths of each batch, beside the catalogue at ``out``: estimates follow what is ingested.
+
+    Reads names alone. A replayed batch replaces its own sketch, and sketches of the same paths do not add up.
+    """
+    def write(df: DataFrame, batch_id: int) -> None:
+        df.agg(*measures()).coalesce(1).write.mode("overwrite").parquet(f"{sketch_path(out)}/part=batch{batch_id}")
+
+    return normalize_listing(raw).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def outcome_stream(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
+    """Outcomes of directories read (dir, outcome) as they arrive."""
+    return spark.readStream.schema("dir string, outcome string").option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+
+
+def totals(entries: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Dirs, files and bytes of the rows seen and errors of the outcomes seen, batch or stream."""
+    rows = entries.select("entry_type", "size", F.lit(False).alias("error"))
+    failed = outcomes.select(F.lit(None).cast("int").alias("entry_type"), F.lit(None).cast("bigint").alias("size"), (F.col("outcome") != "ok").alias("error"))
     is_dir = F.col("entry_type") == 1
-    return entries.agg(F.count_if(is_dir).alias("dirs"), F.count_if(~is_dir).alias("files"), F.coalesce(F.sum(F.when(~is_dir, F.col("size"))), F.lit(0)).alias("bytes"))
+    return rows.unionByName(failed).agg(
+        F.count_if(is_dir).alias("dirs"),
+        F.count_if(~is_dir).alias("files"),
+        F.coalesce(F.sum(F.when(~is_dir, F.col("size"))), F.lit(0)).alias("bytes"),
+        F.count_if("error").alias("errors"),
+    )
 
 
 def _replaced(out: str):
@@ -39,8 +66,9 @@ def keep_latest(result: DataFrame, out: str, checkpoint: str, mode: str) -> Stre
     return result.writeStream.outputMode(mode).foreachBatch(_replaced(out)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def running_totals(raw: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    return keep_latest(totals(normalize_listing(raw)), out, checkpoint, "complete")
+def running_totals(raw: DataFrame, outcomes: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Totals so far of two streams, rows and outcomes, as one query."""
+    return keep_latest(totals(normalize_listing(raw), outcomes), out, checkpoint, "complete")
 
 
 def latest_batch(spark: SparkSession, out: str, schema) -> DataFrame:
@@ -72,8 +100,31 @@ def compact(spark: SparkSession, log: str, new_base: str, base: DataFrame | None
     write_catalog(upsert_view(spark, log, base), new_base)
 
 
+def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of each batch of a task counted by path, so that a crowded directory sends few rows to its state."""
+    for pdf in frames:
+        yield pdf.groupby("path", sort=False).size().rename("n").reset_index()
+
+
+def _crossed(threshold: int):
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        (before,) = state.get if state.exists else (0,)
+        after = before + sum(int(pdf["n"].sum()) for pdf in frames)
+        state.update((after,))
+        if before < threshold <= after:
+            yield pd.DataFrame({"path": [key[0]], "file_count": [threshold], "seen": [after]})
+
+    return step
+
+
 def big_dir_alerts(raw: DataFrame, threshold: int, out: str, checkpoint: str) -> StreamingQuery:
-    """Directories whose count of non-directories has reached ``threshold``; state is one counter a directory."""
-    counts = normalize_listing(raw).filter("entry_type <> 1").groupBy(F.col("parent_path").alias("path")).agg(F.count("*").alias("exact_count"))
-    alerts = counts.filter(F.col("exact_count") >= threshold)
-    return keep_latest(alerts.withColumn("file_count", F.lit(threshold).cast("bigint")), out, checkpoint, "update")
+    """One alert for each directory, when its count of non-directories reaches ``threshold``: path, file_count (the threshold),
+    seen (the count by then). State is one counter a directory and survives restarts, so no directory alerts twice."""
+    rows = normalize_listing(raw).filter("entry_type <> 1").select(F.col("parent_path").alias("path"))
+    counts = rows.mapInPandas(_counted, "path string, n long").groupBy("path")
+    alerts = counts.applyInPandasWithState(_crossed(threshold), "path string, file_count long, seen long", "n long", "append", GroupStateTimeout.NoTimeout)
+    return keep_latest(alerts, out, checkpoint, "append")
+
+
+def read_alerts(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.schema("path string, file_count bigint, seen bigint, batch_id bigint").option("basePath", out).parquet(out)
