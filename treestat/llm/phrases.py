@@ -8,8 +8,9 @@ the words of the forward transform that lie in it, which fixes the interval in t
 those of the reverse one, all intervals of a depth at once. So every n-gram up to the depth asked for comes with its count
 and its extensions, separators never become part of it, and the work is a few sorts of the shard.
 
-Each shard sends one row for each different phrase of all but the last depth, with its count and its right extensions in
-it; rows are dealt by that phrase and counts are summed where they arrive. A frequent phrase has one row from each shard.
+Each shard sends its different phrases with their counts and right extensions, packed by what stands before their last word
+and a few bits of that word's hash (``SALTS``): one row holds many phrases, and what follows a frequent word is dealt to several
+tasks. Rows are dealt by that key and counts are summed where they arrive. A frequent phrase has one entry from each shard.
 
 Defined cases: NULL texts are empty; texts without words count nothing; a NULL language is ``und``. Repeated rows are
 separate documents, whatever their doc_id. Texts are taken whole. Ties are settled by the phrase in byte order, so the
@@ -19,6 +20,7 @@ result has one order only. An empty table gives no rows. Other columns, also suc
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +31,10 @@ from pyspark.sql import functions as F
 from treestat.llm.tables import release
 from treestat.session import written
 
-#: Bytes of text in a shard, about two million words. A longer text is a shard of its own.
-SHARD_BYTES = 12_000_000
+#: Bytes of text in a shard, about 1.3 million words. A longer text is a shard of its own.
+SHARD_BYTES = 8_000_000
+#: Parts into which what follows a phrase is dealt, and single words are.
+SALTS, WORD_SALTS = 16, 4096
 LEAST_COUNT, MOST_WORDS, TOP = 10, 3, 2000
 #: A phrase goes if a longer one has this share of its occurrences, in hundredths.
 WITHIN = 50
@@ -57,15 +61,17 @@ class WordIndex:
     def __init__(self, seq: np.ndarray, words: int, depth: int) -> None:
         """``words``: ids are below it. ``depth``: words of the longest phrase."""
         self.seq, self.words = seq, words
-        inner = np.arange(1, len(seq) - 1)
+        inner = np.arange(1, len(seq) - 1, dtype=np.int32)
         self.forward = inner[np.argsort(seq[inner], kind="stable")]
         self.before = seq[self.forward - 1]
         #: Position of the first suffix of each word; those of separators come first.
         self.first = np.searchsorted(seq[self.forward], np.arange(words + 1))
-        rank = seq
+        rank = seq.astype(np.int64)
         for k in range(1, depth - 1):  # the order by the word and those before it, as deep as intervals need
-            rank = (rank if k == 1 else np.unique(rank, return_inverse=True)[1]) * words + np.concatenate([np.zeros(k, np.int64), seq[:-k]])
-        self.reverse = inner[np.argsort(rank[inner], kind="stable")]
+            rank = (rank if k == 1 else np.unique(rank, return_inverse=True)[1]) * words
+            rank[k:] += seq[:-k]
+        self.reverse = inner[np.argsort(rank[1:-1], kind="stable")]
+        del rank
         self.after = seq[self.reverse + 1]
         self._place: np.ndarray | None = None
 
@@ -79,9 +85,9 @@ class WordIndex:
         """All words that a transform has in each interval: interval, word, count, offset of the word's run among the
         interval's sorted words, and where the word stands first."""
         start = np.cumsum(size) - size
-        inside = np.repeat(np.arange(len(lo)), size)
-        at = np.arange(int(size.sum())) - np.repeat(start - lo, size)
-        key = inside * self.words + bwt[at]
+        at = np.arange(int(size.sum()), dtype=np.int32) - np.repeat((start - lo).astype(np.int32), size)
+        key = np.repeat(np.arange(len(lo)) * self.words, size)
+        key += bwt[at]
         order = np.argsort(key, kind="stable")
         key = key[order]
         run = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
@@ -107,56 +113,58 @@ class WordIndex:
         return parent, right, count, self._place[at]
 
 
-def _sequence(texts: dict[str, list[bytes]]) -> tuple[np.ndarray, pa.Array, list[str], np.ndarray]:
+def _sequence(texts: dict[str, list[bytes]]) -> tuple[np.ndarray, list[bytes], list[str], np.ndarray]:
     """Word ids of all pieces with separators; words by id, languages, and the language of each id. Words of different languages differ."""
     names: list = [b""]
-    parts, starts = [np.zeros(2, np.int64)], []
+    parts, starts = [np.zeros(2, np.int32)], []
     for some in texts.values():
         starts.append(len(names))
         ids = _Ids(names)
         for t in some:
             w = t.translate(_BYTES).replace(b"\n", b" \n ").split(b" ")
-            row = np.fromiter(map(ids.__getitem__, w), np.int64, len(w))
-            parts += [row[row >= 0], np.zeros(1, np.int64)]
+            row = np.fromiter(map(ids.__getitem__, w), np.int32, len(w))
+            parts += [row[row >= 0], np.zeros(1, np.int32)]
     lang = np.searchsorted(starts, np.arange(len(names)), side="right") - 1
-    return np.concatenate(parts), pa.array(names, pa.binary()), list(texts), lang
+    return np.concatenate(parts), names, list(texts), lang
 
 
 def shard_rows(texts: dict[str, list[bytes]], most: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, tail) of one shard. Key: language, line feed, phrase of fewer than ``most`` words. Tail: its extensions one
-    after the other, first the empty one for the phrase itself, each with its count after a tab unless that is 1."""
-    seq, names, langs, lang = _sequence(texts)
-    index = WordIndex(seq, len(names), most)
+    """Rows (key, tail) of one shard. Key: language, what stands before the last word of phrases, salt; a line feed between
+    them. Tail: those phrases, a line feed between them: the last word and words that follow the phrase, a space between
+    them, each word with its count after a tab unless that is 1."""
+    seq, words, langs, lang = _sequence(texts)
+    names = pa.array(words, pa.binary())
+    salt = np.fromiter(map(crc32, words), np.int64, len(words))
+    heads = pa.array([f"{x}\n".encode() for x in langs], pa.binary())
+    index = WordIndex(seq, len(words), most)
     word, n = index.unigrams()
     if not len(word):
         return
     total = np.zeros(len(langs), np.int64)
     np.add.at(total, lang[word], n)
-    heads = pa.array([f"{x}\n".encode() for x in langs], pa.binary())
-    yield _rows(heads, total, None)  # the empty phrase: all words of the language
-    phrase = pc.binary_join_element_wise(heads.take(pa.array(lang[word])), names.take(pa.array(word)), b"")
-    yield _rows(phrase, n, None)
+    none = pa.array([b""] * len(langs), pa.binary())
+    yield from _packed(heads, np.arange(len(langs)), _numbered(none, total), np.zeros(len(langs), np.int64), 1)  # all words of a language
+    yield from _packed(heads, lang[word], _numbered(names.take(pa.array(word)), n), salt[word], WORD_SALTS)
     if most < 2:
         return
     parent, left, n, lo = index.extend_left(word, n)
-    phrase = pc.binary_join_element_wise(heads.take(pa.array(lang[left])), names.take(pa.array(left)), b"")
-    phrase = pc.binary_join_element_wise(phrase, names.take(pa.array(word[parent])), b" ")
-    for depth in range(3, most + 1):
-        parent, right, count, then = index.extend_right(lo, n, depth < most)
-        yield from _cut(phrase, n, (parent, names.take(pa.array(right)), count))
-        phrase, n, lo = pc.binary_join_element_wise(phrase.take(pa.array(parent)), names.take(pa.array(right)), b" "), count, then
-    if most == 2:
-        yield from _cut(phrase, n, None)
-
-
-def _cut(phrase: pa.Array, n: np.ndarray, more: tuple | None, step: int = 100_000) -> Iterator[pa.RecordBatch]:
-    for a in range(0, len(n), step):
-        b = min(a + step, len(n))
-        part = None
-        if more is not None:
-            i, j = np.searchsorted(more[0], [a, b])
-            part = (more[0][i:j] - a, more[1].slice(i, j - i), more[2][i:j])
-        yield _rows(phrase.slice(a, b - a), n[a:b], part)
+    before = pc.binary_join_element_wise(heads.take(pa.array(np.maximum(lang, 0))), names, b"")  # language and word, by id
+    last, group = word[parent], left
+    del parent, left
+    for depth in range(2, most + 1):
+        own = n if depth == 2 else np.zeros(len(n), np.int64)  # longer ones are counted as what follows a shorter one
+        segments = _numbered(names.take(pa.array(last)), own)
+        if depth < most:
+            parent, right, count, then = index.extend_right(lo, n, depth + 1 < most)
+            bounds = pa.array(np.searchsorted(parent, np.arange(len(n) + 1)).astype(np.int32))
+            joined = pc.binary_join(pa.ListArray.from_arrays(bounds, _numbered(names.take(pa.array(right)), count)), b" ")
+            segments = pc.if_else(pc.equal(pc.binary_length(joined), 0), segments, pc.binary_join_element_wise(segments, joined, b" "))
+            del joined
+        if depth == 2 or depth < most:
+            yield from _packed(before, group, segments, salt[last], SALTS)
+        if depth + 1 < most:
+            phrase = pc.binary_join_element_wise(before.take(pa.array(group)), names.take(pa.array(last)), b" ")
+            before, group, last, n, lo = phrase, parent, right, count, then
 
 
 def _numbered(words: pa.Array, n: np.ndarray) -> pa.Array:
@@ -165,14 +173,20 @@ def _numbered(words: pa.Array, n: np.ndarray) -> pa.Array:
     return pc.if_else(pa.array(n == 1), words, text)
 
 
-def _rows(phrase: pa.Array, n: np.ndarray, more: tuple | None) -> pa.RecordBatch:
-    own = _numbered(pa.array([b""] * len(n), pa.binary()), n)
-    if more is not None:
-        parent, words, count = more
-        bounds = np.searchsorted(parent, np.arange(len(n) + 1)).astype(np.int32)
-        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds), _numbered(words, count)), b" ")
-        own = pc.if_else(pa.array(np.diff(bounds) > 0), pc.binary_join_element_wise(own, joined, b" "), own)
-    return pa.RecordBatch.from_arrays([pc.cast(phrase, pa.string()), pc.cast(own, pa.string())], ["key", "tail"])
+def _packed(before: pa.Array, group: np.ndarray, segments: pa.Array, salt: np.ndarray, salts: int) -> Iterator[pa.RecordBatch]:
+    """Segments packed by group and salt. ``before``: start of the key by group."""
+    code = group.astype(np.int64) * salts + salt % salts
+    order = np.argsort(code, kind="stable")
+    code = code[order]
+    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+    ends = np.append(first[1:], len(code))
+    for a in range(0, len(first), 50_000):
+        some, to = first[a : a + 50_000], ends[a : a + 50_000]
+        part = segments.take(pa.array(order[some[0] : to[-1]]))
+        tail = pc.binary_join(pa.ListArray.from_arrays(pa.array((np.append(some, to[-1]) - some[0]).astype(np.int32)), part), b"\n")
+        mark = pa.array([f"{x:x}".encode() for x in (code[some] % salts).tolist()], pa.binary())
+        key = pc.binary_join_element_wise(before.take(pa.array(code[some] // salts)), mark, b"\n")
+        yield pa.RecordBatch.from_arrays([pc.cast(key, pa.string()), pc.cast(tail, pa.string())], ["key", "tail"])
 
 
 def phrase_counts(docs: DataFrame, most: int = MOST_WORDS, least: int = LEAST_COUNT, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -194,13 +208,15 @@ def phrase_counts(docs: DataFrame, most: int = MOST_WORDS, least: int = LEAST_CO
 
     rows = docs.filter(F.col(text) != "").select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("t"))
     dealt = rows.mapInArrow(run, "key string, tail string").repartition("key")
-    each = dealt.select("key", F.explode(F.split("tail", " ")).alias("x"))
-    parts = each.select("key", F.split("x", "\t").alias("x")).select("key", F.get("x", F.lit(0)).alias("last"), F.coalesce(F.get("x", F.lit(1)).cast("long"), F.lit(1)).alias("n"))
-    summed = parts.groupBy("key", "last").agg(F.sum("n").alias("n"))  # dealt by key already
-    head = F.substring_index("key", "\n", -1)
-    phrase = F.when(F.col("last") == "", head).otherwise(F.concat(head, F.lit(" "), F.col("last")))
-    kept = summed.filter((F.col("n") >= least) | (head == ""))
-    kept = kept.select(F.expr("left(key, char_length(key) - char_length(substring_index(key, '\n', -1)) - 1)").alias("lang"), phrase.alias("phrase"), "n")
+    segments = dealt.select("key", F.explode(F.split("tail", "\n")).alias("s")).select("key", F.split("s", " ").alias("w"))
+    each = segments.select("key", F.substring_index(F.get("w", F.lit(0)), "\t", 1).alias("last"), F.posexplode("w").alias("pos", "x"))
+    number = F.when(F.contains("x", F.lit("\t")), F.substring_index("x", "\t", -1).cast("long")).otherwise(F.lit(1).cast("long"))
+    parts = each.select("key", "last", F.when(F.col("pos") > 0, F.substring_index("x", "\t", 1)).otherwise("").alias("more"), number.alias("n"))
+    summed = parts.groupBy("key", "last", "more").agg(F.sum("n").alias("n"))  # dealt by key already
+    kept = summed.filter((F.col("n") >= least) | (F.col("last") == "") & (F.col("n") > 0))
+    end = F.substring_index("key", "\n", -2)  # what stands before, and the salt
+    words = [F.nullif(x, F.lit("")) for x in (F.substring_index(end, "\n", 1), F.col("last"), F.col("more"))]
+    kept = kept.select(F.left("key", F.char_length("key") - F.char_length(end) - 1).alias("lang"), F.concat_ws(" ", *words).alias("phrase"), "n")
     return kept.select("lang", "phrase", F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " "))).alias("words"), "n")
 
 
