@@ -1,16 +1,19 @@
 """Main text of web pages by minimum-cut labelling of their blocks.
 
 A page is cut into blocks of text by its block tags. A block's cost of being boilerplate or content comes from a
-logistic classifier over its text and place, plus the sign of the deepest telling ancestor (tag, class or id). These
-costs are the terminal capacities of a graph; neighbours in page order, and neighbours within one parent and one
-grandparent element, are joined by smoothness edges. The maximum flow separates content from boilerplate, and the
-content blocks are the text.
+logistic classifier over its text and place, plus what the deepest telling ancestor (tag, class or id) says. These costs are
+the terminal capacities of a graph; neighbours in page order, and neighbours within one parent and one grandparent
+element, are joined by smoothness edges. The maximum flow separates content from boilerplate, and the content blocks
+are the text.
 
-The classifier is trained on the blocks of at most ``TRAIN_PAGES`` pages (smallest hash of page_id), labelled by their
-telling ancestors and described without them. Everything else covers every page and its whole html.
+What a name says has a strength. An element that is called an advert or a comment list weighs more than the classifier
+can: a reader's comment is worded like an article, and what its text looks like must not bring it back. A name that only
+has such a word in it weighs less, so the classifier decides where it is sure; a name that speaks of the page's layout (``no-sidebar``)
+says nothing, and neither do names of ``html`` and ``body``. The more of the page's text lies in an element, the less
+a name can condemn it. Where nothing tells anything, classifier and cut decide alone.
 
-Names outweigh the classifier: a reader's comment or an advert is worded like an article, so what its text looks like
-must not bring it back. The classifier decides where no ancestor tells anything.
+The classifier is trained on the blocks of at most ``TRAIN_PAGES`` pages (smallest hash of page_id), labelled by ancestors that
+tell most strongly and described without them. Everything else covers every page and its whole html.
 
 Defined cases: NULL or empty html gives an empty text. Elements without text of the page's own (pictures, buttons,
 fallbacks) are left out up to their end tag or that of the element around them. Unclosed elements, comments, scripts and cut-off pages are read
@@ -22,7 +25,7 @@ from __future__ import annotations
 
 import html as _html
 import re
-from collections import deque
+from collections import defaultdict, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +36,12 @@ from pyspark.sql import functions as F
 from treestat.llm.tables import add_columns
 
 TRAIN_PAGES = 1500
-#: Log-odds of the deepest telling ancestor, and weights of the smoothness edges.
-TELLING, NEXT, SIBLING, COUSIN = 4.0, 0.4, 0.8, 0.2
+#: Log-odds of an element that is what its name or tag says, and of one whose name has a telling word in it; the classifier
+#: says at most ``LEARNED``. Weights of the smoothness edges.
+TELLING, HINT, LEARNED = 4.0, 2.0, 3.0
+NEXT, SIBLING, COUSIN = 0.4, 0.8, 0.2
+#: Shares of the page's text from which names of an element weigh less, until they say nothing: hints, and whole names.
+HINT_SHARES, NAME_SHARES = (0.6, 0.9), (0.9, 0.99)
 #: Log-odds of a block that nothing is known about: content.
 PRIOR = 0.1
 
@@ -47,14 +54,23 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BOILERPLATE_TAGS = frozenset("nav footer aside form header menu dialog fieldset".split())
 CONTENT_TAGS = frozenset("article main".split())
+#: Tags that are boilerplate however much they hold, unless a name says otherwise.
+ALWAYS = frozenset("nav footer aside menu dialog".split())
 BOILERPLATE_WORDS = frozenset(
     "ad ads adv advert advertisement adverts advertising alert banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright discussion disclaimer dropdown footer gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notification overlay pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe subscription tags toolbar widget widgets".split()
 )
 CONTENT_WORDS = frozenset("article articlebody articletext story storybody entry entrycontent post postbody postcontent main maincontent maintext".split())
 
+#: Words beside a telling one that leave the name what it is, and words that make it speak of the layout.
+PLAIN_WORDS = frozenset(
+    "area bar block body bottom box button buttons col column container content element entry form global group holder inner item items js left link links list main mobile outer page panel post primary right row secondary section site slot text title top unit wp wrap wrapper".split()
+)
+LAYOUT_WORDS = frozenset("closed disabled enabled fixed free full has hidden hide is layout no not off on open show sticky with without".split())
+
+#: A tag ends before the next "<" outside quotes, so what is no tag costs no second look at the rest of the page.
+_ATTRS = r"(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|([^<]+|<)",
+    rf"<!--.*?(?:-->|\Z)|<({'|'.join(RAW)})(?=[\s/>]){_ATTRS}>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*+)({_ATTRS})>|<[!?][^<>]*+>|([^<]++|<)",
     re.S | re.I,
 )
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -62,37 +78,48 @@ _PARTS = re.compile(r"[A-Za-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-def _sign(tag: str, attrs: str, inside_article: bool) -> int:
-    """-1 boilerplate, 1 content, 0 says nothing. Names go before the tag."""
+def _named(name: str) -> float:
+    """What one class name or id says: below 0 boilerplate, above 0 content."""
+    if name.lower().replace("-", "").replace("_", "") in CONTENT_WORDS:
+        return TELLING
+    parts = {p.lower() for p in _PARTS.findall(_CAMEL.sub(" ", name))}
+    if not parts & BOILERPLATE_WORDS or parts & LAYOUT_WORDS:
+        return 0.0
+    return -TELLING if parts <= BOILERPLATE_WORDS | PLAIN_WORDS else -HINT
+
+
+def _says(tag: str, attrs: str, inside_article: bool) -> float:
+    """What an element's names, or else its tag, say. Of several names the strongest for boilerplate counts."""
+    if tag in ("html", "body"):
+        return 0.0
     if attrs:
-        names = [x for m in _NAMES.finditer(attrs) for x in (m[1] or m[2] or m[3] or "").split()]
-        for name in names:
-            parts = [p.lower() for p in _PARTS.findall(_CAMEL.sub(" ", name))]
-            if BOILERPLATE_WORDS.intersection(parts):
-                return -1
-        for name in names:
-            if CONTENT_WORDS.intersection([name.lower().replace("-", "").replace("_", "")]):
-                return 1
+        said = [_named(x) for m in _NAMES.finditer(attrs) for x in (m[1] or m[2] or m[3] or "").split()]
+        if any(said):
+            return min(said) if min(said) < 0 else max(said)
     if tag in CONTENT_TAGS:
-        return 1
+        return TELLING
     if tag == "header" and inside_article:  # an article's own head line
-        return 0
-    return -1 if tag in BOILERPLATE_TAGS else 0
+        return 0.0
+    return -TELLING if tag in BOILERPLATE_TAGS else 0.0
 
 
 class _Element:
-    __slots__ = ("parent", "sign", "skipped", "tag")
+    __slots__ = ("block", "chars", "depth", "parent", "says", "skipped", "source", "tag")
 
-    def __init__(self, tag: str, parent: "_Element | None", sign: int) -> None:
-        self.tag, self.parent, self.sign = tag, parent, sign
+    def __init__(self, tag: str, parent: "_Element | None", says: float, own: bool = False) -> None:
+        self.tag, self.parent, self.says = tag, parent, says
+        #: The element that says it, which may stand above; the nearest block element.
+        self.source = self if own or parent is None else parent.source
+        self.block = self if tag in BLOCKS or parent is None else parent.block
         self.skipped = tag in SKIPPED or (parent is not None and parent.skipped)
+        self.depth, self.chars = 0 if parent is None else parent.depth + 1, 0
 
 
 def blocks(page: str) -> list[tuple[str, _Element, float]]:
     """(text, innermost block element, share of characters in links) of every block with text, in page order."""
-    root = _Element("", None, 0)
+    root = _Element("", None, 0.0)
     stack, out, text, links, in_link = [root], [], [], 0, 0
-    where = root
+    where, open_, telling = root, defaultdict(list), [root]
 
     def close() -> None:
         nonlocal text, links
@@ -101,6 +128,11 @@ def blocks(page: str) -> list[tuple[str, _Element, float]]:
                 out.append((t, where, min(1.0, links / len(t))))
             text, links = [], 0
 
+    def leave(k: int) -> None:
+        for e in stack[k:]:
+            open_[e.tag].pop()
+        del stack[k:]
+
     for m in _TOKEN.finditer(page):
         tag = m[3]
         if tag is None:
@@ -117,31 +149,29 @@ def blocks(page: str) -> list[tuple[str, _Element, float]]:
         if block:
             close()
         if m[2]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if not block and stack[k].tag in BLOCKS:
-                    break
+            if open_[tag] and (block or open_[tag][-1] > stack[-1].block.depth):
+                leave(open_[tag][-1])
             if tag == "a":
                 in_link = 0
         elif tag not in VOID:
-            if block and stack[-1].tag != "":
-                for k in range(len(stack) - 1, 0, -1):  # a block tag ends an open paragraph; li, td, ... end their like
-                    x = stack[k].tag
-                    if x == "p" or (x == tag and tag in ("li", "dt", "dd", "td", "th", "tr")):
-                        del stack[k:]
-                        break
-                    if x in BLOCKS:
-                        break
+            x = stack[-1].block
+            if block and (x.tag == "p" or (x.tag == tag and tag in ("li", "dt", "dd", "td", "th", "tr"))):
+                leave(x.depth)  # a block tag ends an open paragraph; li, td, ... end their like
             up = stack[-1]
-            sign = _sign(tag, m[4], up.sign > 0) or up.sign
+            says = _says(tag, m[4], up.says > 0)
             if not m[4].endswith("/") or block:
-                stack.append(_Element(tag, up, sign))
+                stack.append(_Element(tag, up, says or up.says, bool(says)))
+                open_[tag].append(stack[-1].depth)
+                if says:
+                    telling.append(stack[-1])
                 in_link = in_link or tag == "a"
         if block:
-            where = next(e for e in reversed(stack) if e.tag in BLOCKS or e.tag == "")
+            where = stack[-1].block
     close()
+    for t, e, _ in out:
+        e.source.chars += len(t)
+    for e in reversed(telling[1:]):  # text below each element that says something, in those around it too
+        e.parent.source.chars += e.chars
     return out
 
 
@@ -239,12 +269,24 @@ def _block(gain: list[float], loss: list[float], near: list[dict[int, float]], l
                 path.pop()
 
 
-def content(page: str, weights: np.ndarray) -> str:
-    """The page's main text."""
-    found = blocks(page)
-    if not found:
-        return ""
-    cost = PRIOR + np.clip(features(found) @ weights, -3, 3) + TELLING * np.array([e.sign for _, e, _ in found])
+def told(found: list[tuple[str, _Element, float]]) -> np.ndarray:
+    """What the deepest telling ancestor says of each block, less the more of the page's text a condemned one holds."""
+    total = sum(len(t) for t, _, _ in found)
+    out = []
+    for _, e, _ in found:
+        low, high = HINT_SHARES if e.says == -HINT else NAME_SHARES
+        share = e.source.chars / total if e.says < 0 and e.source.tag not in ALWAYS else 0.0
+        out.append(e.says * min(1.0, max(0.0, (high - share) / (high - low))))
+    return np.array(out)
+
+
+def costs(found: list[tuple[str, _Element, float]], weights: np.ndarray) -> np.ndarray:
+    """Terminal capacities: above 0 for content, below 0 for boilerplate."""
+    return PRIOR + np.clip(features(found) @ weights, -LEARNED, LEARNED) + told(found)
+
+
+def smoothness(found: list[tuple[str, _Element, float]]) -> list[tuple[int, int, float]]:
+    """Edges between neighbours in page order, and between neighbours within one parent and one grandparent element."""
     edges, last = [], {}
     for k, (_, e, _) in enumerate(found):
         if k:
@@ -254,7 +296,15 @@ def content(page: str, weights: np.ndarray) -> str:
                 if (key := (id(up), w)) in last:
                     edges.append((last[key], k, w))
                 last[key] = k
-    side = min_cut(cost.tolist(), edges)
+    return edges
+
+
+def content(page: str, weights: np.ndarray) -> str:
+    """The page's main text."""
+    found = blocks(page)
+    if not found:
+        return ""
+    side = min_cut(costs(found, weights).tolist(), smoothness(found))
     return "\n\n".join(t for (t, _, _), ok in zip(found, side) if ok)
 
 
@@ -269,9 +319,10 @@ def train(pages: DataFrame, html: str = "html", train_pages: int = TRAIN_PAGES)
             out = []
             for pid, h in zip(pdf["page_id"], pdf["h"]):
                 found = blocks(h)
-                sign = np.array([e.sign for _, e, _ in found])
-                x = features(found)[sign != 0] if found else np.zeros((0, 13))
-                out.append((pid, x.tobytes(), (sign[sign != 0] > 0).astype(float).tobytes() if found else b""))
+                said = told(found)
+                sure = np.abs(said) == TELLING
+                x = features(found)[sure] if found else np.zeros((0, 13))
+                out.append((pid, x.tobytes(), (said[sure] > 0).astype(float).tobytes() if found else b""))
             yield pd.DataFrame(out, columns=["page_id", "x", "y"])
 
     got = sorted(rows.mapInPandas(run, "page_id long, x binary, y binary").collect())
