@@ -26,7 +26,6 @@ import os
 import re
 from collections.abc import Iterator
 from itertools import chain
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +36,10 @@ from treestat.llm.shingles import slices
 from treestat.llm.tables import held
 from treestat.session import written
 
-MEMO_UNITS, MEMO_CHARS = 250_000, 48
+MEMO_UNITS, MEMO_CHARS = 150_000, 32
 SLICE_CHARS = 1_000_000
 #: Links counted at once in a task.
-COUNT_LINKS = 4_000_000
+COUNT_LINKS = 1_000_000
 #: White space before a space, and characters that some engines take for white space: no unit starts there.
 _ALSO = "\u180e\u200b\ufeff"
 _JOINT = re.compile(f"[\\s{_ALSO}] ")
@@ -108,15 +107,18 @@ class Pair:
         """Of each unit: numbers of tokens, groups as text, links as numbers; None where bytes differ from the unit."""
         a, b = self.encode(units)
         raw = [f" {u}".encode("utf-8", "surrogatepass") for u in units]
-        ok = np.array([b"".join(map(self.a_bytes.__getitem__, x)) == r == b"".join(map(self.b_bytes.__getitem__, y)) for r, x, y in zip(raw, a, b)], bool)
-        a, b = ([x for x, good in zip(t, ok) if good] for t in (a, b))
+        ok = self._equal(raw, a, b)
+        if not all(ok):
+            a, b = ([x for x, good in zip(t, ok) if good] for t in (a, b))
         flat_a, flat_b = (np.fromiter(chain.from_iterable(x), np.int64) for x in (a, b))
         _, p, q = np.intersect1d(np.cumsum(self.a_len[flat_a]), np.cumsum(self.b_len[flat_b]), assume_unique=True, return_indices=True)
         links = (flat_a[p] * self.radix + flat_b[q]).astype(self.kind).tobytes()
         name_a, name_b = list(map(str, flat_a.tolist())), list(map(str, flat_b.tolist()))
         groups, i, j = [], 0, 0
         for x, y in zip((p + 1).tolist(), (q + 1).tolist()):
-            groups.append(f"{','.join(name_a[i:x])}|{','.join(name_b[j:y])}")
+            one = name_a[i] if x == i + 1 else ",".join(name_a[i:x])
+            two = name_b[j] if y == j + 1 else ",".join(name_b[j:y])
+            groups.append(f"{one}|{two}")
             i, j = x, y
         ends = np.searchsorted(p, np.cumsum([len(x) for x in a])).tolist()
         found, last, size = iter(zip(a, b, ends)), 0, self.kind.itemsize
@@ -128,6 +130,17 @@ class Pair:
             yield len(x), len(y), ";".join(groups[last:end]).encode(), links[last * size : end * size]
             last = end
 
+    def _equal(self, raw: list[bytes], a: list[list[int]], b: list[list[int]]) -> list[bool]:
+        """Whether the bytes of both encodings are those of the unit."""
+        whole, ends, same = b"".join(raw), np.cumsum([len(r) for r in raw]), True
+        for ids, table, size in ((a, self.a_bytes, self.a_len), (b, self.b_bytes, self.b_len)):
+            flat = list(chain.from_iterable(ids))
+            at = np.concatenate([[0], np.cumsum(size[flat])])[np.cumsum([len(x) for x in ids])]
+            same = same and b"".join(map(table.__getitem__, flat)) == whole and bool((at == ends).all())
+        if same:
+            return [True] * len(raw)
+        return [b"".join(map(self.a_bytes.__getitem__, x)) == r == b"".join(map(self.b_bytes.__getitem__, y)) for r, x, y in zip(raw, a, b)]
+
     def learn(self, units: set[str]) -> dict:
         """The table with all the given units in it; long ones go with the next call."""
         new = [u for u in units if u not in self.memo]
@@ -135,7 +148,7 @@ class Pair:
             self.memo = {u: self.memo[u] for u in units if u in self.memo and len(u) <= MEMO_CHARS}
             new = [u for u in units if u not in self.memo]
         new.sort(key=len)
-        for s, e in slices(new, 200_000, 20_000):
+        for s, e in slices(new, 100_000, 8_000):
             self.memo.update(zip(new[s:e], self.align(new[s:e])))
         return self.memo
 
@@ -151,11 +164,12 @@ class Pair:
             seen = set(chain.from_iterable(split))
             memo = self.learn(seen)
             for us in split:
-                found = [memo[u] for u in us]
-                if None in found or not us:
+                try:
+                    n_a, n_b, groups, links = zip(*[memo[u] for u in us])
+                except (TypeError, ValueError):  # a unit without tokens, or no unit
                     yield 0, 0, b"", b""
                 else:
-                    yield sum(map(itemgetter(0), found)), sum(map(itemgetter(1), found)), b";".join(map(itemgetter(2), found)), b"".join(map(itemgetter(3), found))
+                    yield sum(n_a), sum(n_b), b";".join(groups), b"".join(links)
             self.forget(seen)
 
 
@@ -194,12 +208,20 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, text: str = "text", with_
     names = ["digest", "copies", "n_a", "n_b", "links", "groups_sha256", *(["groups"] if with_groups else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = list(pair(a_path, b_path).texts(b.column(2).to_pylist()))
-            n_a, n_b, groups, links = zip(*found) if found else ((), (), (), ())
-            sha = [hashlib.sha256(g).hexdigest() if g else "" for g in groups]
-            more = [pa.array([g.decode() for g in groups], pa.string())] if with_groups else []
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n_a, pa.int64()), pa.array(n_b, pa.int64()), pa.array(links, pa.binary()), pa.array(sha, pa.string()), *more], names)
+        for whole in batches:
+            texts = whole.column(2).to_pylist()
+            for s, e in slices(texts, SLICE_CHARS):  # what a slice has made is handed on before the next one
+                b = whole.slice(s, e - s)
+                n_a, n_b, links, sha, groups = [], [], [], [], []
+                for a, k, g, found in pair(a_path, b_path).texts(texts[s:e]):
+                    n_a.append(a)
+                    n_b.append(k)
+                    links.append(found)
+                    sha.append(hashlib.sha256(g).hexdigest() if g else "")
+                    if with_groups:
+                        groups.append(g.decode())
+                more = [pa.array(groups, pa.string())] if with_groups else []
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n_a, pa.int64()), pa.array(n_b, pa.int64()), pa.array(links, pa.binary()), pa.array(sha, pa.string()), *more], names)
 
     return rows.mapInArrow(run, "digest binary, copies long, n_a long, n_b long, links binary, groups_sha256 string" + (", groups string" if with_groups else ""))
 
@@ -249,14 +271,16 @@ def _measured(rows: DataFrame, counts: DataFrame, a_path: str, b_path: str) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, counted, is_best = shared.value
-        for b in batches:
-            links = b.column(3).to_pylist()
-            n = np.array([len(x) // size for x in links], np.int64)
-            at = np.searchsorted(codes, np.frombuffer(b"".join(links), kind))
-            bounds = np.concatenate([[0], np.cumsum(n)])
-            good, total = (np.concatenate([[0], np.cumsum(x[at], dtype=np.int64)]) for x in (is_best, counted))
-            out = [n, good[bounds[1:]] - good[bounds[:-1]], total[bounds[1:]] - total[bounds[:-1]]]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *map(pa.array, out), b.column(4)], ["digest", "n_a", "n_b", "n_links", "n_best", "count_sum", "groups_sha256"])
+        for whole in batches:
+            every = whole.column(3).to_pylist()
+            for s, e in slices(every, COUNT_LINKS * size):
+                b, links = whole.slice(s, e - s), every[s:e]
+                n = np.array([len(x) // size for x in links], np.int64)
+                at = np.searchsorted(codes, np.frombuffer(b"".join(links), kind))
+                bounds = np.concatenate([[0], np.cumsum(n)])
+                good, total = (np.concatenate([[0], np.cumsum(x[at], dtype=np.int64)]) for x in (is_best, counted))
+                out = [n, good[bounds[1:]] - good[bounds[:-1]], total[bounds[1:]] - total[bounds[:-1]]]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *map(pa.array, out), b.column(4)], ["digest", "n_a", "n_b", "n_links", "n_best", "count_sum", "groups_sha256"])
 
     some = rows.filter("n_a > 0").select("digest", "n_a", "n_b", "links", "groups_sha256")
     return some.mapInArrow(run, "digest binary, n_a long, n_b long, n_links long, n_best long, count_sum long, groups_sha256 string")
