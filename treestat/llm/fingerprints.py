@@ -270,17 +270,17 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     made = written(rows.select("doc_id", "t").mapInArrow(run, f"doc_id {kind}, {_MADE}, pid int, is_first boolean, carried string"), "fingerprints")
     edges = made.filter("is_first IS NOT NULL")
     firsts = edges.filter("is_first").select(F.col("pid").alias("next_pid"), F.col("carried").alias("following"))
-    pids = edges.filter("is_first").select("pid")  # one row for each partition
-    least = pids.agg(F.min("pid").alias("p0"))
-    after = pids.select("pid", F.lead("pid").over(Window.orderBy("pid")).alias("n")).crossJoin(F.broadcast(least)).select("pid", F.coalesce("n", "p0").alias("next_pid"))
+    whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    following = F.coalesce(F.lead("pid").over(Window.orderBy("pid")), F.min("pid").over(whole)).alias("next_pid")
+    after = edges.filter("is_first").select("pid", following)  # one row for each partition
     lasts = edges.filter("NOT is_first").select("doc_id", "pid", "carried").join(after, "pid").join(firsts, "next_pid")
 
     def finish(a: list[str], b: list[str]) -> list[list]:
         done = [[x[0] for x in _edited([p, q])] for p, q in zip(a, b)]
         return [list(x) for x in zip(*done)] if done else [[] for _ in _NAMES]
 
-    whole = add_columns(lasts.select("doc_id", "carried", "following"), ["doc_id"], ["carried", "following"], finish, dict(x.split() for x in _MADE.split(", ")))
-    return made.filter("is_first IS NULL").select("doc_id", *_NAMES).unionByName(whole)
+    resolved = add_columns(lasts.select("doc_id", "carried", "following"), ["doc_id"], ["carried", "following"], finish, dict(x.split() for x in _MADE.split(", ")))
+    return made.filter("is_first IS NULL").select("doc_id", *_NAMES).unionByName(resolved)
 
 
 def _chained(first: pa.RecordBatch, rest: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
