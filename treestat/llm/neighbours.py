@@ -2,9 +2,10 @@
 
 Equal vectors of one label are one node. Neighbour lists start from buckets of random hyperplane signs and are refined
 by NN-descent: the forward and reverse neighbours of each node are compared with one another, and what is closer than
-the last of a list enters it, until few lists change. Recall is audited node by node against all vectors for samples of
-bounded size, of all nodes and of those in no or a small component; below ``RECALL`` in either the search starts again
-from the lists so far and new hyperplanes. If the last search falls short, too, all nodes of a label are compared.
+the last of a list enters it, until few lists change. Then fresh starts, with other hyperplanes each, are searched for links
+between different components, until one adds none. Recall is audited node by node against all vectors for samples of
+bounded size, of all nodes and of those in no or a small component; if any link of theirs is missing, the search starts
+again from the lists so far. If the last search falls short, too, all nodes of a label are compared.
 
 List entries with a cosine (in double precision) of ``least`` or more are links, and components of links are the
 groups. A list that is full of links is saturated: it may hide links that leave its component. Saturated lists are
@@ -42,10 +43,13 @@ LONGER, LONGEST = 4, 48
 BUCKET, BLOCK = 96, 512
 #: Vectors of one side of a piece in which nodes are compared with all of their label.
 PIECE = 2048
-#: Chance that a pair at ``LEAST`` shares no bucket of a start, which sets the hyperplane rounds of large labels.
-APART = 0.01
-#: Vectors of the audit, those outside large components, wanted recall, and searches at most.
-AUDIT, OUTSIDE, RECALL, SEARCHES = 256, 1024, 0.99, 4
+#: Chance that a pair at ``LEAST`` shares no bucket of a start, which sets the hyperplane rounds of large labels. A pair with no
+#: link but this one is lost if the first start and the last of the fresh ones both miss it: with a chance of 1e-6.
+APART = 0.001
+#: Signs beyond those of the label by which a crowded bucket is split before chance splits it.
+DEEPER = 8
+#: Vectors of the audit, those outside large components, wanted recall, searches and fresh starts of a search at most.
+AUDIT, OUTSIDE, RECALL, SEARCHES, FRESH = 256, 1024, 1.0, 4, 6
 
 
 def _padded(pdf: pd.DataFrame, key: str, vectors: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -98,30 +102,36 @@ def _rounds(bits: int) -> int:
 
 
 def _start(nodes: DataFrame, seed: int) -> DataFrame:
-    """Neighbour candidates (v, u, s) from buckets of hyperplane signs; crowded buckets are split at random."""
+    """Neighbour candidates (v, u, s) from buckets of hyperplane signs.
+
+    A crowded bucket is split by ``DEEPER`` more signs, and what is crowded even then at random: near copies of one
+    another, whose lists the descent fills.
+    """
     most = nodes.agg(F.coalesce(F.max("bits"), F.lit(0))).first()[0]
-    rounds = _rounds(most)
+    rounds, signs = _rounds(most), most + DEEPER
 
     def codes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         planes: dict[int, np.ndarray] = {}
         for pdf in frames:
             for dim, part in pdf.groupby("dim", sort=False):
                 if dim not in planes:
-                    planes[dim] = np.random.default_rng(seed * 1009 + dim).normal(size=(int(dim), rounds * most)).astype(np.float32)
+                    planes[dim] = np.random.default_rng(seed * 1009 + dim).normal(size=(int(dim), rounds * signs)).astype(np.float32)
                 x = np.frombuffer(b"".join(part["x"]), np.float32).reshape(len(part), -1)
-                signs = (x @ planes[dim] > 0).astype(np.int64).reshape(len(part), rounds, most)
+                side = (x @ planes[dim] > 0).astype(np.int64).reshape(len(part), rounds, signs)
                 used = part["bits"].to_numpy(np.int64)
-                value = (signs * (1 << np.arange(most, dtype=np.int64)) * (np.arange(most) < used[:, None, None])).sum(2) if most else np.zeros((len(part), rounds), np.int64)
+                value = (side[:, :, DEEPER:] * (1 << np.arange(most, dtype=np.int64)) * (np.arange(most) < used[:, None, None])).sum(2)
+                more = (side[:, :, :DEEPER] * (1 << np.arange(DEEPER, dtype=np.int64))).sum(2)
                 own = np.array([_rounds(b) for b in range(most + 1)])[used]
                 for t in range(rounds):
-                    coded = pd.DataFrame({"v": part["v"], "t": t, "label": part["label"], "dim": part["dim"], "code": value[:, t], "x": part["x"]})
+                    coded = pd.DataFrame({"v": part["v"], "t": t, "label": part["label"], "dim": part["dim"], "code": value[:, t], "more": more[:, t], "x": part["x"]})
                     yield coded[own > t]
 
-    coded = nodes.select("v", "label", "bits", "dim", "x").mapInPandas(codes, "v long, t int, label long, dim int, code long, x binary")
+    coded = nodes.select("v", "label", "bits", "dim", "x").mapInPandas(codes, "v long, t int, label long, dim int, code long, more long, x binary")
     coded = coded.withColumn("bucket", F.xxhash64("t", "label", "dim", "code"))
-    crowd = coded.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > 2 * BUCKET)
-    dealt = coded.join(crowd, "bucket", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("v", F.lit(seed)), F.ceil(F.col("n") / BUCKET)), F.lit(0)))
-    return by_group(dealt.select("v", "x", F.xxhash64("bucket", "part").alias("g")), "g", lambda pdf: _best(pdf, "g", LIST), "v long, u long, s double")
+    crowd = lambda df, key: df.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > 2 * BUCKET)
+    finer = coded.join(crowd(coded, "bucket"), "bucket", "left").withColumn("fine", F.when(F.col("n").isNull(), F.col("bucket")).otherwise(F.xxhash64("bucket", "more"))).drop("n")
+    dealt = finer.join(crowd(finer, "fine"), "fine", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("v", F.lit(seed)), F.ceil(F.col("n") / BUCKET)), F.lit(0)))
+    return by_group(dealt.select("v", "x", F.xxhash64("fine", "part").alias("g")), "g", lambda pdf: _best(pdf, "g", LIST), "v long, u long, s double")
 
 
 def _lists(candidates: DataFrame, old: DataFrame | None, least: float, caps: DataFrame | None = None) -> DataFrame:
@@ -204,9 +214,18 @@ def _links(lists: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
                 yield pdf.loc[ok, ["a", "b"]]
 
     near = lists.filter(F.col("s") >= least - 1e-4).select(F.least("v", "u").alias("a"), F.greatest("v", "u").alias("b")).distinct()
-    a = nodes.select(F.col("v").alias("a"), F.col("x64").alias("xa"))
-    b = nodes.select(F.col("v").alias("b"), F.col("x64").alias("xb"))
-    return near.join(b, "b").join(a, "a").select("a", "xa", "b", "xb").mapInPandas(run, "a long, b long")
+    a = nodes.select(F.col("v").alias("a"), F.col("x64").alias("xa"), F.col("label").alias("la"))
+    b = nodes.select(F.col("v").alias("b"), F.col("x64").alias("xb"), F.col("label").alias("lb"))
+    both = near.join(b, "b").join(a, "a").filter("la = lb")  # keys of buckets are hashes, so labels are compared here
+    return both.select("a", "xa", "b", "xb").mapInPandas(run, "a long, b long")
+
+
+def _fresh_links(nodes: DataFrame, member: DataFrame, seed: int, least: float) -> DataFrame:
+    """Links between different components that a start of its own finds."""
+    root = lambda key: member.select(F.col("v").alias(key), F.col("root").alias(f"r{key}"))
+    pairs = _start(nodes, seed).filter(F.col("s") >= least - 1e-4).select(F.least("v", "u").alias("v"), F.greatest("v", "u").alias("u"), "s").distinct()
+    apart = pairs.join(root("v"), "v", "left").join(root("u"), "u", "left").filter(F.coalesce("rv", "v") != F.coalesce("ru", "u"))
+    return _links(apart.select("v", "u", "s"), nodes, least)
 
 
 def _audit(nodes: DataFrame, member: DataFrame, least: float) -> float:
@@ -348,6 +367,12 @@ def links(vectors: DataFrame, embedding: str = "embedding", least: float = LEAST
             if not more.isEmpty():
                 near = near.unionByName(more)
                 member = _members(near)
+        for fresh in range(FRESH):
+            more = written(_fresh_links(nodes, member, 1000 * (search + 1) + fresh, least), "fresh")
+            if more.isEmpty():
+                break
+            near = near.unionByName(more)
+            member = _members(near)
         if _audit(nodes, member, least) >= RECALL:
             break
     else:  # no search was good enough
