@@ -7,11 +7,12 @@ the blocks' neighbourhoods finds every fingerprint within the radius. What is fo
 Jaccard similarity of the shingles, ``SIMILARITY`` or more. A window that shares no shingle with any item has
 similarity 0 and is not fingerprinted.
 
-A benchmark of up to ``GROUP_ITEMS`` items and ``GROUP_CHARS`` characters is one index, and the documents are read once.
-A larger one is read in groups of that size, but the documents are read once all the same: the shingles of all items
-make a filter of 2 ** ``FILTER_BITS`` bits, and one pass over the documents writes the zones whose shingles are in the
-filter so densely that a window of similarity ``least`` may lie there (no such window is lost). Only these zones are
-compared with each group. Defined cases: NULL or empty texts and items without words match nothing. A document shorter than an
+A benchmark of up to ``GROUP_ITEMS`` items and ``GROUP_CHARS`` characters is one index, which every task holds. A larger one
+stays in tables, and neither the driver nor a task holds it. The shingles of all items make a filter, and one pass over
+the documents writes the zones whose shingles are in the filter so densely that a window of similarity ``least`` may lie
+there. Zones and items meet by a join on shingles: a window of similarity ``least`` lacks so few of an item's shingles that it
+has one of any few of them (``prefix``), and the rarest among items are taken. Each document's items, some at a time, are then
+an index of their own, which its zones are searched with. No step loses a window. Defined cases: NULL or empty texts and items without words match nothing. A document shorter than an
 item is one window. An item of fewer than five words is a single shingle of its own length, which only a document with
 as many words can have. Repeated items are separate items; repeated rows give repeated rows. Other columns, also such with
 clashing names, are not looked at by ``leaks`` and kept by ``keep_clean``.
@@ -20,12 +21,12 @@ clashing names, are not looked at by ``leaks`` and kept by ``keep_clean``.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial, reduce
+from functools import partial
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treestat.llm.shingles import WORDS, shingles, slices, words
@@ -37,8 +38,11 @@ RADIUS = 18
 _BLOCKS, _BITS = 4, 16
 #: Items and characters of items in one group.
 GROUP_ITEMS, GROUP_CHARS = 1000, 8_000_000
-#: Bits of the filter of item shingles: 8 MB, whatever the number of items.
-FILTER_BITS = 26
+#: Bits of the filter of item shingles: 8 MB, or up to 64 MB for many items. Where even those are mostly set, zones grow
+#: and the join does the work.
+FILTER_BITS, MOST_BITS = 26, 29
+#: Items that one index of a document's own holds.
+AT_ONCE = 200
 _ZONES = "array<struct<first:bigint,shingles:binary>>"
 
 
@@ -159,37 +163,37 @@ def _index(items: list[tuple[int, str]], radius: int) -> Index:
     return held((radius, *items), lambda: Index(items, radius))
 
 
-def _items(benchmark: DataFrame) -> tuple[DataFrame, int]:
-    """Items with text, and how many groups of bounded number and size they make."""
+def _items(benchmark: DataFrame) -> tuple[DataFrame, bool]:
+    """Items with text, and whether they are so few that each task holds them."""
     b = benchmark.filter("text IS NOT NULL").select("item_id", "text")
     n, chars = b.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
-    return b, max(1, -(-n // (GROUP_ITEMS // 2)), -(-chars // (GROUP_CHARS // 2))) if n > GROUP_ITEMS or chars > GROUP_CHARS else 1
+    return b, n <= GROUP_ITEMS and chars <= GROUP_CHARS
 
 
-def _groups(b: DataFrame, groups: int) -> Iterator[list[tuple[int, str]]]:
-    """The items of each group, one group at a time."""
-    for k in range(groups):
-        part = b.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == k)
-        yield sorted(((r["item_id"], r["text"]) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+def _collected(b: DataFrame) -> list[tuple[int, str]]:
+    """A benchmark of bounded size, in one order."""
+    return sorted(((r["item_id"], r["text"]) for r in b.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
 
 
-def item_filter(b: DataFrame) -> tuple[np.ndarray, int, int]:
-    """Bits of the first FILTER_BITS bits of all item shingles, and the least and greatest number of an item's shingles."""
+def item_filter(b: DataFrame, most: int | None = None) -> tuple[np.ndarray, int, int]:
+    """The filter of all item shingles (one bit for the first bits of each), and the least and greatest number of an item's shingles."""
+    chars = b.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    bits = min(most or MOST_BITS, max(FILTER_BITS, int(chars).bit_length() + 1))  # about 10 bits for a shingle
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             sh, at = shingles(*words(pdf["text"].tolist()))
             n = np.diff(at)
             if len(sh):
-                bit = np.unique(sh >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+                bit = np.unique(sh >> np.uint64(64 - bits)).astype(np.int64)
                 yield pd.DataFrame({"bit": bit, "low": int(n[n > 0].min()), "high": int(n.max())})
 
-    bits = b.select("text").mapInPandas(run, "bit long, low long, high long")
-    rows = bits.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(bit & 63 AS INT)))").alias("bits"), F.min("low").alias("low"), F.max("high").alias("high"))
-    got = rows.toPandas()  # at most 2 ** (FILTER_BITS - 6) rows
-    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    out[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
-    return out.view(np.uint64), *((int(got["low"].min()), int(got["high"].max())) if len(got) else (1, 0))
+    found = b.select("text").mapInPandas(run, "bit long, low long, high long")
+    rows = found.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(bit & 63 AS INT)))").alias("bits"), F.min("low").alias("low"), F.max("high").alias("high"))
+    got = rows.toArrow()  # at most 2 ** (bits - 6) rows
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[got["word"].to_numpy()] = got["bits"].to_numpy()
+    return out.view(np.uint64), *((min(got["low"].to_pylist()), max(got["high"].to_pylist())) if len(got) else (1, 0))
 
 
 def zones(sh: np.ndarray, bits: np.ndarray, low: int, high: int, least: float) -> list[tuple[int, int]]:
@@ -199,7 +203,7 @@ def zones(sh: np.ndarray, bits: np.ndarray, low: int, high: int, least: float) -
     """
     if not len(sh) or not high:
         return []
-    at = sh >> np.uint64(64 - FILTER_BITS)
+    at = sh >> np.uint64(64 - (len(bits) * 64).bit_length() + 1)
     hits = np.concatenate([[0], np.cumsum(bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1))]).astype(np.int64)
     wide, m = np.zeros(len(sh) + 1, np.int64), low
     while m <= high:
@@ -216,9 +220,9 @@ def zones(sh: np.ndarray, bits: np.ndarray, low: int, high: int, least: float) -
 
 
 def _zoned(docs: DataFrame, b: DataFrame, text: str, least: float) -> DataFrame:
-    """doc_id, k1, k2 (128 bits of hash of the text) and the zones of every document that has some."""
+    """rid (a number of the row), doc_id, k1, k2 (128 bits of hash of the text) and the zones of every document that has some."""
     bits, low, high = item_filter(b)
-    shared = docs.sparkSession.sparkContext.broadcast(bits)  # 8 MB
+    shared = docs.sparkSession.sparkContext.broadcast(bits)  # 8 to 64 MB
 
     def run(texts: list[str]) -> list[list]:
         out = []
@@ -230,17 +234,59 @@ def _zoned(docs: DataFrame, b: DataFrame, text: str, least: float) -> DataFrame:
         return [out]
 
     rows = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("t")).withColumns(_text_key("t"))
-    return written(add_columns(rows, ["doc_id", "k1", "k2"], ["t"], run, {"zones": _ZONES}).filter(F.size("zones") > 0), "zones")
+    found = add_columns(rows, ["doc_id", "k1", "k2"], ["t"], run, {"zones": _ZONES}).filter(F.size("zones") > 0)
+    return written(found.withColumn("rid", F.monotonically_increasing_id()), "zones")
+
+
+def prefix(n: int, least: float) -> int:
+    """Of so many of an item's ``n`` shingles any window of similarity ``least`` and of no more shingles has one at least."""
+    # common / (n + m - common) >= least with common <= m asks for common >= least n, also of a window shorter than the item
+    return n - int(np.ceil(least * n - 1e-9)) + 1 if n else 0
+
+
+def _keyed(b: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """Different item texts (iid, text), and the shingles (s, iid) by which each is found: its rarest among items."""
+    texts = written(b.groupBy("text").agg(F.count("*").alias("same")).withColumn("iid", F.monotonically_increasing_id()).select("iid", "text"), "items")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            sh, at = shingles(*words(pdf["text"].tolist()))
+            for k, i in enumerate(pdf["iid"]):
+                own, count = np.unique(sh[at[k] : at[k + 1]], return_counts=True)
+                yield pd.DataFrame({"iid": i, "s": own.view(np.int64), "c": count, "need": prefix(int(count.sum()), least)})
+
+    each = texts.mapInPandas(run, "iid long, s long, c long, need long")
+    often = each.groupBy("s").agg(F.count("*").alias("items"))
+    rare = Window.partitionBy("iid").orderBy("items", "s")
+    # counted shingles before this one: as many as are needed, a repeated one with its count
+    ranked = each.join(often, "s").withColumn("before", F.sum("c").over(rare) - F.col("c"))
+    return texts, ranked.filter("before < need").select("s", "iid")
+
+
+def _met(found: DataFrame, b: DataFrame, radius: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """rid and leaks (by iid) of the best window of every item in the zones of ``found``, and the items' texts by iid."""
+
+    def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for rid, zs in zip(pdf["rid"], pdf["zones"]):
+                own = np.unique(np.concatenate([np.frombuffer(z["shingles"], np.int64) for z in zs]))
+                yield pd.DataFrame({"rid": rid, "s": own})
+
+    texts, keys = _keyed(b, least)
+    pairs = found.select("rid", "zones").mapInPandas(spread, "rid long, s long").join(keys, "s").select("rid", "iid").distinct()
+    numbered = pairs.withColumn("part", F.floor((F.row_number().over(Window.partitionBy("rid").orderBy("iid")) - 1) / AT_ONCE))
+    lists = numbered.join(texts, "iid").groupBy("rid", "part").agg(F.sort_array(F.collect_list(F.struct("iid", "text"))).alias("items"))
+    return add_columns(lists.join(found.select("rid", "zones"), "rid"), ["rid"], ["items", "zones"], partial(_in_zones, radius, least), _LEAKS), texts
 
 
 def _text_key(text: Column | str) -> dict[str, Column]:
     return {"k1": F.xxhash64(text), "k2": F.xxhash64(F.lit("second"), text)}
 
 
-def _in_zones(items: list[tuple[int, str]], radius: int, least: float, lists: list) -> list[list]:
-    index, out = _index(items, radius), []
-    for found in lists:
-        best: dict[int, tuple[float, int]] = {}
+def _in_zones(radius: int, least: float, lists: list, zoned: list) -> list[list]:
+    out = []
+    for items, found in zip(lists, zoned):
+        index, best = Index([(i["iid"], i["text"]) for i in items], radius), {}
         for z in found if index.ids else []:
             sh = np.frombuffer(z["shingles"], np.uint64)
             if len(hit := index.screened(sh)):
@@ -265,24 +311,27 @@ _LEAKS = {"leak": "array<struct<item_id:bigint,similarity:double,first_word:bigi
 
 def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", least: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """doc_id, item_id, similarity, first_word, n_words: the best window of every item in every document that leaks it."""
-    b, groups = _items(benchmark)
-    if groups == 1:
-        rows, take, search = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("t")), "t", _in_texts
-    else:
-        rows, take, search = _zoned(docs, b, text, least), "zones", _in_zones
-    made = [add_columns(rows, ["doc_id"], [take], partial(search, items, radius, least), _LEAKS) for items in _groups(b, groups)]
-    return reduce(DataFrame.unionByName, made).select("doc_id", F.explode("leak").alias("leak")).select("doc_id", "leak.*")
+    b, few = _items(benchmark)
+    if few:
+        rows = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("t"))
+        made = add_columns(rows, ["doc_id"], ["t"], partial(_in_texts, _collected(b), radius, least), _LEAKS)
+        return made.select("doc_id", F.explode("leak").alias("leak")).select("doc_id", "leak.*")
+    found = _zoned(docs, b, text, least)
+    met, texts = _met(found, b, radius, least)
+    best = met.select("rid", F.explode("leak").alias("leak")).select("rid", F.col("leak.item_id").alias("iid"), "leak.similarity", "leak.first_word", "leak.n_words")
+    ids = b.join(texts, "text").select("iid", "item_id")  # repeated texts are items of their own
+    return found.select("rid", "doc_id").join(best, "rid").join(ids, "iid").select("doc_id", "item_id", "similarity", "first_word", "n_words")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", least: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """``docs`` without the documents that leak an item."""
-    b, groups = _items(benchmark)
-    if groups == 1:
-        (items,) = _groups(b, 1)
+    b, few = _items(benchmark)
+    if few:
+        items = _collected(b)
         return keep_rows(docs, text, lambda texts: [not found for found in _index(items, radius).documents(texts, least)])
-    rows = _zoned(docs, b, text, least)
-    made = [add_columns(rows, ["k1", "k2"], ["zones"], partial(_in_zones, items, radius, least), _LEAKS) for items in _groups(b, groups)]
-    dirty = written(reduce(DataFrame.unionByName, made).filter(F.size("leak") > 0).select("k1", "k2").distinct(), "leaks")
+    found = _zoned(docs, b, text, least)
+    met, _ = _met(found, b, radius, least)
+    dirty = written(met.filter(F.size("leak") > 0).select("rid").join(found.select("rid", "k1", "k2"), "rid").select("k1", "k2").distinct(), "leaks")
     t = F.coalesce(F.col(text), F.lit(""))
     keyed = docs.select(F.struct(*docs.columns).alias("row"), *(c.alias(k) for k, c in _text_key(t).items()))
     return keyed.join(dirty, ["k1", "k2"], "left_anti").select("row.*")
