@@ -103,9 +103,9 @@ def _sql(text: str, engine: str, **tables: str) -> str:
 _STORED: dict[tuple[str, str, str], DataFrame] = {}
 
 
-def use_stored(spark: SparkSession, sf_dir: str, entries: DataFrame, baseline: DataFrame) -> None:
-    """From now on the queries of this application over ``sf_dir`` read these catalogues."""
-    for what, df in (("entries", entries), ("baseline", baseline)):
+def use_stored(spark: SparkSession, sf_dir: str, **catalogues: DataFrame) -> None:
+    """From now on the queries of this application over ``sf_dir`` read these catalogues (``entries``, ``baseline``)."""
+    for what, df in catalogues.items():
         _STORED[spark.sparkContext.applicationId, sf_dir, what] = df
 
 

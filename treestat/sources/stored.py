@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from treestat.operators.lookups import one_per_inode
 from treestat.operators.tree import with_parent_id
+from treestat.session import written
 from treestat.sources.catalog import measures, sketch_path, write_sketch
 
 BUCKETS = 64
@@ -50,6 +51,7 @@ def store(e: DataFrame, root: str, name: str, buckets: int = BUCKETS) -> Stored:
     A table name stands for one folder: storing again under the same name replaces it.
     """
     spark, seen = e.sparkSession, Observation()
+    e = written(e, "to-store") if {"parent_path", "entry_type"} <= set(e.columns) else e  # read twice for the parents
     rows = with_parent_id(e) if {"parent_path", "entry_type"} <= set(e.columns) else e
     _write(rows.observe(seen, *measures()), f"{name}_by_path", f"{root}/by_path", "path", buckets)
     _write(one_per_inode(spark.table(f"{name}_by_path")), f"{name}_by_inode", f"{root}/by_inode", "inode", buckets)
