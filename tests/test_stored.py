@@ -3,10 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
-from treestat.operators import diff, lookups, tree
+from treestat.operators import diff, lookups, reports, tree
 from treestat.plans import fixtures
 from treestat.session import shared_dir
-from treestat.sources import stored
+from treestat.sources import catalog, stored
+from treestat.streaming import ingest
 
 SF = "/root/testdata/sf0.01"
 
@@ -81,3 +82,23 @@ def test_attach(spark, both):
     df = diff.deleted_paths(again.by_path, both[1].by_path)
     assert "Exchange" not in plan(df)
     assert plan(again.by_inode.filter(F.col("inode") == 7)).count("SelectedBucketsCount: 1 out of 8") == 1
+
+
+def test_companion_follows_the_log(spark):
+    raw = fixtures.raw_listing(spark, "/root/testdata/sf0.001")
+    files, log, check = (shared_dir(spark, x) for x in ("raw", "log", "check"))
+    raw.write.parquet(files)
+    ingest.upsert_log(ingest.listing_stream(spark, files), log, check).awaitTermination()
+    first = ingest.compact_stored(spark, log, shared_dir(spark, "first"), "test_first", buckets=4)
+    raw.limit(0).write.mode("append").parquet(files)
+    moved = raw.filter("name NOT IN ('.', '..') AND inode % 5 = 0").withColumns({"name": F.concat(F.lit("zz-"), "name"), "scan_seq": F.col("scan_seq") + 1})
+    moved.write.mode("append").parquet(files)
+    ingest.upsert_log(ingest.listing_stream(spark, files), log, check).awaitTermination()
+    second = ingest.compact_stored(spark, log, shared_dir(spark, "second"), "test_second", first.by_path.drop("parent_id"), 4)
+    want = lookups.one_per_inode(second.by_path)
+    assert second.by_inode.exceptAll(want).isEmpty() and second.by_inode.count() == want.count()
+    assert second.by_path.count() == first.by_path.count() + moved.count()
+    renamed = second.by_inode.filter("inode % 5 = 0 AND entry_type = 0 AND name LIKE 'zz-%'").count()
+    assert renamed > 0
+    estimate = reports.approx_entries(catalog.read_sketches(spark, second.root)).first()["entries"]
+    assert abs(estimate - second.by_path.count()) <= 0.05 * estimate

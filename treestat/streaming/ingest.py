@@ -13,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from treestat.schema import ENTRIES, RAW_LISTING
 from treestat.sources.catalog import measures, sketch_path, write_catalog
 from treestat.sources.listing import normalize_listing
+from treestat.sources.stored import BUCKETS, Stored, store
 
 
 def listing_stream(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -100,6 +101,11 @@ def compact(spark: SparkSession, log: str, new_base: str, base: DataFrame | None
     write_catalog(upsert_view(spark, log, base), new_base)
 
 
+def compact_stored(spark: SparkSession, log: str, root: str, name: str, base: DataFrame | None = None, buckets: int = BUCKETS) -> Stored:
+    """``compact`` into a stored catalogue: rows in buckets by path, the companion by inode and the sketch follow the log."""
+    return store(upsert_view(spark, log, base), root, name, buckets)
+
+
 def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows of each batch of a task counted by path, so that a crowded directory sends few rows to its state."""
     for pdf in frames:
