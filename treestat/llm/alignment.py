@@ -36,7 +36,7 @@ from treestat.llm.shingles import slices
 from treestat.llm.tables import held
 from treestat.session import written
 
-MEMO_UNITS, MEMO_CHARS = 150_000, 32
+MEMO_UNITS, MEMO_CHARS = 400_000, 32
 SLICE_CHARS = 1_000_000
 #: Links counted at once in a task.
 COUNT_LINKS = 1_000_000
@@ -99,7 +99,7 @@ class Pair:
 
     def encode(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of both tokenizers for units, given without their first space."""
-        a = [e.ids for e in self.a.encode_batch([f" {u}" for u in units], add_special_tokens=False)]
+        a = [e.ids for e in self.a.encode_batch_fast([f" {u}" for u in units], add_special_tokens=False)]
         b = self.b.encode(units, num_threads=1)
         return a, [x or self.b.encode("\n ")[2:] for x in b]
 
