@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from treestat.llm.tables import release
 from treestat.session import written
 
-#: Bytes of text in a shard, about 1.3 million words. A longer text is a shard of its own.
-SHARD_BYTES = 8_000_000
+#: Bytes of text in a shard, about 0.8 million words. A longer text is a shard of its own.
+SHARD_BYTES = 5_000_000
 #: Parts into which what follows a phrase is dealt, and single words are.
 SALTS, WORD_SALTS = 16, 4096
 LEAST_COUNT, MOST_WORDS, TOP = 10, 3, 2000
