@@ -9,6 +9,8 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from treestat.llm import alignment, fingerprints, phrases
@@ -208,6 +210,28 @@ def test_alignment_of_documents(spark):
     assert [got[r["doc_id"]] for r in rows] == slow_alignment([r["text"] for r in rows])
 
 
+@pytest.fixture(scope="module")
+def pair():
+    return alignment.Pair(A, B)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from(list("ab'the.,! \n\t\u00a0\u3000é日▁\u200b1")), max_size=30))
+def test_units_equal_whole_texts(pair, text):
+    """Both libraries over the whole text give what the units give together."""
+    us = alignment.units(text)
+    assert " ".join(["", *us]) == (f" {text}" if text else "")
+    n_a, n_b, groups, _ = next(pair.texts([text]))
+    a, b = pair.a.encode(f" {text}", add_special_tokens=False).ids, pair.b.encode(text)
+    raw = f" {text}".encode()
+    if not text or b"".join(pair.b_bytes[k] for k in b) != raw:
+        assert (n_a, n_b, groups) == (0, 0, b"")
+        return
+    cuts = [x.split("|") for x in groups.decode().split(";")]
+    assert [int(k) for x, _ in cuts for k in x.split(",")] == a and [int(k) for _, y in cuts for k in y.split(",")] == b
+    assert (n_a, n_b) == (len(a), len(b))
+
+
 def test_alignment_keeps_rows(spark, monkeypatch):
     monkeypatch.setattr(alignment, "MEMO_UNITS", 3)
     docs = spark.createDataFrame([(None, "a b c d e"), (1, "a b c d e"), (1, "a b c d e"), (2, None)], "doc_id long, text string")
