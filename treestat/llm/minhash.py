@@ -10,7 +10,9 @@ members are first compared with the least one. What is left in a bucket of sever
 that are not in its main component: they are compared, block by block, with all members of other components, first with
 those whose signatures agree most and at last with every one but for those that cannot be similar. (Shingles are dealt
 into ``CELLS`` cells by hash, and the sum of the lesser counts of the cells is never less than the sum of the lesser
-counts of the shingles.) So a group of copies costs a few comparisons per member, no pair of its members is listed, and
+counts of the shingles.) A bucket in which more than ``CROWD`` pairs would be compared is first cut up: two similar texts
+share one of the rarest shingles of each, so only members that share one of those are compared. Strangers that share a
+passage, and large groups that only share a passage, part there. So a group of copies costs a few comparisons per member, no pair of its members is listed, and
 a few strangers in its bucket are compared with it, not its members with one another. Similarity ``least`` or more (sum of least over sum of greatest counts, computed from the whole
 texts) is a link, and components of links are the groups.
 
@@ -41,6 +43,8 @@ BANDS, ROWS = 24, 7
 AGREE_FIRST = 0.65
 #: Cells of shingle counts that bound a similarity from above.
 CELLS = 256
+#: Pairs of a bucket compared before it is cut up by rare shingles, and the cells whose counts say how rare a shingle is.
+CROWD, RARITY_CELLS = 1 << 24, 1 << 18
 #: Members of a bucket compared at once, and partners that a member outside the main component tries first.
 BLOCK, TRIES = 512, 4
 _COUNT, _LOW = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xFFFFFFFF)
@@ -170,6 +174,77 @@ def _counted(mixed: DataFrame, texts: DataFrame) -> DataFrame:
     return mixed.join(counts, "rep").withColumn("sketch", F.concat(F.substring("sketch", 1, BANDS * 8), "cells")).drop("cells")
 
 
+def _prefixes(sh: np.ndarray, bounds: np.ndarray, rarity: np.ndarray, least: float) -> list[np.ndarray]:
+    """The rarest shingles of every text, each occurrence one of its own: so many that texts of similarity ``least`` share one.
+
+    All texts put occurrences in one order (by the count of their cell, then by hash). A text of n occurrences shares
+    at least ``least`` n with a similar one, so the first of the shared ones stands among its first n - ceil(least n) + 1.
+    """
+    n = np.diff(bounds)
+    doc = np.repeat(np.arange(len(n)), n)
+    order = np.lexsort((sh, doc))
+    sh = sh[order]
+    new = np.concatenate([[True], (sh[1:] != sh[:-1]) | (doc[1:] != doc[:-1])]) if len(sh) else np.empty(0, bool)
+    first = np.flatnonzero(new)
+    number = np.arange(len(sh)) - np.repeat(first, np.diff(np.append(first, len(sh))))  # doc is in order already
+    token = np.where(number > 0, mix(sh + number.astype(np.uint64) * _COUNT), sh)
+    order = np.lexsort((token, rarity[(token % np.uint64(len(rarity))).astype(np.int64)], doc))
+    token = token[order].view(np.int64)
+    size = n - np.ceil(least * n - 1e-9).astype(np.int64) + 1
+    return [token[a : a + k] for a, k in zip(bounds[:-1], np.minimum(size, n))]
+
+
+def _tokens(texts: DataFrame, rarity: np.ndarray, least: float) -> DataFrame:
+    """rep, tokens: ``_prefixes`` of the texts."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
+        for pdf in frames:
+            ts = pdf["t"].tolist()
+            for a, b in slices(ts, 1_000_000, 500):
+                yield pd.DataFrame({"rep": pdf["doc_id"].iloc[a:b], "tokens": _prefixes(*shingles(*words(ts[a:b])), rarity, least)})
+
+    return texts.select("doc_id", "t").mapInPandas(run, "rep long, tokens array<long>")
+
+
+def _rarity(texts: DataFrame) -> np.ndarray:
+    """Occurrences of shingles by cell: a table of ``RARITY_CELLS`` numbers, whatever the number of texts."""
+    cells = RARITY_CELLS
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
+        total = np.zeros(cells, np.int64)
+        for pdf in frames:
+            ts = pdf["t"].tolist()
+            for a, b in slices(ts, 1_000_000, 500):
+                total += np.bincount((shingles(*words(ts[a:b]))[0] % np.uint64(cells)).astype(np.int64), minlength=cells)
+        some = np.flatnonzero(total)
+        yield pd.DataFrame({"cell": some, "n": total[some]})
+
+    got = texts.select("t").mapInPandas(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(cells, np.int64)
+    out[got["cell"].to_numpy()] = got["n"].to_numpy()
+    return out
+
+
+def _cut_up(mixed: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """``mixed`` with every crowded bucket replaced by the smaller ones of its members that share a rare shingle.
+
+    No link is lost: two similar members of a bucket share a rare shingle, so they meet in one of the smaller ones.
+    """
+    crowded = F.col("n") * F.col("outside") > CROWD
+    crowd = mixed.filter(crowded)
+    if crowd.isEmpty():
+        return mixed
+    some = written(texts.join(crowd.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "crowd")
+    tokens = _tokens(some, _rarity(some), least)
+    rows = crowd.join(tokens, "rep").select("band", "rep", "root", "main", F.explode("tokens").alias("token"), "key")
+    rows = written(rows.select(F.xxhash64("key", "token").alias("key"), "band", "rep", "root", "main"), "cut-up")
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("root") != F.col("main")).alias("outside"), F.min("root").alias("a"), F.max("root").alias("b"))
+    smaller = rows.join(sizes.filter("a <> b").select("key", "n", "outside").hint("merge"), "key")
+    return mixed.filter(~crowded).unionByName(smaller)
+
+
 def _mixed(buckets: DataFrame, found: DataFrame) -> DataFrame:
     """key, band, rep, root of the members of buckets with several components; main: the component with most members,
     outside: members of others, n: all members."""
@@ -259,7 +334,7 @@ def groups(docs: DataFrame, text: str = "text", least: float = SIMILARITY) -> Da
     links = written(_verified(star, texts, least), "links")
     found = components(links)
     for tries in (TRIES, None):  # what the first members did not settle: members of different components in one bucket
-        mixed = _mixed(buckets, found).join(classes.select("rep", "sketch"), "rep")
+        mixed = _cut_up(written(_mixed(buckets, found), "mixed"), texts, least).join(classes.select("rep", "sketch"), "rep")
         if tries is None:
             mixed = _counted(mixed, texts)
         more = written(_verified(_agreeing(mixed, tries, least), texts, least), "links")
