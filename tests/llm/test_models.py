@@ -2,11 +2,12 @@
 
 import math
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
 
-from treestat.llm import quality, secrets, toxicity
+from treestat.llm import graph, quality, secrets, toxicity
 from treestat.llm.tables import table
 
 SF = "/root/testdata/sf0.001"
@@ -95,3 +96,27 @@ def test_attention_equals_plain_loop():
 def test_score_at_the_cut():
     """A score of exactly the cut is predicted 1; a constant model scores every text alike."""
     assert quality.score(0.3, [b"x", b""]) == [0.3, 0.3] and quality.CUT == 0.3
+
+def test_training_leaves_the_features_with_the_tasks(spark):
+    """The model is that of all feature lists at once, but the driver never holds them."""
+    docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
+    tracemalloc.start()
+    model = toxicity.train(docs, labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 25e6
+    known = {}
+    for r in labels.filter("toxic IS NOT NULL").collect():
+        known[r["doc_id"]] = max(known.get(r["doc_id"], 0), r["toxic"])
+    rows = sorted((r["doc_id"], r["text"] or "") for r in docs.filter("doc_id IS NOT NULL").collect() if r["doc_id"] in known)
+    lists = [np.array(sorted({f for w in toxicity.words_of(t) for f in toxicity.features(w)}), np.int64) for _, t in rows]
+    whole = toxicity.fit(lists, np.array([int(known[k] > 0) for k, _ in rows]))
+    assert model.weight == pytest.approx(whole.weight) and model.thresholds == pytest.approx(whole.thresholds)
+
+
+def test_rounds_of_components_broadcast_nothing(spark):
+    edges = spark.createDataFrame([(3, 1), (5, 3), (5, 2)], "x long, y long")
+    for step in (graph._large_star, graph._small_star):
+        assert "Broadcast" not in step(edges)._jdf.queryExecution().executedPlan().toString()
+    found = graph.components(edges.toDF("a", "b"))
+    assert {(r["node"], r["root"]) for r in found.collect()} == {(2, 1), (3, 1), (5, 1)}
