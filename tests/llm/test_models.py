@@ -9,6 +9,7 @@ import pytest
 
 from treestat.llm import graph, quality, secrets, toxicity
 from treestat.llm.tables import table
+from treestat.session import written
 
 SF = "/root/testdata/sf0.001"
 
@@ -115,7 +116,7 @@ def test_training_leaves_the_features_with_the_tasks(spark):
 
 
 def test_rounds_of_components_broadcast_nothing(spark):
-    edges = spark.createDataFrame([(3, 1), (5, 3), (5, 2)], "x long, y long")
+    edges = written(spark.createDataFrame([(3, 1), (5, 3), (5, 2)], "x long, y long"), "edges")  # so that its size is known
     for step in (graph._large_star, graph._small_star):
         assert "Broadcast" not in step(edges)._jdf.queryExecution().executedPlan().toString()
     found = graph.components(edges.toDF("a", "b"))
